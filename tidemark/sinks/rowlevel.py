@@ -1,0 +1,50 @@
+"""The same dimension and mart on catalog tables whose format supports row-level changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.scd2 import Scd2Spec, changed_keys, dimension_columns, open_versions
+
+
+def merge_source(staged: DataFrame, current: DataFrame, spec: Scd2Spec) -> DataFrame:
+    """Staged versions under their key, plus the changed ones again under a NULL merge key.
+
+    The keyed copy closes the old version or opens a first one; the copy with the NULL key matches
+    nothing and so opens the successor. Both land in one commit.
+    """
+    opened = open_versions(staged, spec)
+    successors = open_versions(changed_keys(current, staged, spec), spec)
+    return opened.withColumn("merge_key", F.col("business_key")).unionByName(
+        successors.withColumn("merge_key", F.lit(None).cast("string"))
+    )
+
+
+def merge_into(staged: DataFrame, table: str, spec: Scd2Spec) -> None:
+    """One MERGE on a row-level table; fails on formats without it, such as plain Parquet.
+
+    `staged` must be pinned (a written table), as the merge reads it twice.
+    """
+    current = staged.sparkSession.table(table).where("is_current")
+    source = merge_source(staged, current, spec).alias("source")
+    on_key = F.expr(f"{table}.business_key = source.merge_key AND {table}.is_current")
+    newer = F.expr(
+        f"{table}.hashdiff <> source.hashdiff AND source.{spec.order_by} >= {table}.{spec.order_by}"
+    )
+    (
+        source.mergeInto(table, on_key)
+        .whenMatched(newer)
+        .update({"effective_to": F.col("source.effective_from"), "is_current": F.lit(False)})
+        .whenNotMatched()
+        .insert({c: F.col(f"source.{c}") for c in dimension_columns(spec)})
+        .merge()
+    )
+
+
+def append_to(df: DataFrame, table: str) -> None:
+    df.writeTo(table).append()
+
+
+def overwrite_partitions_of(df: DataFrame, table: str) -> None:
+    df.writeTo(table).overwritePartitions()
