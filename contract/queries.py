@@ -48,8 +48,8 @@ ORDER_SPEC = Scd2Spec("o_custkey", ("o_orderstatus", "o_orderpriority"), "o_orde
 LINE_SPEC = Scd2Spec("l_partkey", ("l_returnflag", "l_linestatus"), "l_shipdate", ("l_orderkey", "l_linenumber"))
 MESSAGE = ["op", "event_ts", "customer_id", "name", "status", "updated_at", "source", "seq"]
 
-# Low enough at every scale that ordinary keys of the test tables take the plan for hot keys.
-FEW_ROWS = 20
+# Near the usual count per customer, so that about half of them take the plan for hot keys.
+FEW_ROWS = 66
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -244,7 +244,7 @@ def scd2_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = at("1996-01-01 00:00:00")
     current = open_versions(stage_changes(orders.where(F.col("o_orderdate") < cut), ORDER_SPEC), ORDER_SPEC)
     staged = stage_changes(orders.where(F.col("o_orderdate") >= cut), ORDER_SPEC)
-    return new_keys(current, staged)
+    return new_keys(current, staged, ORDER_SPEC)
 
 
 def scd2_merge_step(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,11 @@ def parse_cdc(
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # A generator is not merged with later filters, so each message is parsed once.
     parsed = messages.select(F.col("value").cast("string").alias("raw"), "source_seq").select(
-        "raw", "source_seq", F.from_json("raw", with_corrupt, options).alias("r")
+        "raw", "source_seq", F.inline(F.array(F.from_json("raw", with_corrupt, options)))
     )
-    flat = parsed.select("raw", "source_seq", "r.*").select(
+    flat = parsed.select(
         "raw",
         "source_seq",
         CORRUPT,

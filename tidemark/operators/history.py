@@ -9,15 +9,19 @@ from tidemark.operators.latest import latest_per_key
 from tidemark.operators.scd2 import Scd2Spec, dimension_columns, fingerprint, open_end, valid_changes
 from tidemark.session import scratch_dir
 
-# A key with more rows than this is split over several tasks.
+# A key with more rows than this may be split over several tasks; a slice aims at the same size.
 HOT_ROWS = 4_000_000
 
+# Bounds the task count of the range partitioning; slices grow beyond it, results stay the same.
+MAX_SLICES = 20_000
+
 
 def scd2_history(
     changes: DataFrame,
     spec: Scd2Spec,
     bucket: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
+    prereduce: bool = False,
 ) -> DataFrame:
     """All versions of all keys, equal to merging the batches one after the other.
 
@@ -26,8 +30,13 @@ def scd2_history(
 
     Keys with more than `hot_rows` changes take another plan with the same result, so no task ever
     holds one such key; finding them is a map-side count over the key column. `None` skips that.
+
+    `prereduce` drops all but the last change of each batch before the shuffle by key. It adds a
+    shuffle of what is left, so it pays only where keys change many times per batch.
     """
     rows = valid_changes(changes, spec)
+    if prereduce:
+        rows = _batch_winners(rows, spec, bucket)
     if hot_rows is None:
         return _by_key(rows, spec, bucket)
     hot = rows.groupBy(spec.key).count().where(F.col("count") > hot_rows)
@@ -38,10 +47,12 @@ def scd2_history(
     keys_path = scratch_dir(spark, "hot-keys")
     hot.write.parquet(keys_path)
     hot = spark.read.parquet(keys_path)
-    slices = hot.agg(F.sum(F.ceil(F.col("count") / F.lit(hot_rows)))).first()[0]
+    total = hot.agg(F.sum("count")).first()[0]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(max(width, total // HOT_ROWS), MAX_SLICES)
     hot = hot.select(spec.key)
     cold_part = _by_key(rows.join(hot, spec.key, "left_anti"), spec, bucket)
-    hot_part = _by_slice(rows.join(hot, spec.key, "left_semi"), spec, bucket, int(slices))
+    hot_part = _by_slice(rows.join(hot, spec.key, "left_semi"), spec, bucket, slices)
     return cold_part.unionByName(hot_part)
 
 

@@ -86,26 +86,36 @@ def open_versions(staged: DataFrame, spec: Scd2Spec) -> DataFrame:
 
 def changed_keys(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
     """Staged rows whose key has a current version with another fingerprint that is not newer."""
-    old = current.select("business_key", F.col("hashdiff").alias("_hash"), F.col(spec.order_by).alias("_at"))
+    old = current.select(spec.key, F.col("hashdiff").alias("_hash"), F.col(spec.order_by).alias("_at"))
     return (
-        staged.join(old, "business_key")
+        staged.join(old, spec.key)
         .where((F.col("hashdiff") != F.col("_hash")) & (F.col(spec.order_by) >= F.col("_at")))
         .drop("_hash", "_at")
     )
 
 
-def new_keys(current: DataFrame, staged: DataFrame) -> DataFrame:
+def new_keys(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
     """Staged rows whose key has no current version."""
-    return staged.join(current.select("business_key"), "business_key", "left_anti")
+    return staged.join(current.select(spec.key), spec.key, "left_anti")
+
+
+def altering_rows(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
+    """Changed and new keys together, in one join."""
+    old = current.select(spec.key, F.col("hashdiff").alias("_hash"), F.col(spec.order_by).alias("_at"))
+    differs = (F.col("hashdiff") != F.col("_hash")) & (F.col(spec.order_by) >= F.col("_at"))
+    return staged.join(old, spec.key, "left").where(F.col("_hash").isNull() | differs).drop("_hash", "_at")
 
 
 def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
     """All current versions after the batch (`is_current`) and the versions it closed.
 
-    One full join on the business key, which is unique on both sides, decides every row: a key in
-    one side only is kept or opened, an equal fingerprint keeps the version as it is, another one
-    closes it at the change's time and opens its successor. A change older than the current version
-    is ignored, so replays and late rows alter nothing.
+    One full join on the key, which is unique on both sides, decides every row: a key in one side
+    only is kept or opened, an equal fingerprint keeps the version as it is, another one closes it
+    at the change's time and opens its successor. A change older than the current version is
+    ignored, so replays and late rows alter nothing.
+
+    The join uses the key itself, of which the business key is the text: staging has already
+    partitioned and sorted the batch by it.
     """
     names = dimension_columns(spec)
     kept = F.struct(*[F.col(f"old.{c}").alias(c) for c in names])
@@ -113,7 +123,7 @@ def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFra
     closed = F.struct(*[closing.get(c, F.col(f"old.{c}")).alias(c) for c in names])
     opened = F.struct(*[F.col(f"new.{c}").alias(c) for c in names])
 
-    only_new = F.col("old.business_key").isNull()
+    only_new = F.col(f"old.{spec.key}").isNull()
     changed = (F.col("new.hashdiff") != F.col("old.hashdiff")) & (
         F.col(f"new.{spec.order_by}") >= F.col(f"old.{spec.order_by}")
     )
@@ -123,7 +133,7 @@ def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFra
         .otherwise(F.array(kept))
     )
     old, new = current.select(*names).alias("old"), open_versions(staged, spec).alias("new")
-    joined = old.join(new, F.col("old.business_key") == F.col("new.business_key"), "full_outer")
+    joined = old.join(new, F.col(f"old.{spec.key}") == F.col(f"new.{spec.key}"), "full_outer")
     return joined.select(F.inline(versions))
 
 

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import literal_mark, mark_text
 from tidemark.operators.scd2 import (
     Scd2Spec,
+    altering_rows,
     dimension_columns,
     open_versions,
     scd2_merge,
     stage_changes,
 )
-from tidemark.operators.watermark import fetch_mark, next_mark, read_increment
+from tidemark.operators.watermark import next_mark, read_increment
 from tidemark.schemas import commit_schema
 from tidemark.settings import DEFAULT_PIPELINE
 
@@ -23,13 +25,16 @@ from tidemark.settings import DEFAULT_PIPELINE
 class DimensionStore:
     """Folders of one dimension.
 
-    `slots/0` and `slots/1` hold the current versions, written in turn; `closed/run_id=N` holds the
-    versions that run N closed; `commits` has one row per finished run and is the watermark log.
-    Readers and the next run trust `commits` only, which is written last: what a crashed run left
-    behind is not visible and is overwritten when the run is repeated.
+    `slots/0` and `slots/1` hold the open rows, written in turn; `closed/version=N` holds the rows
+    that the step to version N closed; `commits` has one row per finished run and is the watermark
+    log. Readers and the next run trust `commits` only, which is written last: what a crashed run
+    left behind is not visible and is overwritten by the next run that makes the same version.
 
-    Current versions are bucketed by business key, so a run shuffles the batch and not the
-    dimension. One writer per store is assumed.
+    Open rows are bucketed by key, so a run shuffles the batch and not the dimension. Choose
+    `buckets` so that one bucket of open rows fits a task; a store keeps its count until another is
+    given, and then changes it with the next run that alters the dimension. A run whose batch alters
+    nothing keeps the version and rewrites nothing. One writer per store is assumed, and a reader
+    must finish before the second next run that alters the dimension.
     """
 
     def __init__(
@@ -48,7 +53,7 @@ class DimensionStore:
         self.pipeline = pipeline
         self.key_type = key_type
         self.ts_type = ts_type
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         # "ignore" writes the empty log only where none exists yet.
         spark.createDataFrame([], self.commit_schema).write.mode("ignore").parquet(self.commits_path)
 
@@ -64,8 +69,8 @@ class DimensionStore:
     def closed_path(self) -> str:
         return f"{self.root}/closed"
 
-    def slot_path(self, run_id: int) -> str:
-        return f"{self.root}/slots/{run_id % 2}"
+    def slot_path(self, slot: int) -> str:
+        return f"{self.root}/slots/{slot}"
 
     @property
     def commit_schema(self) -> T.StructType:
@@ -90,28 +95,35 @@ class DimensionStore:
         return log.where(F.col("pipeline") == self.pipeline)
 
     def last_commit(self) -> Row | None:
-        """The newest finished run; `batch_id` is the highest stream batch merged so far."""
-        row = self.commits().agg(
-            F.max("run_id").alias("run_id"),
-            F.max_by("buckets", "run_id").alias("buckets"),
-            F.max("batch_id").alias("batch_id"),
-        ).first()
-        return None if row.run_id is None else row
+        """State after the newest finished run: its slot, the high-water mark and the last stream batch."""
+        newest = F.max_by(F.struct("slot", "buckets"), "version")
+        row = (
+            self.commits()
+            .agg(
+                F.max("version").alias("version"),
+                newest.alias("at"),
+                F.max("batch_id").alias("batch_id"),
+                mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"),
+            )
+            .select("version", "at.*", "batch_id", "mark")
+            .first()
+        )
+        return None if row.version is None else row
 
     def current(self, commit: Row | None = None) -> DataFrame:
         commit = commit or self.last_commit()
         if commit is None:
             return self.spark.createDataFrame([], self.dimension_schema)
-        return self._bucketed(f"{self.slot_path(commit.run_id)}/is_current=true", commit.buckets)
+        return self._bucketed(f"{self.slot_path(commit.slot)}/is_current=true", commit.buckets)
 
     def dimension(self) -> DataFrame:
         """Every committed version."""
         commit = self.last_commit()
         if commit is None:
             return self.spark.createDataFrame([], self.dimension_schema)
-        closed_schema = T.StructType([*self.dimension_schema.fields, T.StructField("run_id", T.LongType())])
-        closed = self.spark.read.schema(closed_schema).parquet(self.closed_path).where(F.col("run_id") <= commit.run_id)
-        return self.current(commit).unionByName(closed.drop("run_id"))
+        closed_schema = T.StructType([*self.dimension_schema.fields, T.StructField("version", T.LongType())])
+        closed = self.spark.read.schema(closed_schema).parquet(self.closed_path).where(F.col("version") <= commit.version)
+        return self.current(commit).unionByName(closed.drop("version"))
 
     def _bucketed(self, path: str, buckets: int) -> DataFrame:
         """The folder with its bucketing made known to Spark through a short-lived external table."""
@@ -120,7 +132,7 @@ class DimensionStore:
         table = f"tidemark_read_{uuid.uuid4().hex}"
         self.spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet "
-            f"CLUSTERED BY (business_key) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (`{self.spec.key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
         try:
             rows = self.spark.table(table).withColumn("is_current", F.lit(True))
@@ -131,24 +143,37 @@ class DimensionStore:
     # Writing
 
     def run(self, bronze: DataFrame, day_column: str | None = None, lookback: str | None = None) -> int | None:
-        """Merges what the bronze table holds at or above the stored mark; the run id, or None."""
-        mark = fetch_mark(self.commits(), self.pipeline)
-        return self.apply(read_increment(bronze, mark, self.spec.order_by, day_column, lookback))
+        """Merges what the bronze table holds at or above the stored mark; the dimension's version, or None."""
+        commit = self.last_commit()
+        mark = literal_mark(commit.mark, self.ts_type) if commit else None
+        return self._merge(commit, read_increment(bronze, mark, self.spec.order_by, day_column, lookback))
 
     def apply(self, changes: DataFrame, batch_id: int | None = None) -> int | None:
         """Merges a batch of changes. An empty batch, or a stream batch seen before, changes nothing."""
         commit = self.last_commit()
         if commit and batch_id is not None and commit.batch_id is not None and batch_id <= commit.batch_id:
             return None
+        return self._merge(commit, changes, batch_id)
+
+    def _merge(self, commit: Row | None, changes: DataFrame, batch_id: int | None = None) -> int | None:
         staged = self._pin(changes)
         if staged.isEmpty():
             return None
-        run_id = commit.run_id + 1 if commit else 1
-        buckets = commit.buckets if commit else self.buckets
-        self._write_slot(staged, commit, run_id, buckets)
-        self._write_closed(run_id)
-        self._commit(staged, run_id, buckets, batch_id)
-        return run_id
+        if commit is None:
+            version, slot, buckets = 0, 0, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        else:
+            version, slot, buckets = commit.version, commit.slot, commit.buckets
+        if commit is None or self._alters(commit, staged):
+            version, slot, buckets = version + 1, 1 - slot, self.buckets or buckets
+            self._write_slot(commit, staged, slot, buckets)
+            self._write_closed(slot, version)
+        self._commit(staged, version, slot, buckets, batch_id)
+        return version
+
+    def _alters(self, commit: Row, staged: DataFrame) -> bool:
+        """Whether any staged row opens a version; reads three columns and stops at the first one."""
+        current = self.current(commit).select(self.spec.key, "hashdiff", self.spec.order_by)
+        return not altering_rows(current, staged, self.spec).isEmpty()
 
     def _pin(self, changes: DataFrame) -> DataFrame:
         """Writes the staged batch, so merge and watermark see the same rows while ingest goes on."""
@@ -156,33 +181,36 @@ class DimensionStore:
         staged.write.mode("overwrite").parquet(self.staged_path)
         return self.spark.read.schema(staged.schema).parquet(self.staged_path)
 
-    def _write_slot(self, staged: DataFrame, commit: Row | None, run_id: int, buckets: int) -> None:
+    def _write_slot(self, commit: Row | None, staged: DataFrame, slot: int, buckets: int) -> None:
         """Current versions after the run and the ones it closed, in one pass over the dimension."""
         if commit is None:
-            merged = open_versions(staged, self.spec).repartition(buckets, "business_key")
+            merged = open_versions(staged, self.spec)
         else:
             merged = scd2_merge(self.current(commit), staged, self.spec)
+        if commit is None or commit.buckets != buckets:
+            merged = merged.repartition(buckets, self.spec.key)
         table = f"tidemark_write_{uuid.uuid4().hex}"
         (
             merged.write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("is_current")
-            .bucketBy(buckets, "business_key")
-            .option("path", self.slot_path(run_id))
+            .bucketBy(buckets, self.spec.key)
+            .option("path", self.slot_path(slot))
             .saveAsTable(table)
         )
         self.spark.sql(f"DROP TABLE {table}")
 
-    def _write_closed(self, run_id: int) -> None:
+    def _write_closed(self, slot: int, version: int) -> None:
         """Packs the few closed versions into evenly sized files, also when there are none."""
-        slot = self.spark.read.schema(self.dimension_schema).parquet(self.slot_path(run_id))
-        closed = slot.where("NOT is_current").hint("rebalance").sortWithinPartitions("effective_from")
-        closed.write.mode("overwrite").parquet(f"{self.closed_path}/run_id={run_id}")
+        written = self.spark.read.schema(self.dimension_schema).parquet(self.slot_path(slot))
+        closed = written.where("NOT is_current").hint("rebalance").sortWithinPartitions("effective_from")
+        closed.write.mode("overwrite").parquet(f"{self.closed_path}/version={version}")
 
-    def _commit(self, staged: DataFrame, run_id: int, buckets: int, batch_id: int | None) -> None:
+    def _commit(self, staged: DataFrame, version: int, slot: int, buckets: int, batch_id: int | None) -> None:
         record = next_mark(staged, self.pipeline, self.spec.order_by).select(
             "*",
-            F.lit(run_id).cast("bigint").alias("run_id"),
+            F.lit(version).cast("bigint").alias("version"),
+            F.lit(slot).cast("int").alias("slot"),
             F.lit(buckets).cast("int").alias("buckets"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
@@ -195,9 +223,11 @@ class DimensionStore:
         commit = self.last_commit()
         if commit is None:
             raise ValueError("nothing has been committed yet")
-        names = ", ".join(f"`{c}`" for c in dimension_columns(self.spec))
+        columns = dimension_columns(self.spec)
+        names = ", ".join("TRUE AS is_current" if c == "is_current" else f"`{c}`" for c in columns)
+        closed_names = ", ".join("FALSE" if c == "is_current" else f"`{c}`" for c in columns)
         self.spark.sql(
             f"CREATE OR REPLACE VIEW {view} AS "
-            f"SELECT {names} FROM parquet.`{self.slot_path(commit.run_id)}` WHERE is_current "
-            f"UNION ALL SELECT {names} FROM parquet.`{self.closed_path}` WHERE run_id <= {commit.run_id}"
+            f"SELECT {names} FROM parquet.`{self.slot_path(commit.slot)}/is_current=true` "
+            f"UNION ALL SELECT {closed_names} FROM parquet.`{self.closed_path}` WHERE version <= {commit.version}"
         )

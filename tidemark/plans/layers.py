@@ -68,9 +68,12 @@ def _create_table(spark, name, schema, path, partitions=()) -> None:
 
 
 def refresh_layers(spark: SparkSession, config: ChainConfig) -> None:
-    for name in ("bronze.customer_cdc", "gold.customer_daily"):
-        spark.catalog.recoverPartitions(name)
-    spark.catalog.refreshTable("meta.watermarks")
+    """Makes new partitions and commits visible by name. A folder written by a stream lists its own files."""
+    for name in ("bronze.customer_cdc", "meta.watermarks", "gold.customer_daily"):
+        if any(column.isPartition for column in spark.catalog.listColumns(name)):
+            spark.catalog.recoverPartitions(name)
+        else:
+            spark.catalog.refreshTable(name)
     config.store(spark).publish("silver.dim_customer")
 
 

@@ -30,10 +30,10 @@ def bronze_schema(key: str = "customer_id", key_type: str = "int", ts_type: str
 
 
 def commit_schema(ts_type: str = "timestamp") -> T.StructType:
-    """Watermark log; one row per finished run of a pipeline."""
+    """Watermark log; one row per finished run of a pipeline, with the dimension it left."""
     return T.StructType.fromDDL(
         f"pipeline string, updated_at_gte {ts_type}, written_at timestamp, "
-        "run_id bigint, buckets int, batch_id bigint"
+        "version bigint, slot int, buckets int, batch_id bigint"
     )
 
 
