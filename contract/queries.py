@@ -32,7 +32,7 @@ from tidemark.schemas import message_schema
 from tidemark.session import scratch_dir, use_utc
 from tidemark.settings import Settings
 from tidemark.sinks import PathTarget, append, export, replace_from_lines, to_text, write_bronze
-from tidemark.sinks.rowlevel import merge_source
+from tidemark.plans.rowlevel import merge_source
 from tidemark.sources import generate_events, lines_from_files, read_bronze, text_messages
 from tidemark.streaming import ingest, upsert_stream
 

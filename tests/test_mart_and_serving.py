@@ -11,12 +11,19 @@ from tidemark.operators.scd2 import open_versions, stage_changes
 from tidemark.plans import build_gold, export_gold, run_chain
 from tidemark.plans import jobs
 from tidemark.plans.layers import ChainConfig, create_layers, read_gold, refresh_layers
+from tidemark.plans.rowlevel import (
+    RowLevelLayers,
+    append_to,
+    merge_into,
+    merge_source,
+    overwrite_partitions_of,
+)
 from tidemark.schemas import gold_schema
 from tidemark.session import catalog_conf, object_store_conf, scratch_dir
 from tidemark.settings import Settings
 from tidemark.sinks import JdbcTarget, PathTarget, overwrite_partitions, replace_from_lines, to_text
-from tidemark.sinks.rowlevel import append_to, merge_into, merge_source, overwrite_partitions_of
-from tidemark.sources import lines_from_files, lines_from_text, parse_lines
+from tidemark.sources import lines_from_files, lines_from_text, parse_lines, text_messages
+from tidemark.streaming import ingest
 from tests.test_messages import GOOD
 from tests.test_scd2 import SPEC, T1, T2, changes
 
@@ -169,6 +176,57 @@ def test_row_level_commands_are_refused_by_plain_parquet(spark, root):
         spark.sql("DROP TABLE row_level_test")
 
 
+def test_row_level_tables(spark):
+    statements = RowLevelLayers("lake").ddl()
+    assert statements[:4] == [f"CREATE NAMESPACE IF NOT EXISTS lake.{n}" for n in ("bronze", "meta", "silver", "gold")]
+    assert statements[6] == (
+        "CREATE TABLE IF NOT EXISTS lake.silver.dim_customer (customer_id int, name string, status string, "
+        "business_key string, hashdiff string, effective_from timestamp, effective_to timestamp, is_current boolean, "
+        "updated_at timestamp) USING iceberg PARTITIONED BY (days(effective_from))"
+    )
+    assert "updated_day" not in statements[4] and "days(updated_at)" in statements[4]
+
+
+def test_row_level_silver_run_pins_the_batch_before_it_merges(spark, root, monkeypatch):
+    """The run on Parquet tables, up to the MERGE that they lack."""
+    layers = RowLevelLayers("spark_catalog", using="parquet", spec=SPEC, ts_type="timestamp_ntz")
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS bronze")
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS meta")
+    for name in (layers.bronze, layers.watermarks):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    bronze = changes(spark, (1, "active", T1), (2, "vip", T2)).selectExpr("*", "false AS rejected")
+    bronze.write.option("path", f"{root}/bronze").saveAsTable(layers.bronze)
+    spark.sql(f"{layers.ddl()[5]} LOCATION '{root}/marks'")
+    merged = []
+    monkeypatch.setattr("tidemark.plans.rowlevel.merge_into", lambda staged, table, spec: merged.append((staged, table)))
+    monkeypatch.setattr("tidemark.plans.rowlevel.append_to", lambda df, table: df.write.insertInto(table))
+    try:
+        assert layers.run_silver(spark)
+        assert layers.run_silver(spark)
+        assert [table for _, table in merged] == [layers.silver] * 2
+        assert [sorted(r.customer_id for r in staged.collect()) for staged, _ in merged] == [[1, 2], [2]]
+    finally:
+        for name in (layers.bronze, layers.watermarks):
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_ingest_into_a_catalog_table(spark, root):
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS bronze")
+    spark.sql(
+        "CREATE TABLE bronze.by_name (customer_id int, status string, updated_at timestamp, updated_day date) "
+        f"USING parquet PARTITIONED BY (updated_day) LOCATION '{root}/by_name'"
+    )
+    to_text(spark.createDataFrame([(GOOD,)], "value string"), f"{root}/in")
+    try:
+        for _ in range(2):
+            source = text_messages(spark, f"{root}/in")
+            ingest(source, "bronze.by_name", f"{root}/ck", available_now=True, as_table=True).awaitTermination()
+        rows = spark.read.parquet(f"{root}/by_name").select("customer_id", "status", "updated_day").collect()
+        assert [tuple(r) for r in rows] == [(1, "vip", DAY1)]
+    finally:
+        spark.sql("DROP TABLE bronze.by_name")
+
+
 def test_settings_come_from_the_environment():
     settings = Settings.from_env(
         {"S3_BUCKET": "b", "S3_ENDPOINT": "http://store:9000", "S3_ACCESS_KEY": "k", "S3_SECRET_KEY": "s", "PIPELINE_NAME": "p"}

@@ -39,15 +39,15 @@ def scd2_history(
         rows = _batch_winners(rows, spec, bucket)
     if hot_rows is None:
         return _by_key(rows, spec, bucket)
-    hot = rows.groupBy(spec.key).count().where(F.col("count") > hot_rows)
-    if hot.isEmpty():
-        return _by_key(rows, spec, bucket)
-
     spark = changes.sparkSession
-    keys_path = scratch_dir(spark, "hot-keys")
-    hot.write.parquet(keys_path)
-    hot = spark.read.parquet(keys_path)
+    path = scratch_dir(spark, "hot-keys")
+    counts = rows.groupBy(spec.key).count().where(F.col("count") > hot_rows)
+    counts.write.parquet(path)
+    hot = spark.read.schema(counts.schema).parquet(path)
     total = hot.agg(F.sum("count")).first()[0]
+    if total is None:
+        return _by_key(rows, spec, bucket)
+
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = min(max(width, total // HOT_ROWS), MAX_SLICES)
     hot = hot.select(spec.key)

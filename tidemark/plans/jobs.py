@@ -5,20 +5,16 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
+from pyspark.sql import SparkSession
+
 from tidemark.operators.cdc import cdc_messages
-from tidemark.plans.layers import (
-    ChainConfig,
-    build_gold,
-    create_layers,
-    export_gold,
-    refresh_layers,
-    run_silver,
-)
+from tidemark.plans.layers import ChainConfig, build_gold, create_layers, export_gold, refresh_layers, run_silver
+from tidemark.plans.rowlevel import RowLevelLayers
 from tidemark.schemas import MESSAGE_FIELDS
 from tidemark.session import build_session
 from tidemark.settings import Settings
 from tidemark.sinks.messages import to_kafka, to_text
-from tidemark.sinks.serving import JdbcTarget, PathTarget, replace_from_lines
+from tidemark.sinks.serving import JdbcTarget, PathTarget, export, replace_from_lines
 from tidemark.sources.generator import generate_events, rate_rows, sequence_rows
 from tidemark.sources.lines import lines_from_files, lines_from_text
 from tidemark.sources.messages import kafka_messages, text_messages
@@ -36,69 +32,104 @@ def _parser() -> argparse.ArgumentParser:
     bronze.add_argument("--files", help="folder of message files; default is the topic")
     bronze.add_argument("--available-now", action="store_true")
     bronze.add_argument("--every", help="pause between micro-batches, such as '1 minute'")
-    commands.add_parser("silver", help="merge new changes into the dimension")
+    bronze.add_argument("--max-per-trigger", type=int, help="bound on offsets or files of a micro-batch")
+    silver = commands.add_parser("silver", help="merge new changes into the dimension")
+    silver.add_argument("--buckets", type=int, help="bucket count of the open rows")
     gold = commands.add_parser("gold", help="build the daily mart")
     gold.add_argument("--mode", choices=("full", "partitions"), default="full")
-    for name, text in (("export", "replace the serving table"), ("load", "replace it from text lines")):
-        command = commands.add_parser(name, help=text)
+    export = commands.add_parser("export", help="replace the serving table")
+    load = commands.add_parser("load", help="replace it from text lines")
+    load.add_argument("--lines", help="text files; default is CUSTOMER_DAILY_ROWS")
+    for command in (export, load):
         command.add_argument("--path", help="sorted Parquet folder; default is JDBC")
-        if name == "load":
-            command.add_argument("--lines", help="text files; default is CUSTOMER_DAILY_ROWS")
-    commands.add_parser("tables", help="create or refresh the catalog entries")
+    tables = commands.add_parser("tables", help="create or refresh the catalog entries")
+    for command in (bronze, silver, gold, export, tables):
+        command.add_argument("--catalog", help="catalog of row-level tables; default is Parquet folders")
     return parser
 
 
+def generate(spark: SparkSession, settings: Settings, args: argparse.Namespace) -> None:
+    endless = args.count is None and settings.events_per_sec > 0
+    if args.count is None and (args.files or not endless):
+        raise SystemExit("message files, and a rate of zero or less, need --count")
+    rows = rate_rows(spark, settings.events_per_sec) if endless else sequence_rows(spark, args.count)
+    messages = cdc_messages(generate_events(rows, settings.max_customer_id, args.seed), MESSAGE_FIELDS)
+    if args.files:
+        to_text(messages, args.files)
+    else:
+        checkpoint = settings.path("checkpoints", "producer")
+        query = to_kafka(messages, settings.brokers, settings.topic, checkpoint)
+        if query:
+            query.awaitTermination()
+
+
+def bronze(spark: SparkSession, settings: Settings, args: argparse.Namespace) -> None:
+    if args.files:
+        source = text_messages(spark, args.files, max_files_per_trigger=args.max_per_trigger)
+    else:
+        options = {"maxOffsetsPerTrigger": str(args.max_per_trigger)} if args.max_per_trigger else {}
+        source = kafka_messages(spark, settings.brokers, settings.topic, options=options)
+    trigger = {"available_now": args.available_now, "every": args.every}
+    checkpoint = settings.bronze_checkpoint
+    if args.catalog:
+        query = RowLevelLayers(args.catalog).ingest(source, checkpoint, **trigger)
+    else:
+        query = ingest(source, settings.bronze_path, checkpoint, **trigger)
+    query.awaitTermination()
+
+
+def load(spark: SparkSession, settings: Settings, args: argparse.Namespace) -> None:
+    lines = lines_from_files(spark, args.lines) if args.lines else lines_from_text(spark, settings.daily_rows)
+    print(f"loaded {replace_from_lines(lines, _target(settings, args))} rows")
+
+
+def _target(settings: Settings, args: argparse.Namespace) -> JdbcTarget | PathTarget:
+    return PathTarget(args.path) if args.path else JdbcTarget.from_settings(settings)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     settings = Settings.from_env()
-    config = ChainConfig(settings)
     spark = build_session(f"tidemark-{args.command}", settings)
+    layers = RowLevelLayers(args.catalog, pipeline=settings.pipeline) if getattr(args, "catalog", None) else None
 
     if args.command == "generate":
-        endless = args.count is None and settings.events_per_sec > 0
-        if args.files and args.count is None:
-            raise SystemExit("message files need --count")
-        if not endless and args.count is None:
-            raise SystemExit("a rate of zero or less needs --count")
-        rows = rate_rows(spark, settings.events_per_sec) if endless else sequence_rows(spark, args.count)
-        events = generate_events(rows, settings.max_customer_id, args.seed)
-        messages = cdc_messages(events, MESSAGE_FIELDS)
-        if args.files:
-            to_text(messages, args.files)
-        else:
-            query = to_kafka(messages, settings.brokers, settings.topic, settings.path("checkpoints", "producer"))
-            if query:
-                query.awaitTermination()
+        generate(spark, settings, args)
     elif args.command == "bronze":
-        source = (
-            text_messages(spark, args.files)
-            if args.files
-            else kafka_messages(spark, settings.brokers, settings.topic)
-        )
-        ingest(
-            source,
-            settings.bronze_path,
-            settings.bronze_checkpoint,
-            available_now=args.available_now,
-            every=args.every,
-        ).awaitTermination()
-    elif args.command == "silver":
+        bronze(spark, settings, args)
+    elif args.command == "load":
+        load(spark, settings, args)
+    elif layers:
+        run_on_tables(spark, settings, args, layers)
+    else:
+        run_on_folders(spark, settings, args)
+
+
+def run_on_folders(spark: SparkSession, settings: Settings, args: argparse.Namespace) -> None:
+    config = ChainConfig(settings, buckets=getattr(args, "buckets", None))
+    if args.command == "silver":
         run_silver(spark, config)
     elif args.command == "gold":
         build_gold(config.store(spark).current(), settings.gold_path, config.spec, mode=args.mode)
-    elif args.command in ("export", "load"):
-        target = PathTarget(args.path) if args.path else JdbcTarget.from_settings(settings)
-        if args.command == "export":
-            export_gold(spark, settings.gold_path, target)
-        else:
-            lines = (
-                lines_from_files(spark, args.lines) if args.lines else lines_from_text(spark, settings.daily_rows)
-            )
-            replace_from_lines(lines, target)
+    elif args.command == "export":
+        export_gold(spark, settings.gold_path, _target(settings, args))
     else:
         create_layers(spark, config)
         refresh_layers(spark, config)
 
 
+def run_on_tables(
+    spark: SparkSession, settings: Settings, args: argparse.Namespace, layers: RowLevelLayers
+) -> None:
+    if args.command == "silver":
+        layers.run_silver(spark)
+    elif args.command == "gold":
+        layers.run_gold(spark, mode=args.mode)
+    elif args.command == "export":
+        export(spark.table(layers.gold), _target(settings, args))
+    else:
+        layers.create(spark)
+
+
 if __name__ == "__main__":
     main()

@@ -1,4 +1,4 @@
-"""Writers: layer tables, serving targets, messages, row-level tables."""
+"""Writers: layer tables, serving targets, messages."""
 
 from tidemark.sinks.messages import to_kafka, to_text
 from tidemark.sinks.serving import JdbcTarget, PathTarget, export, replace_from_lines, write_sorted

@@ -18,23 +18,22 @@ def ingest(
     ts_type: str = "timestamp",
     available_now: bool = False,
     every: str | None = None,
+    as_table: bool = False,
 ) -> StreamingQuery:
-    """Starts the append of parsed messages to the bronze folder.
+    """Starts the append of parsed messages to the bronze folder, or to a catalog table.
 
     Rejects land in their own partition of the same folder, so the source is read once and every
     message is stored exactly once. By default micro-batches follow each other without pause;
     `every` spaces them, `available_now` stops after what is there.
     """
     parsed = parse_cdc(messages, schema or message_schema(), ts_type=ts_type)
-    writer = (
-        parsed.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(*BRONZE_PARTITIONS)
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-    )
+    if as_table:
+        parsed = parsed.select(*messages.sparkSession.table(target).columns)
+    writer = parsed.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    return writer.start()
+    if as_table:
+        return writer.toTable(target)
+    return writer.format("parquet").partitionBy(*BRONZE_PARTITIONS).option("path", target).start()
