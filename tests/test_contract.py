@@ -20,6 +20,7 @@ from contract.queries import (
 )
 from tests.oracle_check import differences, oracle_connection
 from tidemark.operators import read_increment, scd2_merge
+from tidemark.operators.scd2 import altering_rows
 from tidemark.plans import DimensionStore
 from tidemark.sources import read_bronze
 
@@ -81,9 +82,21 @@ def test_store_merge_shuffles_the_batch_only(spark, root):
     store = DimensionStore(spark, root, EVENT_SPEC, key_type="bigint", ts_type=NTZ, buckets=4)
     store.run(before(events))
     staged = store._pin(from_cut(events))
-    text = plan(scd2_merge(store.current(), staged, EVENT_SPEC))
-    assert text.count("Exchange") == 1
-    assert "Bucketed: true" in text
+    sorted_join = plan(scd2_merge(store.current(), staged, EVENT_SPEC))
+    hashed_join = plan(scd2_merge(store.current(), staged.hint("shuffle_hash"), EVENT_SPEC))
+    look_ahead = plan(altering_rows(store.current(), staged.hint("shuffle_hash"), EVENT_SPEC))
+    for text in (sorted_join, hashed_join, look_ahead):
+        assert text.count("Exchange") == 1 and "Bucketed: true" in text
+    assert "SortMergeJoin" in sorted_join
+    for text in (hashed_join, look_ahead):
+        assert "ShuffledHashJoin" in text and "Sort [" not in text
+
+
+@pytest.mark.parametrize("hashed_rows", [0, 200_000])
+def test_store_joins_by_hash_only_within_its_bound(spark, con, monkeypatch, hashed_rows):
+    monkeypatch.setattr("tidemark.plans.dimension.HASHED_ROWS", hashed_rows)
+    name = "scd2_incremental"
+    assert differences(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == []
 
 
 def test_mart_spreads_the_distinct_count(spark):

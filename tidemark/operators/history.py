@@ -35,23 +35,24 @@ def scd2_history(
     shuffle of what is left, so it pays only where keys change many times per batch.
     """
     rows = valid_changes(changes, spec)
-    if prereduce:
-        rows = _batch_winners(rows, spec, bucket)
+
+    def by_key(part: DataFrame) -> DataFrame:
+        return _by_key(_batch_winners(part, spec, bucket) if prereduce else part, spec, bucket)
+
     if hot_rows is None:
-        return _by_key(rows, spec, bucket)
-    spark = changes.sparkSession
-    path = scratch_dir(spark, "hot-keys")
+        return by_key(rows)
     counts = rows.groupBy(spec.key).count().where(F.col("count") > hot_rows)
-    counts.write.parquet(path)
-    hot = spark.read.schema(counts.schema).parquet(path)
-    total = hot.agg(F.sum("count")).first()[0]
+    total = counts.agg(F.sum("count")).first()[0]
     if total is None:
-        return _by_key(rows, spec, bucket)
+        return by_key(rows)
 
+    spark = changes.sparkSession
+    path = scratch_dir(spark, "hot-keys")
+    counts.select(spec.key).write.parquet(path)
+    hot = spark.read.parquet(path)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = min(max(width, total // HOT_ROWS), MAX_SLICES)
-    hot = hot.select(spec.key)
-    cold_part = _by_key(rows.join(hot, spec.key, "left_anti"), spec, bucket)
+    cold_part = by_key(rows.join(hot, spec.key, "left_anti"))
     hot_part = _by_slice(rows.join(hot, spec.key, "left_semi"), spec, bucket, slices)
     return cold_part.unionByName(hot_part)
 
@@ -107,22 +108,24 @@ def _by_slice(rows: DataFrame, spec: Scd2Spec, bucket: Column | None, slices: in
     slice.
     """
     spark = rows.sparkSession
-    winners = fingerprint(_batch_winners(rows, spec, bucket), spec)
     path = scratch_dir(spark, "slices")
-    winners.repartitionByRange(slices, spec.key, spec.order_by).withColumn(
-        "_slice", F.spark_partition_id()
-    ).write.parquet(path)
+    (
+        _batch_winners(rows, spec, bucket)
+        .repartitionByRange(slices, spec.key, spec.order_by)
+        .withColumn("_slice", F.spark_partition_id())
+        .write.parquet(path)
+    )
     sliced = spark.read.parquet(path)
 
     in_slice = Window.partitionBy(spec.key, "_slice").orderBy(spec.order_by)
     across = Window.partitionBy(spec.key).orderBy("_slice")
-    last_hashes = (
-        sliced.groupBy(spec.key, "_slice")
-        .agg(F.max_by("hashdiff", spec.order_by).alias("_last"))
-        .select(spec.key, "_slice", F.lag("_last").over(across).alias("_carried"))
+    last_rows = sliced.groupBy(spec.key, "_slice").agg(F.max_by(F.struct(*spec.tracked), spec.order_by).alias("_last"))
+    last_hashes = fingerprint(last_rows.select(spec.key, "_slice", "_last.*"), spec).select(
+        spec.key, "_slice", F.lag("hashdiff").over(across).alias("_carried")
     )
     changed = (
-        sliced.withColumn("_within", F.lag("hashdiff").over(in_slice))
+        fingerprint(sliced.repartition(spec.key, "_slice"), spec)
+        .withColumn("_within", F.lag("hashdiff").over(in_slice))
         .join(last_hashes, [spec.key, "_slice"])
         .withColumn("_previous", F.coalesce("_within", "_carried"))
         .where(_differs("_previous"))

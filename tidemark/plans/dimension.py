@@ -22,6 +22,10 @@ from tidemark.schemas import commit_schema
 from tidemark.settings import DEFAULT_PIPELINE
 
 
+# Up to this many batch rows per bucket are joined by hash, which spares the sort of the dimension.
+HASHED_ROWS = 200_000
+
+
 class DimensionStore:
     """Folders of one dimension.
 
@@ -157,15 +161,18 @@ class DimensionStore:
 
     def _merge(self, commit: Row | None, changes: DataFrame, batch_id: int | None = None) -> int | None:
         staged = self._pin(changes)
-        if staged.isEmpty():
+        rows = staged.count()
+        if rows == 0:
             return None
         if commit is None:
             version, slot, buckets = 0, 0, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         else:
             version, slot, buckets = commit.version, commit.slot, commit.buckets
-        if commit is None or self._alters(commit, staged):
+        # Keys are unique and spread by hash, so this bounds the batch's share of every bucket.
+        batch = staged.hint("shuffle_hash") if rows <= HASHED_ROWS * buckets else staged
+        if commit is None or self._alters(commit, batch):
             version, slot, buckets = version + 1, 1 - slot, self.buckets or buckets
-            self._write_slot(commit, staged, slot, buckets)
+            self._write_slot(commit, batch, slot, buckets)
             self._write_closed(slot, version)
         self._commit(staged, version, slot, buckets, batch_id)
         return version

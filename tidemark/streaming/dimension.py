@@ -15,7 +15,8 @@ def upsert_stream(
     available_now: bool = False,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Merges each micro-batch into the store.
+    """Merges each micro-batch into the store. Each one that alters the dimension writes all its open
+    rows, so `every` should be long.
 
     The commit record carries the batch id, so a batch that the engine delivers again after a
     failure is recognised and skipped.
