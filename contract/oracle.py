@@ -66,6 +66,17 @@ BY_CUTS = event_versions(
     f"CASE WHEN updated_at < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN updated_at < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END"
 )
 BY_CUT = event_versions(f"updated_at < TIMESTAMP '{CUT}'")
+ORDER_VERSIONS = versions(
+    "orders", "o_custkey", ("o_orderstatus", "o_orderpriority"), "o_orderdate", ("o_orderkey",), "o_orderdate"
+)
+LINE_VERSIONS = versions(
+    "lineitem",
+    "l_partkey",
+    ("l_returnflag", "l_linestatus"),
+    "l_shipdate",
+    ("l_orderkey", "l_linenumber"),
+    "l_shipdate",
+)
 GOLD = """
 SELECT CAST(effective_from AS DATE) AS day, status AS customer_status, count(DISTINCT customer_id) AS cnt
 FROM {source} WHERE is_current GROUP BY 1, 2"""
@@ -174,11 +185,12 @@ SELECT opened.*, NULL AS merge_key FROM opened JOIN old USING (business_key) WHE
     "scd2_incremental": f"{BY_CUTS} SELECT {DIMENSION} FROM dimension",
     "scd2_stream_upsert": f"{BY_CUTS} SELECT {DIMENSION} FROM dimension",
     "scd2_history_events": f"{DAILY} SELECT {DIMENSION} FROM dimension",
+    "scd2_history_prereduced": f"{DAILY} SELECT {DIMENSION} FROM dimension",
     "scd2_history_orders": f"""
-WITH {versions('orders', 'o_custkey', ('o_orderstatus', 'o_orderpriority'), 'o_orderdate', ('o_orderkey',), 'o_orderdate')}
+WITH {ORDER_VERSIONS}
 SELECT * FROM dimension""",
     "scd2_history_lineitem": f"""
-WITH {versions('lineitem', 'l_partkey', ('l_returnflag', 'l_linestatus'), 'l_shipdate', ('l_orderkey', 'l_linenumber'), 'l_shipdate')}
+WITH {LINE_VERSIONS}
 SELECT * FROM dimension""",
     "scd2_history_hot_keys": f"{event_versions('updated_at')} SELECT {DIMENSION} FROM dimension",
     "scd2_current": f"{DAILY} SELECT {DIMENSION} FROM dimension WHERE is_current",

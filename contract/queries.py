@@ -26,7 +26,7 @@ from tidemark.operators import (
     scd2_history,
     stage_changes,
 )
-from tidemark.plans import DimensionStore, build_gold, ingest_files, run_chain
+from tidemark.plans import DimensionStore, build_gold, run_chain
 from tidemark.plans.layers import ChainConfig, read_gold
 from tidemark.schemas import message_schema
 from tidemark.session import scratch_dir, use_utc
@@ -295,6 +295,10 @@ def scd2_history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_history(spark, sf_dir)
 
 
+def scd2_history_prereduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_history(spark, sf_dir, prereduce=True)
+
+
 def scd2_history_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2_history(table(spark, sf_dir, "orders"), ORDER_SPEC)
 
@@ -388,6 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scd2_incremental,
         scd2_stream_upsert,
         scd2_history_events,
+        scd2_history_prereduced,
         scd2_history_orders,
         scd2_history_lineitem,
         scd2_history_hot_keys,

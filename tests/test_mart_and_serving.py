@@ -198,7 +198,9 @@ def test_row_level_silver_run_pins_the_batch_before_it_merges(spark, root, monke
     bronze.write.option("path", f"{root}/bronze").saveAsTable(layers.bronze)
     spark.sql(f"{layers.ddl()[5]} LOCATION '{root}/marks'")
     merged = []
-    monkeypatch.setattr("tidemark.plans.rowlevel.merge_into", lambda staged, table, spec: merged.append((staged, table)))
+    monkeypatch.setattr(
+        "tidemark.plans.rowlevel.merge_into", lambda staged, table, spec: merged.append((staged, table))
+    )
     monkeypatch.setattr("tidemark.plans.rowlevel.append_to", lambda df, table: df.write.insertInto(table))
     try:
         assert layers.run_silver(spark)
@@ -229,7 +231,13 @@ def test_ingest_into_a_catalog_table(spark, root):
 
 def test_settings_come_from_the_environment():
     settings = Settings.from_env(
-        {"S3_BUCKET": "b", "S3_ENDPOINT": "http://store:9000", "S3_ACCESS_KEY": "k", "S3_SECRET_KEY": "s", "PIPELINE_NAME": "p"}
+        {
+            "S3_BUCKET": "b",
+            "S3_ENDPOINT": "http://store:9000",
+            "S3_ACCESS_KEY": "k",
+            "S3_SECRET_KEY": "s",
+            "PIPELINE_NAME": "p",
+        }
     )
     assert settings.bronze_path == "s3a://b/warehouse/bronze/customer_cdc"
     assert settings.pipeline == "p"

@@ -108,7 +108,8 @@ def test_stream_restart_adds_only_new_files(spark, root):
         assert read_bronze(spark, f"{root}/bronze", rejected=True).select("reject_reason", "raw").collect() == [
             ("malformed", "broken")
         ]
-    to_text(spark.createDataFrame([(GOOD.replace('"customer_id":1', '"customer_id":2'),)], "value string"), f"{root}/in")
+    second = GOOD.replace('"customer_id":1', '"customer_id":2')
+    to_text(spark.createDataFrame([(second,)], "value string"), f"{root}/in")
     run_ingest(spark, root)
     assert sorted(r.customer_id for r in read_bronze(spark, f"{root}/bronze").collect()) == [1, 2]
 
@@ -151,7 +152,7 @@ def test_generator_streams(spark):
 
 
 def test_iso_seconds(spark):
-    text = spark.range(1).select(iso_seconds(F.lit("2026-03-13 10:00:00.9").cast("timestamp")), iso_seconds(event_clock()))
-    row = text.first()
+    fixed = F.lit("2026-03-13 10:00:00.9").cast("timestamp")
+    row = spark.range(1).select(iso_seconds(fixed), iso_seconds(event_clock())).first()
     assert row[0] == "2026-03-13T10:00:00+00:00"
     assert row[1].endswith("+00:00") and len(row[1]) == 25

@@ -94,7 +94,9 @@ def _by_key(rows: DataFrame, spec: Scd2Spec, bucket: Column | None) -> DataFrame
         .drop("_batch", "_following")
     )
     changed = (
-        fingerprint(last_of_batch, spec).withColumn("_previous", F.lag("hashdiff").over(in_key)).where(_differs("_previous"))
+        fingerprint(last_of_batch, spec)
+        .withColumn("_previous", F.lag("hashdiff").over(in_key))
+        .where(_differs("_previous"))
     )
     return _versions(changed, spec, F.lead(spec.order_by).over(in_key))
 

@@ -126,8 +126,9 @@ class DimensionStore:
         if commit is None:
             return self.spark.createDataFrame([], self.dimension_schema)
         closed_schema = T.StructType([*self.dimension_schema.fields, T.StructField("version", T.LongType())])
-        closed = self.spark.read.schema(closed_schema).parquet(self.closed_path).where(F.col("version") <= commit.version)
-        return self.current(commit).unionByName(closed.drop("version"))
+        closed = self.spark.read.schema(closed_schema).parquet(self.closed_path)
+        committed = closed.where(F.col("version") <= commit.version).drop("version")
+        return self.current(commit).unionByName(committed)
 
     def _bucketed(self, path: str, buckets: int) -> DataFrame:
         """The folder with its bucketing made known to Spark through a short-lived external table."""
@@ -225,6 +226,10 @@ class DimensionStore:
 
     # Publishing
 
+    def expose_staged(self, view: str) -> None:
+        """A temporary view of the batch that the last run pinned."""
+        self.spark.read.parquet(self.staged_path).createOrReplaceTempView(view)
+
     def publish(self, view: str) -> None:
         """Points a catalog view at the committed versions."""
         commit = self.last_commit()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.operators.mart import build_daily
 from tidemark.operators.scd2 import Scd2Spec
@@ -61,7 +63,9 @@ def create_layers(spark: SparkSession, config: ChainConfig) -> None:
     _create_table(spark, "gold.customer_daily", gold_schema(), config.settings.gold_path, GOLD_PARTITIONS)
 
 
-def _create_table(spark, name, schema, path, partitions=()) -> None:
+def _create_table(
+    spark: SparkSession, name: str, schema: T.StructType, path: str, partitions: Sequence[str] = ()
+) -> None:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     layout = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{path}'")
