@@ -105,7 +105,8 @@ def _by_slice(rows: DataFrame, spec: Scd2Spec, bucket: Column | None, slices: in
     """The same over time slices of keys, so that a key is never in one task as a whole.
 
     After the batches are reduced, (key, time) is unique and a range partitioning cuts keys at any
-    size. The slices are written once, so both the rows and their edges see the same cut. What
+    size. The slices are written once, so both the rows and their edges see the same cut; the rows
+    that open versions are written too, as they are read for the versions and for the edges. What
     crosses an edge is small: one row per (key, slice), that is at most one per hot key plus one per
     slice.
     """
@@ -132,13 +133,17 @@ def _by_slice(rows: DataFrame, spec: Scd2Spec, bucket: Column | None, slices: in
         .withColumn("_previous", F.coalesce("_within", "_carried"))
         .where(_differs("_previous"))
         .drop("_within", "_carried", "_previous")
+        .withColumn("_inside", F.lead(spec.order_by).over(in_slice))
     )
+    path = scratch_dir(spark, "changed")
+    changed.write.parquet(path)
+    changed = spark.read.parquet(path)
+
+    followed = changed.where("_inside IS NOT NULL")
     first_times = (
         changed.groupBy(spec.key, "_slice")
         .agg(F.min(spec.order_by).alias("_first"))
         .select(spec.key, "_slice", F.lead("_first").over(across).alias("_later"))
     )
-    followed = changed.withColumn("_inside", F.lead(spec.order_by).over(in_slice)).join(
-        first_times, [spec.key, "_slice"]
-    )
-    return _versions(followed, spec, F.coalesce("_inside", "_later"))
+    last_of_slice = changed.where("_inside IS NULL").join(first_times, [spec.key, "_slice"])
+    return _versions(followed, spec, F.col("_inside")).unionByName(_versions(last_of_slice, spec, F.col("_later")))
