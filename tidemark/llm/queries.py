@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.chat import ORACLE_SQL as CHAT_SQL
+from tidemark.llm.chat import chat_digests, planted_conversation
 from tidemark.llm.common import importable
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.token_files import token_file_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +23,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(table(spark, sf_dir, "conversations").unionByName(planted_conversation(spark)))
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op9_token_files": op9_token_files,
 }
 
 #: What SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": CHAT_SQL,
+}
