@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.token_files import END_ID, PAD, open_sequences, token_file_digests, write_token_files
+from tidemark.llm.token_files import END_ID, open_sequences, token_file_digests, unpacked, write_token_files
 from tidemark.session import scratch_dir
 from tests.llm.test_bpe import ODD
 
@@ -41,13 +41,14 @@ def test_files_hold_equal_sequences_without_copies(spark):
     for part in manifest:
         file = open_sequences(part["path"])
         rows_of_file = 0
-        for tokens, mask in file:
-            assert tokens.shape[1] == 64 and not tokens.flags.owndata
-            ids += tokens[mask != PAD].tolist()
+        for tokens, mask, ends in file:
+            assert tokens.shape[1] == 64 and tokens.dtype == np.uint16
+            assert not any(a.flags.owndata for a in (tokens, mask, ends))
+            ids += tokens[unpacked(mask)].tolist()
             rows_of_file += len(tokens)
         assert rows_of_file == -(-part["n_ids"] // 64)
-        tokens, mask = file.sequence(rows_of_file - 1)
-        assert len(tokens) == len(mask) == 64
+        tokens, mask, ends = file.sequence(rows_of_file - 1)
+        assert len(tokens) == len(unpacked(mask)) == len(unpacked(ends)) == 64
     assert len(ids) == sum(r[2] for r in expected(rows)) and ids.count(END_ID) >= 400
 
 

@@ -1,9 +1,10 @@
 """Token ids in Arrow files of equal-length sequences, written by tasks and read back without copying.
 
 A part file holds the documents of one range of ids, in ascending order, as one stream of tokens cut into
-rows of `SEQUENCE` ids. Columns: `ids`, a fixed-size list of the ids, and `mask`, a fixed-size list of bytes
-(0 padding, 1 token, 2 last token of a document). Only the last row of a part is padded. A second file beside
-it lists the part's document ids in the same order. Rows are found by arithmetic, and a memory map of the
+rows of `SEQUENCE` ids. Columns, each of fixed-size lists: `ids`, in 16 bits where the vocabulary allows it;
+`mask`, a bit that is set for tokens and not for padding; `ends`, a bit that is set for the last token of a
+document. Only the last row of a part is padded. A second file beside it lists the part's document ids in the
+same order. Rows are found by arithmetic, and a memory map of the
 file gives them as views.
 """
 
@@ -31,7 +32,6 @@ SEQUENCE = 1024
 #: Sequences in one record batch of a file.
 BATCH_ROWS = 256
 END_ID = 0
-PAD, TOKEN, LAST = 0, 1, 2
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNUSUAL = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{LATIN}]")
 #: Usual characters split as by the file's byte-level rule; a piece encodes alone as within its text.
@@ -51,6 +51,7 @@ class Encoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         split = self.library.pre_tokenizer.pre_tokenize_str(" it's  12\n")
         self.plain = self.library.normalizer is None and [p for p, _ in split] == ["Ġit", "'s", "Ġ", "Ġ12", "Ċ"]
+        self.id_type = pa.uint16() if self.library.get_vocab_size() <= 1 << 16 else pa.uint32()
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -88,10 +89,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class PartWriter:
     """Appends documents to a part; holds less than one record batch of sequences."""
 
-    def __init__(self, sink: pa.NativeFile, index: pa.NativeFile, length: int) -> None:
-        self.length = length
-        ids = pa.field("ids", pa.list_(pa.uint32(), length))
-        self.schema = pa.schema([ids, pa.field("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink: pa.NativeFile, index: pa.NativeFile, length: int, id_type: pa.DataType) -> None:
+        if length % 8:
+            raise ValueError("the length of sequences must be a multiple of 8")
+        self.length, self.id_type = length, id_type
+        kinds = {"ids": id_type, "mask": pa.bool_(), "ends": pa.bool_()}
+        self.schema = pa.schema([(name, pa.list_(kind, length)) for name, kind in kinds.items()])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.index_schema = pa.schema([("doc_id", pa.int64())])
         self.index = pa.ipc.new_file(index, self.index_schema)
@@ -99,9 +102,9 @@ class PartWriter:
         self.waiting = self.total = 0
 
     def add(self, ids: np.ndarray) -> None:
-        mask = np.full(len(ids), TOKEN, np.uint8)
-        mask[-1] = LAST
-        self.held.append((ids, mask))
+        ends = np.zeros(len(ids), bool)
+        ends[-1] = True
+        self.held.append((ids.astype(self.id_type.to_pandas_dtype()), ends))
         self.waiting += len(ids)
         self.total += len(ids)
         if self.waiting >= self.length * BATCH_ROWS:
@@ -111,20 +114,19 @@ class PartWriter:
         self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids], schema=self.index_schema))
 
     def _flush(self, whole: bool) -> None:
-        ids, masks = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        ids, ends = (np.concatenate(x) for x in zip(*self.held, strict=True))
         rows = len(ids) // self.length if whole else -(-len(ids) // self.length)
         cut = min(len(ids), rows * self.length)
-        rest = (ids[cut:], masks[cut:])
-        ids = np.pad(ids[:cut], (0, rows * self.length - cut))
-        masks = np.pad(masks[:cut], (0, rows * self.length - cut))
+        self.held, self.waiting = [(ids[cut:], ends[cut:])], len(ids) - cut
+        padding = (0, rows * self.length - cut)
+        columns = [np.pad(c, padding) for c in (ids[:cut], np.ones(cut, bool), ends[:cut])]
         for at in range(0, rows, BATCH_ROWS):
             part = slice(at * self.length, min(rows, at + BATCH_ROWS) * self.length)
             arrays = [
-                pa.FixedSizeListArray.from_arrays(pa.array(ids[part]), type=self.schema.field(0).type),
-                pa.FixedSizeListArray.from_arrays(pa.array(masks[part]), type=self.schema.field(1).type),
+                pa.FixedSizeListArray.from_arrays(pa.array(column[part]), type=field.type)
+                for column, field in zip(columns, self.schema, strict=True)
             ]
             self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
-        self.held, self.waiting = [rest], len(rest[0])
 
     def close(self) -> None:
         if self.waiting:
@@ -140,17 +142,25 @@ class SequenceFile:
         self.reader = pa.ipc.open_file(source)
         self.length = self.reader.schema.field("ids").type.list_size
 
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for number in range(self.reader.num_record_batches):
             yield self._arrays(self.reader.get_batch(number))
 
-    def _arrays(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        views = (batch.column(n).flatten().to_numpy(zero_copy_only=True) for n in ("ids", "mask"))
-        return tuple(v.reshape(-1, self.length) for v in views)
+    def _arrays(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids (rows, length), and mask and ends as packed bits (rows, length / 8), lowest bit first."""
+        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
+        bits = [
+            np.frombuffer(batch.column(n).flatten().buffers()[1], np.uint8, ids.size // 8).reshape(len(ids), -1)
+            for n in ("mask", "ends")
+        ]
+        return ids, *bits
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self._arrays(self.reader.get_batch(row // BATCH_ROWS))
-        return ids[row % BATCH_ROWS], mask[row % BATCH_ROWS]
+    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(a[row % BATCH_ROWS] for a in self._arrays(self.reader.get_batch(row // BATCH_ROWS)))
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=-1, bitorder="little").astype(bool)
 
 
 def open_sequences(uri: str) -> SequenceFile:
@@ -186,7 +196,7 @@ def write_token_files(
                 system.create_dir(root, recursive=True)
                 sink = system.open_output_stream(f"{root}/{name}.arrow")
                 index = system.open_output_stream(f"{root}/{name}-docs.arrow")
-                writer = PartWriter(sink, index, length)
+                writer = PartWriter(sink, index, length, own.id_type)
                 low = batch.column(0)[0].as_py()
             for data in own.encode([t or "" for t in batch.column(1).to_pylist()]):
                 writer.add(np.append(np.frombuffer(data, "<u4"), np.uint32(END_ID)))
@@ -208,14 +218,13 @@ def write_token_files(
 def _documents(sequences: SequenceFile) -> Iterator[tuple[int, int]]:
     """(ids, crc32) of each document of a part, from views of the file; keeps no more than one batch."""
     crc = size = 0
-    for ids, mask in sequences:
-        flat, marks = ids.reshape(-1), mask.reshape(-1)
-        flat = flat[: int(np.count_nonzero(marks != PAD))]
+    for ids, mask, ends in sequences:
+        flat = ids.reshape(-1)[unpacked(mask).reshape(-1)].astype("<u4")
         at = 0
-        for end in (np.flatnonzero(marks == LAST) + 1).tolist():
-            yield size + end - at, zlib.crc32(flat[at:end].astype("<u4", copy=False), crc)
+        for end in (np.flatnonzero(unpacked(ends).reshape(-1)) + 1).tolist():
+            yield size + end - at, zlib.crc32(flat[at:end], crc)
             crc, size, at = 0, 0, end
-        crc, size = zlib.crc32(flat[at:].astype("<u4", copy=False), crc), size + len(flat) - at
+        crc, size = zlib.crc32(flat[at:], crc), size + len(flat) - at
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
