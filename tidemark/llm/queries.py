@@ -11,6 +11,7 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chat import ORACLE_SQL as CHAT_SQL
 from tidemark.llm.chat import chat_digests, planted_conversation
 from tidemark.llm.common import importable
+from tidemark.llm.secrets import secret_digests
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import token_file_digests
 
@@ -31,6 +32,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op6_secret_battery": op6_secret_battery,
     "op9_token_files": op9_token_files,
 }
 
