@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chat import ORACLE_SQL as CHAT_SQL
 from tidemark.llm.chat import chat_digests, planted_conversation
+from tidemark.llm.classifier import score_quality
 from tidemark.llm.common import importable
+from tidemark.llm.mixing import mix_documents
 from tidemark.llm.secrets import secret_digests
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import token_file_digests
@@ -36,6 +38,14 @@ def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op6_secret_battery": op6_secret_battery,
+    "op7_temperature_mix": op7_temperature_mix,
+    "op8_attention_quality": op8_attention_quality,
     "op9_token_files": op9_token_files,
 }
 
