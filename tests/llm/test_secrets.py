@@ -8,7 +8,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.secrets import battery, random_tokens, redact_secrets, secret_digests
+from tidemark.llm.secret_scan import battery, random_tokens, redact_secrets, secret_digests
 
 SCHEMA = "doc_id long, text string"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -12,8 +12,9 @@ from tidemark.llm.chat import ORACLE_SQL as CHAT_SQL
 from tidemark.llm.chat import chat_digests, planted_conversation
 from tidemark.llm.classifier import score_quality
 from tidemark.llm.common import importable
+from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.mixing import mix_documents
-from tidemark.llm.secrets import secret_digests
+from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import token_file_digests
 
@@ -50,6 +51,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_temperature_mix": op7_temperature_mix,
     "op8_attention_quality": op8_attention_quality,
     "op9_token_files": op9_token_files,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 #: What SQL can express; the others are tested against brute force.
