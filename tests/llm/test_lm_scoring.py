@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import lm_scoring
+from tidemark.llm.lm_scoring import Model, counts_of_levels, level_of, score_documents, segment_bits
+
+SCHEMA = "doc_id long, text string"
+
+
+def expected(rows):
+    tokens = [[*(text or "").encode().lower().split(), b"\n"] for _, text in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    seen = Counter(t for own, out in zip(tokens, held, strict=True) if not out for t in own)
+    n, v = sum(seen.values()), len(seen)
+    return [
+        (i, out, len(own), sum(t in seen for t in own), n, sum(math.log10((seen[t] + 1) / (n + v + 1)) for t in own))
+        for (i, _), own, out in zip(rows, tokens, held, strict=True)
+    ]
+
+
+def check(rows, found):
+    want = sorted(expected(rows), key=str)
+    got = sorted([tuple(r)[:6] for r in found], key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in found)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = score_documents(docs).collect()
+    check([tuple(r) for r in docs.select("doc_id", "text").collect()], found)
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # pairs help on unseen texts
+
+
+def test_rare_words_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HOT", 3)
+    rows = [(i, f"the the word{i % 9} only{i} of") for i in range(300)]
+    check(rows, score_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_filter_gives_levels():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    counts = np.minimum(rng.zipf(1.5, 20_000), 1 << 20)
+    parts = {s: segment_bits(hashes[own], counts[own], 1 << 30) for s in range(64) if (own := hashes >> np.uint64(58) == s).any()}
+    model = Model(58, parts, 1.0, 1, 1.0)
+    found, true = model.levels(hashes), level_of(counts)
+    assert (found >= true).all() and (found == true).mean() > 0.97  # errors are one-sided
+    others = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (model.levels(others) > 0).mean() < 0.03
+    middle = counts_of_levels(true)
+    assert ((middle >= counts / 2) & (middle <= counts * 2)).all() and counts_of_levels(np.array([0]))[0] == 0
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, "Some words"), (4, "long text " * 60000), (5, " \n\t "), (6, "É é E e")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.lit("clash")).withColumn("score", F.lit(1))
+    check(rows, score_documents(docs).collect())
+    assert score_documents(docs.limit(0)).count() == 0
+    held = [(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    check(held, score_documents(spark.createDataFrame(held, SCHEMA)).collect())

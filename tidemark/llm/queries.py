@@ -13,6 +13,7 @@ from tidemark.llm.chat import chat_digests, planted_conversation
 from tidemark.llm.classifier import score_quality
 from tidemark.llm.common import importable
 from tidemark.llm.embedding_dedup import embedding_components
+from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_filter": op2_ngram_filter,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_bpe_transducer": op5_bpe_transducer,
