@@ -52,7 +52,7 @@ def test_filter_gives_levels():
     hashes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
     counts = np.minimum(rng.zipf(1.5, 20_000), 1 << 20)
     parts = {s: segment_bits(hashes[own], counts[own], 1 << 30) for s in range(64) if (own := hashes >> np.uint64(58) == s).any()}
-    model = Model(58, parts, 1.0, 1, 1.0)
+    model = Model(58, np.array([*parts]), [*parts.values()], 1, 1.0)
     found, true = model.levels(hashes), level_of(counts)
     assert (found >= true).all() and (found == true).mean() > 0.97  # errors are one-sided
     others = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

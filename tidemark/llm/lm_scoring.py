@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, pieces, staged
 
-MAX_BYTES = 64 << 20
+MAX_BYTES = 48 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4
 PRIOR = 4096.0
-HOT = 1 << 18
+HOT = 1 << 17
 #: Tokens that a task counts before it sends them on.
-COUNT_AT_ONCE = 3_000_000
+COUNT_AT_ONCE = 1_500_000
 #: Characters of training text per segment, so that a segment stays small whatever the input.
 SEGMENT_CHARS = 1 << 19
 END = b"\n"  # no word holds it
@@ -206,15 +206,18 @@ def _built(most_bits: int):
 class Model:
     """The filter and what smoothing needs; goes to the workers as a broadcast value."""
 
-    def __init__(self, shift: int, segments: dict[int, bytes], total: float, kinds: int, mass: float) -> None:
+    def __init__(self, shift: int, number: np.ndarray, parts: list, kinds: int, mass: float) -> None:
+        """`parts` are the segments' bits, `number` which segments they are."""
         self.shift = shift
-        count = 1 << (64 - shift)
-        sizes = np.array([len(segments.get(i, b"")) for i in range(count)], np.int64)
+        sizes = np.zeros(1 << (64 - shift), np.int64)
+        sizes[number] = [len(p) for p in parts]
         self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.sizes = np.maximum(sizes * 8, 1).astype(np.uint64)
-        self.bits = np.frombuffer(b"".join(segments[i] for i in sorted(segments)) + b"\x00", np.uint8)
+        self.bits = np.zeros(int(sizes.sum()) + 1, np.uint8)
+        for i, part in zip(number, parts, strict=True):
+            self.bits[self.starts[i] : self.starts[i] + len(part)] = np.frombuffer(part, np.uint8)
         self.empty = sizes == 0
-        self.total, self.kinds, self.mass = total, kinds, mass
+        self.kinds, self.mass = kinds, mass
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level of each n-gram by repeated probes: the first that fails ends it."""
@@ -263,11 +266,14 @@ def train(training: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame
     level = F.floor(F.log2(F.col("c").cast("double")))
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                       F.sum((3 * F.pow(F.lit(2.0), level) - 1) / 2).alias("mass")).first()
-    rows = built.where("bits is not null").select("segment", "bits").collect()  # MAX_BYTES in all, at most
-    segments = {r["segment"]: bytes(r["bits"]) for r in rows}
-    if sum(map(len, segments.values())) > MAX_BYTES + 8 * (1 << power):
+    parts = built.where("bits is not null").select("segment", "bits")
+    size = parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    if size > MAX_BYTES + 8 * (1 << power):
         raise ValueError("the filter is larger than its bound")
-    return Model(64 - power, segments, float(sums["n"] or 0), sums["v"], float(sums["mass"] or 0)), counts, sums["n"] or 0
+    held = parts.toArrow()
+    bits = [b.as_buffer() for b in held.column("bits")]
+    model = Model(64 - power, held.column("segment").to_numpy(), bits, sums["v"], float(sums["mass"] or 0))
+    return model, counts, sums["n"] or 0
 
 
 def frequent(counts: DataFrame) -> DataFrame:
