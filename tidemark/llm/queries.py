@@ -15,6 +15,7 @@ from tidemark.llm.common import importable
 from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.mixing import mix_documents
+from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import token_file_digests
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mcd_rules": op1_mcd_rules,
     "op2_ngram_filter": op2_ngram_filter,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
