@@ -150,6 +150,26 @@ FROM judged GROUP BY reason""",
     "bronze_by_day": "SELECT CAST(ts AS DATE) AS updated_day, count(*) AS cnt FROM events GROUP BY 1",
     "bronze_stream_ingest": f"WITH {EVENTS} SELECT {MESSAGE}, CAST(updated_at AS DATE) AS updated_day FROM e",
     "watermark_current": "SELECT event_type AS pipeline, max(ts) AS updated_at_gte FROM events GROUP BY 1",
+    "watermark_of_pipeline": f"""
+SELECT event_id AS seq, user_id AS customer_id, event_type AS status, ts AS updated_at FROM events
+WHERE ts >= (SELECT max(ts) FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '{CUT}')""",
+    "scd2_history_batches": """
+WITH e AS (
+  SELECT event_id AS seq, user_id AS customer_id, 'customer_' || CAST(user_id AS VARCHAR) AS name, event_type AS status,
+         CAST(date_trunc('day', ts) AS TIMESTAMP) AS updated_at, event_id // 150 AS batch
+  FROM events
+), last AS (
+  SELECT *, CAST(customer_id AS VARCHAR) AS business_key, %s AS hashdiff FROM e
+  QUALIFY row_number() OVER (PARTITION BY customer_id, batch ORDER BY updated_at DESC, seq DESC) = 1
+), compared AS (
+  SELECT *, lag(hashdiff) OVER w AS previous FROM last WINDOW w AS (PARTITION BY customer_id ORDER BY updated_at, seq)
+), followed AS (
+  SELECT *, lead(updated_at) OVER w AS following FROM compared WHERE previous IS NULL OR previous <> hashdiff
+  WINDOW w AS (PARTITION BY customer_id ORDER BY updated_at, seq)
+)
+SELECT customer_id, name, status, business_key, hashdiff, updated_at AS effective_from,
+       coalesce(following, %s) AS effective_to, following IS NULL AS is_current, updated_at
+FROM followed""" % (framed("name", "status"), END),
     "watermark_advance": f"""
 SELECT '{PIPELINE}' AS pipeline, max(ts) AS updated_at_gte FROM events WHERE ts < TIMESTAMP '{CUT}'
 UNION ALL SELECT '{PIPELINE}', max(ts) FROM events WHERE ts >= TIMESTAMP '{CUT}'""",
@@ -160,7 +180,7 @@ WHERE ts >= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '{CUT}')""",
 WITH {EVENTS} SELECT {MESSAGE} FROM e
 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC, seq DESC) = 1""",
     "dedupe_latest_ties": """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders
+SELECT * FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     "scd2_stage": f"""
 WITH {EVENTS}, {staged('new', 'TRUE')}

@@ -197,6 +197,22 @@ def watermark_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_mark(log, by_pipeline=True)
 
 
+def watermark_of_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is new for one pipeline of a log that several write to."""
+    events = customer_events(spark, sf_dir)
+    log = before(events).select(F.col("status").alias("pipeline"), F.col("updated_at").alias("updated_at_gte"))
+    mark = fetch_mark(log, "click")
+    return read_increment(events, mark).select("seq", "customer_id", "status", "updated_at")
+
+
+def scd2_history_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by sequence, several of which share a day's time; half of the keys take the plan for hot ones."""
+    events = customer_events(spark, sf_dir).withColumn("updated_at", F.date_trunc("day", "updated_at").cast(NTZ))
+    batch = F.floor(F.col("seq") / 150)
+    few = scd2_history(events.where("customer_id % 2 = 0"), EVENT_SPEC, batch)
+    return few.unionByName(scd2_history(events.where("customer_id % 2 = 1"), EVENT_SPEC, batch, hot_rows=3))
+
+
 def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "watermarks")
     events = customer_events(spark, sf_dir)
@@ -216,8 +232,7 @@ def dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_latest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").drop("o_totalprice")
-    return latest_per_key(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"])
+    return latest_per_key(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"])
 
 
 # Type-2 dimension
@@ -384,6 +399,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         incremental_read,
         dedupe_latest,
         dedupe_latest_ties,
+        watermark_of_pipeline,
+        scd2_history_batches,
         scd2_stage,
         scd2_changed_keys,
         scd2_new_keys,

@@ -9,27 +9,28 @@ from tidemark.operators.latest import latest_per_key
 from tidemark.operators.scd2 import Scd2Spec, dimension_columns, fingerprint, open_end, valid_changes
 from tidemark.session import scratch_dir
 
-# A key with more rows than this may be split over several tasks; a slice aims at the same size.
-HOT_ROWS = 4_000_000
-
-# Bounds the task count of the range partitioning; slices grow beyond it, results stay the same.
-MAX_SLICES = 20_000
+# Rows that a slice of a hot key aims at.
+SLICE_ROWS = 4_000_000
 
 
 def scd2_history(
     changes: DataFrame,
     spec: Scd2Spec,
     bucket: Column | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     prereduce: bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """All versions of all keys, equal to merging the batches one after the other.
 
-    `bucket` names the batch of a change and must not decrease with `order_by`; within a batch only
-    the last change of a key counts. Without it every distinct time is its own batch.
+    `bucket` names the batch of a change and must not decrease in a key's order: time, tie-break,
+    tracked columns. Within a batch only the last change of a key counts. Several batches may share
+    a time. Without `bucket` every distinct time is its own batch.
 
-    Keys with more than `hot_rows` changes take another plan with the same result, so no task ever
-    holds one such key; finding them is a map-side count over the key column. `None` skips that.
+    With `hot_rows`, keys with more changes than that take another plan with the same result, in
+    slices of about `slice_rows` rows, so no task ever holds one such key. Finding them counts the
+    key column map-side and runs jobs at once, and the changes are read several times: give it a
+    pinned table. By default one task sorts a key's changes, spilling as needed.
 
     `prereduce` drops all but the last change of each batch before the shuffle by key. It adds a
     shuffle of what is left, so it pays only where keys change many times per batch.
@@ -41,17 +42,17 @@ def scd2_history(
 
     if hot_rows is None:
         return by_key(rows)
-    counts = rows.groupBy(spec.key).count().where(F.col("count") > hot_rows)
-    total = counts.agg(F.sum("count")).first()[0]
+    spark = changes.sparkSession
+    path = scratch_dir(spark, "hot-keys")
+    rows.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).write.parquet(path)
+    counts = spark.read.parquet(path)
+    total = counts.agg(F.sum("_n")).first()[0]
     if total is None:
         return by_key(rows)
 
-    spark = changes.sparkSession
-    path = scratch_dir(spark, "hot-keys")
-    counts.select(spec.key).write.parquet(path)
-    hot = spark.read.parquet(path)
+    hot = counts.select(spec.key)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = min(max(width, total // HOT_ROWS), MAX_SLICES)
+    slices = max(width, total // slice_rows)
     cold_part = by_key(rows.join(hot, spec.key, "left_anti"))
     hot_part = _by_slice(rows.join(hot, spec.key, "left_semi"), spec, bucket, slices)
     return cold_part.unionByName(hot_part)
@@ -104,25 +105,27 @@ def _by_key(rows: DataFrame, spec: Scd2Spec, bucket: Column | None) -> DataFrame
 def _by_slice(rows: DataFrame, spec: Scd2Spec, bucket: Column | None, slices: int) -> DataFrame:
     """The same over time slices of keys, so that a key is never in one task as a whole.
 
-    After the batches are reduced, (key, time) is unique and a range partitioning cuts keys at any
-    size. The slices are written once, so both the rows and their edges see the same cut; the rows
+    After the batches are reduced a range partitioning by a key's whole order cuts keys at any size,
+    also where batches share a time. The slices are written once, so both the rows and their edges
+    see the same cut; the rows
     that open versions are written too, as they are read for the versions and for the edges. What
     crosses an edge is small: one row per (key, slice), that is at most one per hot key plus one per
     slice.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, "slices")
+    order = (spec.order_by, *spec.final_order)
     (
         _batch_winners(rows, spec, bucket)
-        .repartitionByRange(slices, spec.key, spec.order_by)
+        .repartitionByRange(slices, spec.key, *[F.col(c).asc_nulls_first() for c in order])
         .withColumn("_slice", F.spark_partition_id())
         .write.parquet(path)
     )
     sliced = spark.read.parquet(path)
 
-    in_slice = Window.partitionBy(spec.key, "_slice").orderBy(spec.order_by)
+    in_slice = Window.partitionBy(spec.key, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     across = Window.partitionBy(spec.key).orderBy("_slice")
-    last_rows = sliced.groupBy(spec.key, "_slice").agg(F.max_by(F.struct(*spec.tracked), spec.order_by).alias("_last"))
+    last_rows = sliced.groupBy(spec.key, "_slice").agg(F.max_by(F.struct(*spec.tracked), F.struct(*order)).alias("_last"))
     last_hashes = fingerprint(last_rows.select(spec.key, "_slice", "_last.*"), spec).select(
         spec.key, "_slice", F.lag("hashdiff").over(across).alias("_carried")
     )

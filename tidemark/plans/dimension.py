@@ -29,16 +29,17 @@ HASHED_ROWS = 200_000
 class DimensionStore:
     """Folders of one dimension.
 
-    `slots/0` and `slots/1` hold the open rows, written in turn; `closed/version=N` holds the rows
-    that the step to version N closed; `commits` has one row per finished run and is the watermark
-    log. Readers and the next run trust `commits` only, which is written last: what a crashed run
+    `slots/N` holds the open rows as some run left them; `closed/version=N` holds the rows that the
+    step to version N closed; `commits` has one row per finished run and is the watermark log. A
+    folder that a commit names is never written again; `expire` drops those of old versions. Readers and the next run trust `commits` only, which is written last: what a crashed run
     left behind is not visible and is overwritten by the next run that makes the same version.
 
     Open rows are bucketed by key, so a run shuffles the batch and not the dimension. Choose
     `buckets` so that one bucket of open rows fits a task; a store keeps its count until another is
     given, and then changes it with the next run that alters the dimension. A run whose batch alters
-    nothing keeps the version and rewrites nothing. One writer per store is assumed, and a reader
-    must finish before the second next run that alters the dimension.
+    nothing keeps the version and rewrites nothing. One writer per store is assumed.
+
+    With `view`, each run publishes what it committed under that name.
     """
 
     def __init__(
@@ -50,8 +51,10 @@ class DimensionStore:
         key_type: str = "int",
         ts_type: str = "timestamp",
         buckets: int | None = None,
+        view: str | None = None,
     ) -> None:
         self.spark = spark
+        self.view = view
         self.root = root.rstrip("/")
         self.spec = spec or Scd2Spec()
         self.pipeline = pipeline
@@ -98,18 +101,21 @@ class DimensionStore:
         log = self.spark.read.schema(self.commit_schema).parquet(self.commits_path)
         return log.where(F.col("pipeline") == self.pipeline)
 
+    def last_batch(self, stream: str) -> int | None:
+        """The last batch of a stream that is in the dimension."""
+        return self.commits().where(F.col("stream") == stream).agg(F.max("batch_id")).first()[0]
+
     def last_commit(self) -> Row | None:
-        """State after the newest finished run: its slot, the high-water mark and the last stream batch."""
+        """State after the newest finished run: its version, slot and buckets, and the high-water mark."""
         newest = F.max_by(F.struct("slot", "buckets"), "version")
         row = (
             self.commits()
             .agg(
                 F.max("version").alias("version"),
                 newest.alias("at"),
-                F.max("batch_id").alias("batch_id"),
                 mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"),
             )
-            .select("version", "at.*", "batch_id", "mark")
+            .select("version", "at.*", "mark")
             .first()
         )
         return None if row.version is None else row
@@ -153,29 +159,37 @@ class DimensionStore:
         mark = literal_mark(commit.mark, self.ts_type) if commit else None
         return self._merge(commit, read_increment(bronze, mark, self.spec.order_by, day_column, lookback))
 
-    def apply(self, changes: DataFrame, batch_id: int | None = None) -> int | None:
-        """Merges a batch of changes. An empty batch, or a stream batch seen before, changes nothing."""
-        commit = self.last_commit()
-        if commit and batch_id is not None and commit.batch_id is not None and batch_id <= commit.batch_id:
-            return None
-        return self._merge(commit, changes, batch_id)
+    def apply(self, changes: DataFrame, batch_id: int | None = None, stream: str = "") -> int | None:
+        """Merges a batch of changes. An empty batch, or one of `stream` that is in already, changes nothing.
+
+        Batch ids count per stream: a stream that starts anew needs another name.
+        """
+        if batch_id is not None:
+            last = self.last_batch(stream)
+            if last is not None and batch_id <= last:
+                return None
+        return self._merge(self.last_commit(), changes, batch_id, stream)
 
-    def _merge(self, commit: Row | None, changes: DataFrame, batch_id: int | None = None) -> int | None:
+    def _merge(
+        self, commit: Row | None, changes: DataFrame, batch_id: int | None = None, stream: str = ""
+    ) -> int | None:
         staged = self._pin(changes)
         rows = staged.count()
         if rows == 0:
             return None
         if commit is None:
-            version, slot, buckets = 0, 0, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            version, slot, buckets = 0, -1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         else:
             version, slot, buckets = commit.version, commit.slot, commit.buckets
         # Keys are unique and spread by hash, so this bounds the batch's share of every bucket.
         batch = staged.hint("shuffle_hash") if rows <= HASHED_ROWS * buckets else staged
         if commit is None or self._alters(commit, batch):
-            version, slot, buckets = version + 1, 1 - slot, self.buckets or buckets
+            version, slot, buckets = version + 1, slot + 1, self.buckets or buckets
             self._write_slot(commit, batch, slot, buckets)
             self._write_closed(slot, version)
-        self._commit(staged, version, slot, buckets, batch_id)
+        self._commit(staged, version, slot, buckets, batch_id, stream)
+        if self.view:
+            self.publish(self.view)
         return version
 
     def _alters(self, commit: Row, staged: DataFrame) -> bool:
@@ -214,16 +228,30 @@ class DimensionStore:
         closed = written.where("NOT is_current").hint("rebalance").sortWithinPartitions("effective_from")
         closed.write.mode("overwrite").parquet(f"{self.closed_path}/version={version}")
 
-    def _commit(self, staged: DataFrame, version: int, slot: int, buckets: int, batch_id: int | None) -> None:
+    def _commit(
+        self, staged: DataFrame, version: int, slot: int, buckets: int, batch_id: int | None, stream: str
+    ) -> None:
         record = next_mark(staged, self.pipeline, self.spec.order_by).select(
             "*",
             F.lit(version).cast("bigint").alias("version"),
             F.lit(slot).cast("int").alias("slot"),
             F.lit(buckets).cast("int").alias("buckets"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
+            F.lit(stream).alias("stream"),
         )
         record.write.mode("append").parquet(self.commits_path)
 
+    def expire(self, keep: int = 2) -> None:
+        """Deletes the open rows of versions before the last `keep`; no reader may still use those."""
+        commit = self.last_commit()
+        if commit is None:
+            return
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/slots")
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for entry in files.listStatus(root):
+            if int(entry.getPath().getName()) <= commit.slot - keep:
+                files.delete(entry.getPath(), True)
+
     # Publishing
 
     def expose_staged(self, view: str) -> None:

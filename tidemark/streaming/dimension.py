@@ -14,16 +14,21 @@ def upsert_stream(
     checkpoint: str,
     available_now: bool = False,
     every: str | None = None,
+    stream: str | None = None,
 ) -> StreamingQuery:
     """Merges each micro-batch into the store. Each one that alters the dimension writes all its open
     rows, so `every` should be long.
 
-    The commit record carries the batch id, so a batch that the engine delivers again after a
-    failure is recognised and skipped.
+    The commit record carries the stream's name and the batch id, so a batch that the engine delivers
+    again after a failure is recognised and skipped. The name is the query's id, which the checkpoint
+    holds: a new checkpoint is a new stream, and several streams may feed one store by turns.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        store.apply(batch, batch_id=batch_id)
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise RuntimeError("the engine names no query here: give `stream`")
+        store.apply(batch, batch_id=batch_id, stream=name)
 
     writer = events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     if available_now:
