@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from contract.oracle import ORACLE_SQL
 from contract.queries import (
     EVENT_SPEC,
     NTZ,
+    QUERIES,
     before,
     customer_events,
     dedupe_latest,
@@ -33,10 +35,13 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    """The training-data queries, most of which are beyond SQL, have tests of their own."""
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     assert differences(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == []
 
@@ -104,9 +109,9 @@ def test_mart_spreads_the_distinct_count(spark):
     assert text.count("HashAggregate") == 4
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plans(spark, name):
-    text = plan(contract.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "Python" not in text and "Arrow" not in text
 
 
