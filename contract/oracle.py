@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contract.queries import CUT, CUTS, PIPELINE, SOURCE
+from contract.queries import CUT, CUTS, PIPELINE, SOURCE, YEAR
 
 END = "TIMESTAMP '9999-12-31 00:00:00'"
 JSON_TIME = "'%Y-%m-%dT%H:%M:%S.%f'"
@@ -219,4 +219,18 @@ SELECT * FROM dimension""",
     "gold_sorted_export": DAILY + GOLD.format(source="dimension"),
     "csv_lines_load": DAILY + GOLD.format(source="dimension"),
     "medallion_end_to_end": BY_CUT + GOLD.format(source="dimension"),
+    "order_ties_end_to_end": f"""
+WITH o AS (
+  SELECT o_custkey AS customer_id, o_orderpriority AS name, o_orderstatus AS status,
+         CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS updated_at, o_orderkey AS seq
+  FROM orders
+), {versions('o', 'customer_id', ('name', 'status'), 'updated_at', ('seq',), f"updated_at < TIMESTAMP '{YEAR}'")}
+SELECT {DIMENSION} FROM dimension""",
+    "layers_by_name": f"""
+{BY_CUT}, {staged('arrived', f"updated_at >= (SELECT max(updated_at) FROM e WHERE updated_at < TIMESTAMP '{CUT}')")}
+SELECT 'silver' AS layer, CAST(effective_from AS DATE) AS day, status, count(*) AS cnt
+FROM dimension GROUP BY 2, 3
+UNION ALL SELECT 'gold', CAST(effective_from AS DATE), status, count(DISTINCT customer_id)
+FROM dimension WHERE is_current GROUP BY 2, 3
+UNION ALL SELECT 'staged', CAST(updated_at AS DATE), status, count(*) FROM arrived GROUP BY 2, 3""",
 }

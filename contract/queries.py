@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,11 @@ from tidemark.operators import (
     stage_changes,
 )
 from tidemark.plans import DimensionStore, build_gold, run_chain
-from tidemark.plans.layers import ChainConfig, read_gold
+from tidemark.plans.layers import ChainConfig, create_layers, ingest_files, read_gold, refresh_layers, run_silver
 from tidemark.schemas import message_schema
 from tidemark.session import scratch_dir, use_utc
 from tidemark.settings import Settings
-from tidemark.sinks import PathTarget, append, export, replace_from_lines, to_text, write_bronze
+from tidemark.sinks import PathTarget, append, export, replace_from_lines, to_text
 from tidemark.plans.rowlevel import merge_source
 from tidemark.sources import generate_events, lines_from_files, read_bronze, text_messages
 from tidemark.streaming import ingest, upsert_stream
@@ -41,6 +42,7 @@ KEY_TYPE = "bigint"
 SOURCE = "events"
 PIPELINE = "dim_customer_scd2"
 CUT = "2024-01-16 00:00:00"
+YEAR = "1996-01-01 00:00:00"
 CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 EVENT_SPEC = Scd2Spec(tie_break=("seq",))
@@ -163,9 +165,17 @@ def cdc_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "bronze")
-    write_bronze(parse(with_source_seq(cdc_to_json(spark, sf_dir))), path)
-    bronze = read_bronze(spark, path, key_type=KEY_TYPE, ts_type=NTZ)
+    root = scratch_dir(spark, "bronze")
+    to_text(cdc_to_json(spark, sf_dir), f"{root}/messages")
+    ingest(
+        text_messages(spark, f"{root}/messages"),
+        f"{root}/bronze",
+        f"{root}/checkpoint",
+        schema=message_schema(key_type=KEY_TYPE),
+        ts_type=NTZ,
+        available_now=True,
+    ).awaitTermination()
+    bronze = read_bronze(spark, f"{root}/bronze", key_type=KEY_TYPE, ts_type=NTZ)
     return bronze.groupBy("updated_day").agg(F.count("*").alias("cnt"))
 
 
@@ -383,6 +393,49 @@ def medallion_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target.path)
 
 
+def order_ties_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as messages, through ingest and two silver runs; orders of one customer and year tie by number."""
+    root = scratch_dir(spark, "ties")
+    config = ChainConfig(Settings(warehouse=f"{root}/warehouse"), key_type=KEY_TYPE, ts_type=NTZ)
+    orders = table(spark, sf_dir, "orders").select(
+        F.lit("U").alias("op"),
+        F.col("o_orderdate").cast(NTZ).alias("event_ts"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderpriority").alias("name"),
+        F.col("o_orderstatus").alias("status"),
+        F.date_trunc("year", "o_orderdate").cast(NTZ).alias("updated_at"),
+        F.lit("orders").alias("source"),
+        F.col("o_orderkey").alias("seq"),
+    )
+    for part in (before(orders, YEAR), from_cut(orders, YEAR)):
+        to_text(cdc_messages(part, MESSAGE), f"{root}/messages")
+        ingest_files(spark, config, f"{root}/messages")
+        run_silver(spark, config)
+    return config.store(spark).dimension()
+
+
+def layers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from silver, gold and the staged batch, read by name after two increments and an empty one."""
+    events = customer_events(spark, sf_dir)
+    root = scratch_dir(spark, "layers")
+    prefix = f"t{uuid.uuid4().hex}_"
+    config = ChainConfig(
+        Settings(warehouse=f"{root}/warehouse"), EVENT_SPEC, KEY_TYPE, NTZ, prefix=prefix, published=True
+    )
+    create_layers(spark, config)
+    for part in (before(events), from_cut(events)):
+        config.store(spark).apply(part.limit(0))
+        to_text(cdc_messages(part, MESSAGE), f"{root}/messages")
+        run_chain(spark, config, f"{root}/messages", PathTarget(f"{root}/serving"))
+    refresh_layers(spark, config)
+    config.store(spark).expose_staged(f"{prefix}staged")
+    return spark.sql(f"""
+        SELECT 'silver' AS layer, to_date(effective_from) AS day, status, count(*) AS cnt
+        FROM {prefix}silver.dim_customer GROUP BY 2, 3
+        UNION ALL SELECT 'gold', day, customer_status, cnt FROM {prefix}gold.customer_daily
+        UNION ALL SELECT 'staged', to_date(updated_at), status, count(*) FROM {prefix}staged GROUP BY 2, 3""")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -419,5 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gold_sorted_export,
         csv_lines_load,
         medallion_end_to_end,
+        order_ties_end_to_end,
+        layers_by_name,
     )
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import Scd2Spec, build_daily
 from tidemark.operators.scd2 import open_versions, stage_changes
@@ -21,8 +22,15 @@ from tidemark.plans.rowlevel import (
 from tidemark.schemas import gold_schema
 from tidemark.session import catalog_conf, object_store_conf, scratch_dir
 from tidemark.settings import Settings
-from tidemark.sinks import JdbcTarget, PathTarget, overwrite_partitions, replace_from_lines, to_text
-from tidemark.sources import lines_from_files, lines_from_text, parse_lines, text_messages
+from tidemark.sinks import JdbcTarget, PathTarget, export, overwrite_partitions, replace, replace_from_lines, to_text
+from tidemark.sources import (
+    generate_events,
+    lines_from_files,
+    lines_from_text,
+    parse_lines,
+    sequence_rows,
+    text_messages,
+)
 from tidemark.streaming import ingest
 from tests.test_messages import GOOD
 from tests.test_scd2 import SPEC, T1, T2, changes
@@ -92,6 +100,29 @@ def test_jdbc_target_truncates_instead_of_dropping():
     assert "p'" not in repr(target)
 
 
+def test_a_build_that_stops_leaves_the_old_rows(spark, root):
+    target = PathTarget(f"{root}/serving")
+    whole = spark.createDataFrame([(DAY1, "a", 1)], gold_schema())
+    stops = whole.withColumn("cnt", F.raise_error(F.lit("stopped")).cast("bigint"))
+    replace(whole, f"{root}/gold", ["day"])
+    export(whole, target)
+    with pytest.raises(Exception, match="stopped"):
+        replace(stops, f"{root}/gold", ["day"])
+    with pytest.raises(Exception, match="stopped"):
+        export(stops, target)
+    assert gold(spark, f"{root}/gold") == [(DAY1, "a", 1)]
+    assert [tuple(r) for r in spark.read.parquet(target.path).collect()] == [(DAY1, "a", 1)]
+    replace(whole.withColumn("cnt", F.lit(2).cast("bigint")), f"{root}/gold", ["day"])
+    assert gold(spark, f"{root}/gold") == [(DAY1, "a", 2)]
+
+
+def test_a_stop_between_the_renames_is_mended(spark, root):
+    whole = spark.createDataFrame([(DAY1, "a", 1)], gold_schema())
+    replace(whole, f"{root}/gold.old", ["day"])
+    replace(whole, f"{root}/gold", ["day"])
+    assert gold(spark, f"{root}/gold") == [(DAY1, "a", 1)]
+
+
 def test_lines_are_trimmed_and_typed(spark, root):
     to_text(spark.createDataFrame([("2026-03-13, active ,10",)], "value string"), f"{root}/lines")
     rows = parse_lines(lines_from_files(spark, f"{root}/lines")).collect()
@@ -142,7 +173,12 @@ def test_jobs_run_the_chain(spark, root, monkeypatch):
         monkeypatch.setenv(name, value)
     jobs.main(["generate", "--files", f"{root}/in", "--count", "100"])
     jobs.main(["bronze", "--files", f"{root}/in", "--available-now"])
-    jobs.main(["silver"])
+    jobs.main(["silver", "--hash-mode", "compat", "--lookback", "1 day"])
+    newest = generate_events(sequence_rows(spark, 100), max_id=5).groupBy("customer_id")
+    expected = newest.agg(F.max_by("status", "seq").alias("status")).orderBy("customer_id").collect()
+    silver = ChainConfig(Settings(warehouse=f"{root}/warehouse")).store(spark).current()
+    assert silver.select("customer_id", "status").orderBy("customer_id").collect() == expected
+    assert silver.where(F.col("hashdiff") == F.sha2(F.concat_ws("||", "name", "status"), 256)).count() == 5
     jobs.main(["gold"])
     jobs.main(["export", "--path", f"{root}/serving"])
     served = spark.read.parquet(f"{root}/serving").collect()
@@ -237,6 +273,8 @@ def test_settings_come_from_the_environment():
             "S3_ACCESS_KEY": "k",
             "S3_SECRET_KEY": "s",
             "PIPELINE_NAME": "p",
+            "CATALOG_TYPE": "hive",
+            "CATALOG_URI": "thrift://metastore:9083",
         }
     )
     assert settings.bronze_path == "s3a://b/warehouse/bronze/customer_cdc"
@@ -256,6 +294,20 @@ def test_catalog_conf():
         catalog_conf("lake", "other", "w")
 
 
+def test_catalog_settings_reach_the_session(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(jobs, "build_session", lambda *args: given.append(args[3]) or spark)
+    monkeypatch.setattr(jobs, "run_on_tables", lambda *args: given.append(args[3].catalog))
+    monkeypatch.setenv("CATALOG_TYPE", "hive")
+    monkeypatch.setenv("CATALOG_URI", "thrift://metastore:9083")
+    jobs.main(["silver", "--catalog", "lake"])
+    assert given[0]["spark.sql.catalog.lake.uri"] == "thrift://metastore:9083" and given[1] == "lake"
+    jobs.main(["tables", "--catalog", "lake"])
+    monkeypatch.delenv("CATALOG_TYPE")
+    jobs.main(["tables", "--catalog", "lake"])
+    assert given[4] == {}
+
+
 def test_scratch_folders_are_new_and_shared(spark):
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert first != second

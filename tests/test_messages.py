@@ -11,6 +11,8 @@ from tidemark.functions import iso_seconds, parse_timestamp
 from tidemark.operators import accepted, cdc_messages, parse_cdc, rejected
 from tidemark.schemas import MESSAGE_FIELDS, message_schema
 from tidemark.sinks import to_text, write_bronze
+from tidemark.sources.messages import kafka_positions
+from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec, stage_changes
 from tidemark.sources import (
     event_clock,
     generate_events,
@@ -114,6 +116,43 @@ def test_stream_restart_adds_only_new_files(spark, root):
     assert sorted(r.customer_id for r in read_bronze(spark, f"{root}/bronze").collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("files_per_day", [1, 3])
+def test_a_micro_batch_writes_few_files_a_day(spark, root, files_per_day):
+    texts = [(GOOD.replace("03-13", f"03-{10 + i % 4}"),) for i in range(400)] + [("broken",)]
+    spark.createDataFrame(texts, "value string").repartition(20).write.text(f"{root}/in")
+    source = text_messages(spark, f"{root}/in")
+    ingest(source, f"{root}/b", f"{root}/ck", available_now=True, files_per_day=files_per_day).awaitTermination()
+    assert read_bronze(spark, f"{root}/b").count() == 400
+    files = spark.read.parquet(f"{root}/b").select("updated_day", F.input_file_name().alias("f")).distinct()
+    assert max(r["count"] for r in files.groupBy("updated_day").count().collect()) <= files_per_day
+
+
+def test_ingest_may_keep_malformed_messages_as_null_events(spark, root):
+    to_text(spark.createDataFrame([(GOOD,), ("broken",)], "value string"), f"{root}/in")
+    source = text_messages(spark, f"{root}/in")
+    ingest(source, f"{root}/b", f"{root}/ck", available_now=True, keep_malformed=True).awaitTermination()
+    rows = read_bronze(spark, f"{root}/b").select("customer_id", "status").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, "vip"), (None, None)]
+
+
+def test_offsets_of_two_partitions_do_not_decide(spark):
+    """The busier partition has the higher offset, the other one the later record."""
+    early, late = dt.datetime(2026, 3, 13, 10), dt.datetime(2026, 3, 13, 11)
+    records = spark.createDataFrame(
+        [(GOOD, early, 900), (GOOD.replace("vip", "active"), late, 5)], "value string, timestamp timestamp, offset long"
+    )
+    parsed = parse_cdc(kafka_positions(records), message_schema())
+    assert stage_changes(accepted(parsed), Scd2Spec(tie_break=MESSAGE_TIES)).first().status == "active"
+    own = records.withColumn("value", F.replace("value", F.lit('"s"}'), F.concat(F.lit('"s","seq":'), "offset", F.lit("}"))))
+    parsed = parse_cdc(kafka_positions(own), message_schema())
+    assert stage_changes(accepted(parsed), Scd2Spec(tie_break=MESSAGE_TIES)).first().status == "vip"
+
+
+def test_messages_may_carry_their_key(spark):
+    events = generate_events(sequence_rows(spark, 3), max_id=5)
+    assert cdc_messages(events, MESSAGE_FIELDS, key="customer_id").columns == ["key", "value"]
+
+
 def test_bronze_is_partitioned_by_day(spark, root):
     later = GOOD.replace("03-13", "03-14")
     write_bronze(parse_cdc(messages(spark, GOOD, later, "broken"), message_schema()), f"{root}/bronze")

@@ -25,16 +25,22 @@ def parse_cdc(
     A message is rejected when it is NULL, is no JSON object of the schema's types, lacks a required
     field or has a required timestamp that is none. Unknown fields are dropped. Works on streams and
     batches alike; `ingest_ts` is constant within a micro-batch.
+
+    `seq` is the message's own sequence, else its position. Positions of two partitions do not compare,
+    so a message without a sequence also keeps the source's time in `source_ts`, which is ordered first.
     """
+    source_ts = F.col("source_ts") if "source_ts" in messages.columns else F.lit(None).cast("timestamp")
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # A generator is not merged with later filters, so each message is parsed once.
-    parsed = messages.select(F.col("value").cast("string").alias("raw"), "source_seq").select(
-        "raw", "source_seq", F.inline(F.array(F.from_json("raw", with_corrupt, options)))
+    positions = ["source_seq", source_ts.alias("source_ts")]
+    parsed = messages.select(F.col("value").cast("string").alias("raw"), *positions).select(
+        "raw", "source_seq", "source_ts", F.inline(F.array(F.from_json("raw", with_corrupt, options)))
     )
     flat = parsed.select(
         "raw",
         "source_seq",
+        "source_ts",
         CORRUPT,
         *[F.col(f.name).alias(f"{f.name}_text") if f.name in ts_cols else F.col(f.name) for f in schema.fields],
         *[parse_timestamp(F.col(c), ts_type).alias(c) for c in ts_cols],
@@ -52,10 +58,11 @@ def parse_cdc(
 
     judged = flat.withColumn("reject_reason", reason)
     is_rejected = F.col("reject_reason").isNotNull()
-    sequence = F.coalesce("seq", "source_seq") if "seq" in schema.names else F.col("source_seq")
+    own = F.col("seq") if "seq" in schema.names else F.lit(None).cast("bigint")
     return judged.select(
         *[F.col(name) for name in schema.names if name != "seq"],
-        sequence.alias("seq"),
+        F.coalesce(own, "source_seq").alias("seq"),
+        F.when(own.isNull(), F.col("source_ts")).alias("source_ts"),
         F.current_timestamp().alias("ingest_ts"),
         "reject_reason",
         F.when(is_rejected, F.col("raw")).alias("raw"),
@@ -79,6 +86,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("rejected")).select("reject_reason", "raw", "seq", "ingest_ts")
 
 
-def cdc_messages(events: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Events as message rows: UTF-8 JSON in `value`, no key."""
-    return events.select(message_value(fields).alias("value"))
+def cdc_messages(events: DataFrame, fields: Sequence[str], key: str | None = None) -> DataFrame:
+    """Events as message rows: UTF-8 JSON in `value`, and one column's text in `key` where it is named."""
+    keyed = [] if key is None else [F.col(key).cast("string").alias("key")]
+    return events.select(*keyed, message_value(fields).alias("value"))

@@ -37,6 +37,10 @@ class Scd2Spec:
         return tuple(dict.fromkeys((self.key, *self.tracked, self.order_by, *self.tie_break)))
 
 
+#: For changes read from bronze: the source's sequence decides, then when the message came in.
+MESSAGE_TIES = ("source_ts", "seq", "ingest_ts")
+
+
 def dimension_columns(spec: Scd2Spec) -> list[str]:
     return [
         spec.key,

@@ -31,8 +31,9 @@ class DimensionStore:
 
     `slots/N` holds the open rows as some run left them; `closed/version=N` holds the rows that the
     step to version N closed; `commits` has one row per finished run and is the watermark log. A
-    folder that a commit names is never written again; `expire` drops those of old versions. Readers and the next run trust `commits` only, which is written last: what a crashed run
-    left behind is not visible and is overwritten by the next run that makes the same version.
+    folder that a commit names is never written again; `expire` drops those of old versions. Readers
+    and the next run trust `commits` only, which is written last: what a crashed run left behind is
+    not visible and is overwritten by the next run that makes the same version.
 
     Open rows are bucketed by key, so a run shuffles the batch and not the dimension. Choose
     `buckets` so that one bucket of open rows fits a task; a store keeps its count until another is

@@ -6,15 +6,18 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.cdc import cdc_messages
+from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec
 from tidemark.plans.layers import ChainConfig, build_gold, create_layers, export_gold, refresh_layers, run_silver
 from tidemark.plans.rowlevel import RowLevelLayers
-from tidemark.schemas import MESSAGE_FIELDS
-from tidemark.session import build_session
+from tidemark.schemas import SEQUENCED_FIELDS
+from tidemark.session import build_session, catalog_conf
 from tidemark.settings import Settings
 from tidemark.sinks.messages import to_kafka, to_text
 from tidemark.sinks.serving import JdbcTarget, PathTarget, export, replace_from_lines
+from tidemark.sinks.tables import FILES_PER_DAY
 from tidemark.sources.generator import generate_events, rate_rows, sequence_rows
 from tidemark.sources.lines import lines_from_files, lines_from_text
 from tidemark.sources.messages import kafka_messages, text_messages
@@ -33,8 +36,12 @@ def _parser() -> argparse.ArgumentParser:
     bronze.add_argument("--available-now", action="store_true")
     bronze.add_argument("--every", help="pause between micro-batches, such as '1 minute'")
     bronze.add_argument("--max-per-trigger", type=int, help="bound on offsets or files of a micro-batch")
+    bronze.add_argument("--files-per-day", type=int, default=FILES_PER_DAY, help="bound for one micro-batch")
+    bronze.add_argument("--keep-malformed", action="store_true", help="store rejects as NULL events")
     silver = commands.add_parser("silver", help="merge new changes into the dimension")
     silver.add_argument("--buckets", type=int, help="bucket count of the open rows")
+    silver.add_argument("--hash-mode", choices=("framed", "compat"), default="framed", help="form of the fingerprint")
+    silver.add_argument("--lookback", help="also read changes this far below the mark, such as '2 days'")
     gold = commands.add_parser("gold", help="build the daily mart")
     gold.add_argument("--mode", choices=("full", "partitions"), default="full")
     export = commands.add_parser("export", help="replace the serving table")
@@ -53,7 +60,9 @@ def generate(spark: SparkSession, settings: Settings, args: argparse.Namespace)
     if args.count is None and (args.files or not endless):
         raise SystemExit("message files, and a rate of zero or less, need --count")
     rows = rate_rows(spark, settings.events_per_sec) if endless else sequence_rows(spark, args.count)
-    messages = cdc_messages(generate_events(rows, settings.max_customer_id, args.seed), MESSAGE_FIELDS)
+    clock = F.col("at") if endless else None
+    events = generate_events(rows, settings.max_customer_id, args.seed, clock=clock)
+    messages = cdc_messages(events, SEQUENCED_FIELDS, key="customer_id")
     if args.files:
         to_text(messages, args.files)
     else:
@@ -69,7 +78,12 @@ def bronze(spark: SparkSession, settings: Settings, args: argparse.Namespace) ->
     else:
         options = {"maxOffsetsPerTrigger": str(args.max_per_trigger)} if args.max_per_trigger else {}
         source = kafka_messages(spark, settings.brokers, settings.topic, options=options)
-    trigger = {"available_now": args.available_now, "every": args.every}
+    trigger = {
+        "available_now": args.available_now,
+        "every": args.every,
+        "files_per_day": args.files_per_day,
+        "keep_malformed": args.keep_malformed,
+    }
     checkpoint = settings.bronze_checkpoint
     if args.catalog:
         query = RowLevelLayers(args.catalog).ingest(source, checkpoint, **trigger)
@@ -90,8 +104,13 @@ def _target(settings: Settings, args: argparse.Namespace) -> JdbcTarget | PathTa
 def main(argv: Sequence[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     settings = Settings.from_env()
-    spark = build_session(f"tidemark-{args.command}", settings)
-    layers = RowLevelLayers(args.catalog, pipeline=settings.pipeline) if getattr(args, "catalog", None) else None
+    catalog = getattr(args, "catalog", None)
+    extra = {}
+    if catalog and settings.catalog_kind:
+        extra = catalog_conf(catalog, settings.catalog_kind, settings.warehouse, settings.catalog_uri)
+    spark = build_session(f"tidemark-{args.command}", settings, None, extra)
+    spec = Scd2Spec(tie_break=MESSAGE_TIES, hash_mode=getattr(args, "hash_mode", "framed"))
+    layers = RowLevelLayers(catalog, spec=spec, pipeline=settings.pipeline) if catalog else None
 
     if args.command == "generate":
         generate(spark, settings, args)
@@ -102,13 +121,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif layers:
         run_on_tables(spark, settings, args, layers)
     else:
-        run_on_folders(spark, settings, args)
+        run_on_folders(spark, settings, args, spec)
 
 
-def run_on_folders(spark: SparkSession, settings: Settings, args: argparse.Namespace) -> None:
-    config = ChainConfig(settings, buckets=getattr(args, "buckets", None))
+def run_on_folders(spark: SparkSession, settings: Settings, args: argparse.Namespace, spec: Scd2Spec) -> None:
+    config = ChainConfig(settings, spec, buckets=getattr(args, "buckets", None))
     if args.command == "silver":
-        run_silver(spark, config)
+        run_silver(spark, config, args.lookback)
     elif args.command == "gold":
         build_gold(config.store(spark).current(), settings.gold_path, config.spec, mode=args.mode)
     elif args.command == "export":
@@ -122,7 +141,7 @@ def run_on_tables(
     spark: SparkSession, settings: Settings, args: argparse.Namespace, layers: RowLevelLayers
 ) -> None:
     if args.command == "silver":
-        layers.run_silver(spark)
+        layers.run_silver(spark, args.lookback)
     elif args.command == "gold":
         layers.run_gold(spark, mode=args.mode)
     elif args.command == "export":

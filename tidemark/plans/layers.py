@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.operators.mart import build_daily
-from tidemark.operators.scd2 import Scd2Spec
+from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec
 from tidemark.plans.dimension import DimensionStore
 from tidemark.schemas import BRONZE_PARTITIONS, GOLD_PARTITIONS, bronze_schema, gold_schema, message_schema
 from tidemark.session import use_utc
@@ -21,17 +21,27 @@ from tidemark.sources.tables import read_bronze, read_layer
 from tidemark.streaming.ingest import ingest
 
 NAMESPACES = ("bronze", "meta", "silver", "gold")
+BRONZE, WATERMARKS, SILVER, GOLD = "bronze.customer_cdc", "meta.watermarks", "silver.dim_customer", "gold.customer_daily"
 
 
 @dataclass(frozen=True)
 class ChainConfig:
-    """Where the layers live and how keys and times are typed."""
+    """Where the layers live and how keys and times are typed.
+
+    `prefix` goes before the namespaces' names. With `published`, each silver run that commits shows
+    its versions as `silver.dim_customer`; the namespaces must be there (`create_layers`).
+    """
 
     settings: Settings
-    spec: Scd2Spec = field(default_factory=Scd2Spec)
+    spec: Scd2Spec = Scd2Spec(tie_break=MESSAGE_TIES)
     key_type: str = "int"
     ts_type: str = "timestamp"
     buckets: int | None = None
+    prefix: str = ""
+    published: bool = False
+
+    def name(self, table: str) -> str:
+        return f"{self.prefix}{table}"
 
     def store(self, spark: SparkSession) -> DimensionStore:
         return DimensionStore(
@@ -42,6 +52,7 @@ class ChainConfig:
             self.key_type,
             self.ts_type,
             self.buckets,
+            self.name(SILVER) if self.published else None,
         )
 
     def bronze(self, spark: SparkSession) -> DataFrame:
@@ -55,12 +66,12 @@ def create_layers(spark: SparkSession, config: ChainConfig) -> None:
     New partitions of bronze and gold are picked up by `refresh_layers`.
     """
     for name in NAMESPACES:
-        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name}")
+        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {config.name(name)} LOCATION '{config.settings.path(name)}'")
     bronze = bronze_schema(config.spec.key, config.key_type, config.ts_type)
-    _create_table(spark, "bronze.customer_cdc", bronze, config.settings.bronze_path, BRONZE_PARTITIONS)
+    _create_table(spark, config.name(BRONZE), bronze, config.settings.bronze_path, BRONZE_PARTITIONS)
     commits = config.store(spark)
-    _create_table(spark, "meta.watermarks", commits.commit_schema, commits.commits_path)
-    _create_table(spark, "gold.customer_daily", gold_schema(), config.settings.gold_path, GOLD_PARTITIONS)
+    _create_table(spark, config.name(WATERMARKS), commits.commit_schema, commits.commits_path)
+    _create_table(spark, config.name(GOLD), gold_schema(), config.settings.gold_path, GOLD_PARTITIONS)
 
 
 def _create_table(
@@ -72,13 +83,12 @@ def _create_table(
 
 
 def refresh_layers(spark: SparkSession, config: ChainConfig) -> None:
-    """Makes new partitions and commits visible by name. A folder written by a stream lists its own files."""
-    for name in ("bronze.customer_cdc", "meta.watermarks", "gold.customer_daily"):
+    """Makes new and vanished partitions and new commits visible by name."""
+    for name in map(config.name, (BRONZE, WATERMARKS, GOLD)):
         if any(column.isPartition for column in spark.catalog.listColumns(name)):
-            spark.catalog.recoverPartitions(name)
-        else:
-            spark.catalog.refreshTable(name)
-    config.store(spark).publish("silver.dim_customer")
+            spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+        spark.catalog.refreshTable(name)
+    config.store(spark).publish(config.name(SILVER))
 
 
 def ingest_files(spark: SparkSession, config: ChainConfig, messages: str) -> None:
@@ -94,8 +104,9 @@ def ingest_files(spark: SparkSession, config: ChainConfig, messages: str) -> Non
     query.awaitTermination()
 
 
-def run_silver(spark: SparkSession, config: ChainConfig) -> int | None:
-    return config.store(spark).run(config.bronze(spark), day_column="updated_day")
+def run_silver(spark: SparkSession, config: ChainConfig, lookback: str | None = None) -> int | None:
+    use_utc(spark)
+    return config.store(spark).run(config.bronze(spark), day_column="updated_day", lookback=lookback)
 
 
 def build_gold(dimension: DataFrame, path: str, spec: Scd2Spec, status: str = "status", mode: str = "full") -> None:

@@ -6,14 +6,14 @@ cannot do MERGE; they use `plans.dimension` and `plans.layers`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.mart import build_daily
-from tidemark.operators.scd2 import Scd2Spec, changed_keys, dimension_columns, open_versions, stage_changes
+from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec, changed_keys, dimension_columns, open_versions, stage_changes
 from tidemark.operators.watermark import fetch_mark, next_mark, read_increment
 from tidemark.schemas import bronze_schema, gold_schema, message_schema
 from tidemark.session import scratch_dir
@@ -27,7 +27,7 @@ class RowLevelLayers:
 
     catalog: str
     using: str = "iceberg"
-    spec: Scd2Spec = field(default_factory=Scd2Spec)
+    spec: Scd2Spec = Scd2Spec(tie_break=MESSAGE_TIES)
     pipeline: str = DEFAULT_PIPELINE
     key_type: str = "int"
     ts_type: str = "timestamp"
@@ -79,14 +79,14 @@ class RowLevelLayers:
         schema = message_schema(self.spec.key, self.key_type)
         return ingest(messages, self.bronze, checkpoint, schema, self.ts_type, as_table=True, **trigger)
 
-    def run_silver(self, spark: SparkSession) -> bool:
+    def run_silver(self, spark: SparkSession, lookback: str | None = None) -> bool:
         """Merges changes at or above the stored mark; False when there are none.
 
         The merge may be repeated without effect, so a run that stops before the mark is stored is
         simply run again.
         """
         mark = fetch_mark(spark.table(self.watermarks), self.pipeline)
-        changes = read_increment(spark.table(self.bronze).where("NOT rejected"), mark, self.spec.order_by)
+        changes = read_increment(spark.table(self.bronze).where("NOT rejected"), mark, self.spec.order_by, lookback=lookback)
         staged = stage_changes(changes, self.spec)
         path = scratch_dir(spark, "staged")
         staged.write.parquet(path)

@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 # The fields of a change message, in order.
 MESSAGE_FIELDS = ("op", "event_ts", "customer_id", "name", "status", "updated_at", "source")
 
+# With the source's sequence, for producers of our own.
+SEQUENCED_FIELDS = (*MESSAGE_FIELDS, "seq")
+
 BRONZE_PARTITIONS = ("rejected", "updated_day")
 GOLD_PARTITIONS = ("day",)
 SERVING_ORDER = ("day", "customer_status")
@@ -24,7 +27,7 @@ def bronze_schema(key: str = "customer_id", key_type: str = "int", ts_type: str
     """Typed events plus the quarantine columns; `rejected` and `updated_day` are partition columns."""
     return T.StructType.fromDDL(
         f"op string, event_ts {ts_type}, {key} {key_type}, name string, status string, updated_at {ts_type}, "
-        "source string, seq bigint, ingest_ts timestamp, reject_reason string, raw string, "
+        "source string, seq bigint, source_ts timestamp, ingest_ts timestamp, reject_reason string, raw string, "
         "rejected boolean, updated_day date"
     )
 

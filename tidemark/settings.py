@@ -32,6 +32,8 @@ class Settings:
     serving_database: str = DEFAULT_SERVING_DATABASE
     serving_table: str = DEFAULT_SERVING_TABLE
     daily_rows: str = ""
+    catalog_kind: str = ""
+    catalog_uri: str = ""
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Settings:
@@ -53,6 +55,8 @@ class Settings:
             serving_password=env.get("CLICKHOUSE_PASSWORD", ""),
             serving_database=env.get("CLICKHOUSE_DATABASE", cls.serving_database),
             daily_rows=env.get("CUSTOMER_DAILY_ROWS", "").strip(),
+            catalog_kind=env.get("CATALOG_TYPE", ""),
+            catalog_uri=env.get("CATALOG_URI", ""),
         )
 
     def path(self, *parts: str) -> str:

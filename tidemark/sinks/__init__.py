@@ -2,12 +2,13 @@
 
 from tidemark.sinks.messages import to_kafka, to_text
 from tidemark.sinks.serving import JdbcTarget, PathTarget, export, replace_from_lines, write_sorted
-from tidemark.sinks.tables import append, overwrite_partitions, replace, write_bronze
+from tidemark.sinks.tables import append, by_day, overwrite_partitions, replace, write_bronze
 
 __all__ = [
     "JdbcTarget",
     "PathTarget",
     "append",
+    "by_day",
     "export",
     "overwrite_partitions",
     "replace",

@@ -1,4 +1,4 @@
-"""Message producers: one UTF-8 JSON text per event, no key."""
+"""Message producers: one UTF-8 JSON text per event; a `key` keeps its messages in one partition of a topic."""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ def to_kafka(
 ) -> StreamingQuery | None:
     """Sends a batch, or starts a stream when `messages` is one. Needs the Kafka connector."""
     options = {"kafka.bootstrap.servers": brokers, "topic": topic}
+    messages = messages.select(*[c for c in ("key", "value") if c in messages.columns])
     if not messages.isStreaming:
-        messages.select("value").write.format("kafka").options(**options).save()
+        messages.write.format("kafka").options(**options).save()
         return None
     if not checkpoint:
         raise ValueError("a streaming producer needs a checkpoint folder")
-    writer = messages.select("value").writeStream.format("kafka").options(**options)
+    writer = messages.writeStream.format("kafka").options(**options)
     return writer.option("checkpointLocation", checkpoint).start()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.schemas import SERVING_ORDER
 from tidemark.session import scratch_dir
 from tidemark.settings import Settings
+from tidemark.sinks.tables import replace
 from tidemark.sources.lines import parse_lines
 
 # Fixed value: driver class of the column store that serves the mart.
@@ -19,7 +20,11 @@ SERVING_DRIVER = "com.clickhouse.jdbc.ClickHouseDriver"
 
 @dataclass(frozen=True)
 class JdbcTarget:
-    """A table behind JDBC. `connections` bounds how many tasks insert at the same time."""
+    """A table behind JDBC. `connections` bounds how many tasks insert at the same time.
+
+    Its rows are emptied before they are inserted, and on a store without transactions a task that
+    runs again inserts its rows again: repeat an export that failed.
+    """
 
     url: str
     table: str
@@ -63,7 +68,7 @@ class PathTarget:
 def write_sorted(df: DataFrame, path: str, order: Sequence[str] = SERVING_ORDER) -> None:
     """Globally sorted files: ranges of the sort key between files, sorted rows within."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    replace(ranged, path)
 
 
 def export(mart: DataFrame, target: JdbcTarget | PathTarget) -> None:

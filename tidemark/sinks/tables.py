@@ -4,19 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.schemas import BRONZE_PARTITIONS
 
+#: Files that one write gives a day at most. Choose it so that a day's share of a write fills them.
+FILES_PER_DAY = 8
+
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Full refresh: afterwards the folder holds exactly this result."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partition_by).parquet(path)
+    """Full refresh: afterwards the folder holds exactly this result.
+
+    The result is written whole beside the folder and then takes its place by two renames, so a job
+    that stops leaves the old rows. A stop between the renames is mended by the next call; until then
+    readers find no folder, never a part of one. One writer per folder is assumed.
+    """
+    path = path.rstrip("/")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(
+        f"{path}.next"
+    )
+    _put_in_place(df.sparkSession, f"{path}.next", path, f"{path}.old")
+
+
+def _put_in_place(spark: SparkSession, new: str, target: str, old: str) -> None:
+    new, target, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, target, old))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.delete(old, True)
+        if not files.rename(target, old):
+            raise OSError(f"cannot set {target} aside")
+    files.mkdirs(target.getParent())
+    if not files.rename(new, target):
+        raise OSError(f"cannot put {new} in the place of {target}")
+    files.delete(old, True)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -25,10 +50,16 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     writer.partitionBy(*partition_by).parquet(path)
 
 
-def write_bronze(parsed: DataFrame, path: str) -> None:
-    """Batch append of parsed messages by day of change.
+def by_day(parsed: DataFrame, files_per_day: int = FILES_PER_DAY) -> DataFrame:
+    """Parsed messages laid out so that a write gives each day `files_per_day` files at most.
 
-    Rebalancing gives each day few, evenly sized files; AQE splits a day that is far larger than the
-    others instead of leaving it to one task.
+    The salt is the number of the reading task, so a day that holds most rows is spread evenly and a
+    task that runs again deals its rows alike. Works on streams and batches.
     """
-    append(parsed.hint("rebalance", *BRONZE_PARTITIONS), path, BRONZE_PARTITIONS)
+    salted = parsed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(files_per_day)))
+    return salted.repartition(*BRONZE_PARTITIONS, "_salt").drop("_salt")
+
+
+def write_bronze(parsed: DataFrame, path: str, files_per_day: int = FILES_PER_DAY) -> None:
+    """Batch append of parsed messages, in the layout that the stream's ingest writes."""
+    append(by_day(parsed, files_per_day), path, BRONZE_PARTITIONS)

@@ -1,4 +1,4 @@
-"""Message sources. Each gives `value` and `source_seq`, the position that breaks ties."""
+"""Message sources. Each gives `value`, and `source_ts` and `source_seq`, the position that breaks ties."""
 
 from __future__ import annotations
 
@@ -27,7 +27,14 @@ def kafka_messages(
     )
     for name, value in (options or {}).items():
         reader = reader.option(name, value)
-    return reader.load().select("value", F.col("offset").cast("bigint").alias("source_seq"))
+    return kafka_positions(reader.load())
+
+
+def kafka_positions(records: DataFrame) -> DataFrame:
+    """Offsets order one partition only, so the record's time goes before them."""
+    return records.select(
+        "value", F.col("timestamp").alias("source_ts"), F.col("offset").cast("bigint").alias("source_seq")
+    )
 
 
 def text_messages(
@@ -36,8 +43,12 @@ def text_messages(
     streaming: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """One message per line of text files. Lines have no position, so `source_seq` is NULL."""
+    """One message per line of text files. A file's time orders files; lines of one file have no order."""
     reader = (spark.readStream if streaming else spark.read).format("text")
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path).select("value", F.lit(None).cast("bigint").alias("source_seq"))
+    return reader.load(path).select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("source_ts"),
+        F.lit(None).cast("bigint").alias("source_seq"),
+    )
