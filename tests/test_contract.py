@@ -92,19 +92,20 @@ def test_store_merge_shuffles_the_batch_only(spark, root):
     store = DimensionStore(spark, root, EVENT_SPEC, key_type="bigint", ts_type=NTZ, buckets=4)
     store.run(before(events))
     staged = store._pin(from_cut(events))
-    sorted_join = plan(scd2_merge(store.current(), staged, EVENT_SPEC))
-    hashed_join = plan(scd2_merge(store.current(), staged.hint("shuffle_hash"), EVENT_SPEC))
-    look_ahead = plan(altering_rows(store.current(), staged.hint("shuffle_hash"), EVENT_SPEC))
-    for text in (sorted_join, hashed_join, look_ahead):
-        assert text.count("Exchange") == 1 and "Bucketed: true" in text
-    assert "SortMergeJoin" in sorted_join
-    for text in (hashed_join, look_ahead):
-        assert "ShuffledHashJoin" in text and "Sort [" not in text
-
-
-@pytest.mark.parametrize("hashed_rows", [0, 200_000])
-def test_store_joins_by_hash_only_within_its_bound(spark, con, monkeypatch, hashed_rows):
-    monkeypatch.setattr("tidemark.plans.dimension.HASHED_ROWS", hashed_rows)
+    hashed = plan(store.changed_versions(store.last_commit(), staged))
+    store.hashed_rows = 0
+    sorted_ = plan(store.changed_versions(store.last_commit(), staged))
+    for text, join in ((hashed, "ShuffledHashJoin"), (sorted_, "SortMergeJoin")):
+        semi = text[text.index(f"{join} [customer_id"):]
+        assert "LeftSemi" in semi.split("\n")[0]
+        assert "Exchange" not in semi.split("Bucketed: true")[0]
+    assert "Sort [" not in hashed[hashed.index("LeftSemi"):].split("Bucketed: true")[0]
+
+
+@pytest.mark.parametrize("options", [{"hashed_rows": 0}, {"fold_after": 1}, {"fold_after": None}])
+def test_store_options_change_no_result(spark, con, monkeypatch, options):
+    real = DimensionStore.__init__
+    monkeypatch.setattr(DimensionStore, "__init__", lambda self, *args, **given: real(self, *args, **given, **options))
     name = "scd2_incremental"
     assert differences(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == []
 

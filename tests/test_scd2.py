@@ -178,16 +178,17 @@ def test_empty_batch_writes_nothing(spark, root):
     assert versions(store) == CHANGED
 
 
-def test_batch_without_changes_keeps_the_slot_and_advances_the_mark(spark, root):
+def test_batch_without_changes_keeps_the_version_and_advances_the_mark(spark, root):
     store = after_change(spark, root)
-    slot = store.last_commit().slot
+    before = store.last_commit()
     store.apply(changes(spark, (1, "vip", T3)))
-    assert store.last_commit().slot == slot
+    after = store.last_commit()
+    assert (after.version, after.base) == (before.version, before.base) == (2, 1)
     assert store.commits().agg(F.max("updated_at_gte")).first()[0] == T3
     assert versions(store) == CHANGED
 
 
-@pytest.mark.parametrize("step", ["_pin", "_write_slot", "_write_closed", "_commit"])
+@pytest.mark.parametrize("step", ["_pin", "_write_changes", "_commit"])
 @pytest.mark.parametrize("stop", ["before", "after"])
 def test_crash_and_repeat(spark, root, monkeypatch, step, stop):
     """A run that stops around any of its writes is invisible, and repeating it gives the whole result."""
@@ -210,6 +211,66 @@ def test_crash_and_repeat(spark, root, monkeypatch, step, stop):
     assert versions(store) == CHANGED
 
 
+@pytest.mark.parametrize("step", ["_write_base", "_write_closed", "_commit"])
+@pytest.mark.parametrize("stop", ["before", "after"])
+def test_crashed_fold_alters_nothing(spark, root, monkeypatch, step, stop):
+    """Also where the next fold starts from the same base and holds another step."""
+    store = after_change(spark, root)
+    real = getattr(DimensionStore, step)
+
+    def crash(self, *args):
+        if stop == "after":
+            real(self, *args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DimensionStore, step, crash)
+        with pytest.raises(RuntimeError):
+            store.fold()
+    assert versions(store) == CHANGED
+    store.apply(changes(spark, (1, "active", T3), (2, "vip", T3)))
+    expected = [CHANGED[0], (1, "active", T3, END, True), (1, "vip", T2, T3, False), (2, "vip", T3, END, True)]
+    assert versions(store) == sorted(expected)
+    for _ in range(2):
+        store.fold()
+        assert store.last_commit().base == 3
+        assert versions(store) == sorted(expected)
+
+
+def test_a_run_writes_what_its_batch_alters(spark, root):
+    store = new_store(spark, root)
+    store.apply(changes(spark, *[(key, "active", T1) for key in range(500)]))
+    base = spark.read.parquet(store.base_path(1)).inputFiles()
+    store.apply(changes(spark, (7, "vip", T2), (8, "active", T2)))
+    assert spark.read.parquet(store.changes_path).count() == 2
+    assert spark.read.parquet(store.base_path(1)).inputFiles() == base
+    assert store.last_commit().base == 1 and store.current().count() == 500
+
+
+def test_folding_keeps_rows_buckets_and_days(spark, root):
+    store = new_store(spark, root, fold_after=2, view="folded_dimension")
+    expected = {}
+    for step in range(7):
+        time = T1 + dt.timedelta(days=step)
+        for key in (step % 3, 9):
+            expected.setdefault(key, []).append((f"s{step}", time))
+        store.apply(changes(spark, *[(key, f"s{step}", time) for key in (step % 3, 9)]))
+        rows = sorted(map(tuple, store.dimension().collect()), key=str)
+        assert sorted(map(tuple, spark.table("folded_dimension").collect()), key=str) == rows
+    wanted = []
+    for key, own in expected.items():
+        ends = [time for _, time in own[1:]] + [END]
+        wanted += [(key, s, t, end, end == END) for (s, t), end in zip(own, ends)]
+    assert store.last_commit().base == 7
+    assert versions(store) == sorted(wanted)
+    closed = spark.read.parquet(store.closed_path)
+    assert closed.where(F.col("effective_day") != F.to_date("effective_from")).count() == 0
+    store.expire(keep=1)
+    assert versions(store) == sorted(wanted)
+    store.apply(changes(spark, (9, "late", T1 + dt.timedelta(days=30))))
+    assert len(versions(store)) == len(wanted) + 1
+
+
 def test_crashed_attempt_leaves_no_trace_when_repeated_without_changes(spark, root, monkeypatch):
     store = after_change(spark, root)
     with monkeypatch.context() as patch:

@@ -110,7 +110,9 @@ def altering_rows(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> Data
     return staged.join(old, spec.key, "left").where(F.col("_hash").isNull() | differs).drop("_hash", "_at")
 
 
-def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
+def scd2_merge(
+    current: DataFrame, staged: DataFrame, spec: Scd2Spec, altered_only: bool = False
+) -> DataFrame:
     """All current versions after the batch (`is_current`) and the versions it closed.
 
     One full join on the key, which is unique on both sides, decides every row: a key in one side
@@ -120,6 +122,8 @@ def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFra
 
     The join uses the key itself, of which the business key is the text: staging has already
     partitioned and sorted the batch by it.
+
+    `altered_only` leaves out the versions that stay as they are.
     """
     names = dimension_columns(spec)
     kept = F.struct(*[F.col(f"old.{c}").alias(c) for c in names])
@@ -131,13 +135,12 @@ def scd2_merge(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFra
     changed = (F.col("new.hashdiff") != F.col("old.hashdiff")) & (
         F.col(f"new.{spec.order_by}") >= F.col(f"old.{spec.order_by}")
     )
-    versions = (
-        F.when(only_new, F.array(opened))
-        .when(F.coalesce(changed, F.lit(False)), F.array(closed, opened))
-        .otherwise(F.array(kept))
-    )
+    versions = F.when(only_new, F.array(opened)).when(F.coalesce(changed, F.lit(False)), F.array(closed, opened))
+    if not altered_only:
+        versions = versions.otherwise(F.array(kept))
     old, new = current.select(*names).alias("old"), open_versions(staged, spec).alias("new")
-    joined = old.join(new, F.col(f"old.{spec.key}") == F.col(f"new.{spec.key}"), "full_outer")
+    how = "right_outer" if altered_only else "full_outer"
+    joined = old.join(new, F.col(f"old.{spec.key}") == F.col(f"new.{spec.key}"), how)
     return joined.select(F.inline(versions))
 
 

@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import literal_mark, mark_text
-from tidemark.operators.scd2 import (
-    Scd2Spec,
-    altering_rows,
-    dimension_columns,
-    open_versions,
-    scd2_merge,
-    stage_changes,
-)
+from tidemark.operators.latest import latest_per_key
+from tidemark.operators.scd2 import Scd2Spec, dimension_columns, open_versions, scd2_merge, stage_changes
 from tidemark.operators.watermark import next_mark, read_increment
 from tidemark.schemas import commit_schema
 from tidemark.settings import DEFAULT_PIPELINE
 
 
-# Up to this many batch rows per bucket are joined by hash, which spares the sort of the dimension.
-HASHED_ROWS = 200_000
-
-
 class DimensionStore:
     """Folders of one dimension.
 
-    `slots/N` holds the open rows as some run left them; `closed/version=N` holds the rows that the
-    step to version N closed; `commits` has one row per finished run and is the watermark log. A
-    folder that a commit names is never written again; `expire` drops those of old versions. Readers
-    and the next run trust `commits` only, which is written last: what a crashed run left behind is
-    not visible and is overwritten by the next run that makes the same version.
+    `base/N` holds the open rows of version N, bucketed by key. `changes/version=N` holds what the
+    step to version N opened and closed. `fold` makes a new base of the last one and the changes
+    since; the rows closed since then move to `closed/since=B`, in folders by day of
+    `effective_from`, B being the base that was folded. `commits` has one row per finished run or
+    fold and is the watermark log. Readers and the next run trust `commits` only, which is written
+    last: what a crashed run left behind is not visible and is overwritten by the next run that
+    makes the same folder. A folder that a commit names is never written again.
+
+    A run reads the base once and writes what its batch alters, so its writes do not grow with the
+    dimension; the batch is shuffled and the dimension is not. After `fold_after` altering runs the
+    changes are folded (None: only by a call). Choose `buckets` so that one bucket of open rows fits
+    a task; a store keeps its count until another is given, and then changes it by folding after the
+    next run that alters the dimension. One writer per store is assumed.
 
-    Open rows are bucketed by key, so a run shuffles the batch and not the dimension. Choose
-    `buckets` so that one bucket of open rows fits a task; a store keeps its count until another is
-    given, and then changes it with the next run that alters the dimension. A run whose batch alters
-    nothing keeps the version and rewrites nothing. One writer per store is assumed.
+    Up to `hashed_rows` rows per bucket of a batch are joined by hash, which spares the sort of the
+    base; a larger batch is sort-merged, with the same result.
 
     With `view`, each run publishes what it committed under that name.
     """
@@ -53,6 +50,8 @@ class DimensionStore:
         ts_type: str = "timestamp",
         buckets: int | None = None,
         view: str | None = None,
+        fold_after: int | None = 16,
+        hashed_rows: int = 200_000,
     ) -> None:
         self.spark = spark
         self.view = view
@@ -62,6 +61,8 @@ class DimensionStore:
         self.key_type = key_type
         self.ts_type = ts_type
         self.buckets = buckets
+        self.fold_after = fold_after
+        self.hashed_rows = hashed_rows
         # "ignore" writes the empty log only where none exists yet.
         spark.createDataFrame([], self.commit_schema).write.mode("ignore").parquet(self.commits_path)
 
@@ -73,12 +74,16 @@ class DimensionStore:
     def staged_path(self) -> str:
         return f"{self.root}/staged"
 
+    @property
+    def changes_path(self) -> str:
+        return f"{self.root}/changes"
+
     @property
     def closed_path(self) -> str:
         return f"{self.root}/closed"
 
-    def slot_path(self, slot: int) -> str:
-        return f"{self.root}/slots/{slot}"
+    def base_path(self, version: int) -> str:
+        return f"{self.root}/base/{version}"
 
     @property
     def commit_schema(self) -> T.StructType:
@@ -107,16 +112,12 @@ class DimensionStore:
         return self.commits().where(F.col("stream") == stream).agg(F.max("batch_id")).first()[0]
 
     def last_commit(self) -> Row | None:
-        """State after the newest finished run: its version, slot and buckets, and the high-water mark."""
-        newest = F.max_by(F.struct("slot", "buckets"), "version")
+        """State after the newest finished run: its version, base and buckets, and the high-water mark."""
+        newest = F.max_by(F.struct("version", "base", "buckets"), F.struct("version", "base"))
         row = (
             self.commits()
-            .agg(
-                F.max("version").alias("version"),
-                newest.alias("at"),
-                mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"),
-            )
-            .select("version", "at.*", "mark")
+            .agg(newest.alias("at"), mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"))
+            .select("at.*", "mark")
             .first()
         )
         return None if row.version is None else row
@@ -125,33 +126,81 @@ class DimensionStore:
         commit = commit or self.last_commit()
         if commit is None:
             return self.spark.createDataFrame([], self.dimension_schema)
-        return self._bucketed(f"{self.slot_path(commit.slot)}/is_current=true", commit.buckets)
+        base = self.spark.read.schema(self._base_schema).parquet(self.base_path(commit.base))
+        return self._with_opened(commit, self._as_open(base), self._opened(commit))
 
     def dimension(self) -> DataFrame:
         """Every committed version."""
         commit = self.last_commit()
         if commit is None:
             return self.spark.createDataFrame([], self.dimension_schema)
-        closed_schema = T.StructType([*self.dimension_schema.fields, T.StructField("version", T.LongType())])
-        closed = self.spark.read.schema(closed_schema).parquet(self.closed_path)
-        committed = closed.where(F.col("version") <= commit.version).drop("version")
-        return self.current(commit).unionByName(committed)
-
-    def _bucketed(self, path: str, buckets: int) -> DataFrame:
-        """The folder with its bucketing made known to Spark through a short-lived external table."""
-        fields = [f for f in self.dimension_schema.fields if f.name != "is_current"]
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        table = f"tidemark_read_{uuid.uuid4().hex}"
+        rows = self.current(commit)
+        if commit.version > commit.base:
+            rows = rows.unionByName(self._changes(commit).where("NOT is_current").drop("version"))
+        if commit.base > 1:
+            rows = rows.unionByName(self._folded(commit).select(*dimension_columns(self.spec)))
+        return rows
+
+    def bucketed_base(self, commit: Row) -> DataFrame:
+        """The base with its bucketing made known to Spark through a short-lived external table."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._base_schema.fields)
+        path = self.base_path(commit.base)
+        table = self._table_name(path)
         self.spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet "
-            f"CLUSTERED BY (`{self.spec.key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{self.spec.key}`) INTO {commit.buckets} BUCKETS LOCATION '{path}'"
         )
         try:
-            rows = self.spark.table(table).withColumn("is_current", F.lit(True))
-            return rows.select(*dimension_columns(self.spec))
+            return self._as_open(self.spark.table(table))
         finally:
             self.spark.sql(f"DROP TABLE {table}")
 
+    def changed_versions(self, commit: Row, batch: DataFrame) -> DataFrame:
+        """What a staged batch opens and closes. Only the rows of its keys leave the scan of the base."""
+        keys = self._hashed(batch.select(self.spec.key), batch, commit.buckets)
+        touched = self.bucketed_base(commit).join(keys, self.spec.key, "left_semi")
+        opened = self._opened(commit)
+        if opened is not None:
+            touched = self._with_opened(commit, touched, opened.join(keys, self.spec.key, "left_semi"))
+        return scd2_merge(touched, batch, self.spec, altered_only=True)
+
+    @property
+    def _base_schema(self) -> T.StructType:
+        return T.StructType([f for f in self.dimension_schema.fields if f.name != "is_current"])
+
+    def _as_open(self, base: DataFrame) -> DataFrame:
+        return base.withColumn("is_current", F.lit(True)).select(*dimension_columns(self.spec))
+
+    def _changes(self, commit: Row) -> DataFrame:
+        """Rows of the steps since the base, with the version that each step made."""
+        schema = T.StructType([*self.dimension_schema.fields, T.StructField("version", T.LongType())])
+        rows = self.spark.read.schema(schema).parquet(self.changes_path)
+        return rows.where((F.col("version") > commit.base) & (F.col("version") <= commit.version))
+
+    def _opened(self, commit: Row) -> DataFrame | None:
+        """The last version that the steps since the base opened, for each key that they altered."""
+        if commit.version == commit.base:
+            return None
+        return latest_per_key(self._changes(commit).where("is_current"), [self.spec.key], "version", ()).drop("version")
+
+    def _with_opened(self, commit: Row, base: DataFrame, opened: DataFrame | None) -> DataFrame:
+        if opened is None:
+            return base
+        return base.join(opened.select(self.spec.key), self.spec.key, "left_anti").unionByName(opened)
+
+    def _folded(self, commit: Row) -> DataFrame:
+        extra = [T.StructField("since", T.LongType()), T.StructField("effective_day", T.DateType())]
+        schema = T.StructType([*self._base_schema.fields, *extra])
+        rows = self.spark.read.schema(schema).parquet(self.closed_path)
+        return rows.where(F.col("since") < commit.base).withColumn("is_current", F.lit(False))
+
+    def _hashed(self, side: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
+        """Keys are unique and spread by hash, so the count bounds the side's share of every bucket."""
+        return side.hint("shuffle_hash" if counted.count() <= self.hashed_rows * buckets else "merge")
+
+    def _table_name(self, path: str) -> str:
+        return f"tidemark_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
     # Writing
 
     def run(self, bronze: DataFrame, day_column: str | None = None, lookback: str | None = None) -> int | None:
@@ -175,28 +224,43 @@ class DimensionStore:
         self, commit: Row | None, changes: DataFrame, batch_id: int | None = None, stream: str = ""
     ) -> int | None:
         staged = self._pin(changes)
-        rows = staged.count()
-        if rows == 0:
+        if staged.isEmpty():
             return None
         if commit is None:
-            version, slot, buckets = 0, -1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            version, base, altered = 1, 1, True
+            buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            opened = open_versions(staged, self.spec).repartition(buckets, self.spec.key)
+            self._write_base(opened, base, buckets)
         else:
-            version, slot, buckets = commit.version, commit.slot, commit.buckets
-        # Keys are unique and spread by hash, so this bounds the batch's share of every bucket.
-        batch = staged.hint("shuffle_hash") if rows <= HASHED_ROWS * buckets else staged
-        if commit is None or self._alters(commit, batch):
-            version, slot, buckets = version + 1, slot + 1, self.buckets or buckets
-            self._write_slot(commit, batch, slot, buckets)
-            self._write_closed(slot, version)
-        self._commit(staged, version, slot, buckets, batch_id, stream)
-        if self.view:
+            base, buckets = commit.base, commit.buckets
+            altered = self._write_changes(self.changed_versions(commit, staged), commit.version + 1)
+            version = commit.version + altered
+        self._commit(next_mark(staged, self.pipeline, self.spec.order_by), version, base, buckets, batch_id, stream)
+        due = self.fold_after is not None and version - base >= self.fold_after
+        if altered and (due or buckets != (self.buckets or buckets)):
+            self.fold()
+        elif self.view:
             self.publish(self.view)
         return version
 
-    def _alters(self, commit: Row, staged: DataFrame) -> bool:
-        """Whether any staged row opens a version; reads three columns and stops at the first one."""
-        current = self.current(commit).select(self.spec.key, "hashdiff", self.spec.order_by)
-        return not altering_rows(current, staged, self.spec).isEmpty()
+    def fold(self) -> None:
+        """Makes a new base of the open rows, and packs the closed ones by day. Alters no version."""
+        commit = self.last_commit()
+        if commit is None or commit.version == commit.base:
+            return
+        buckets = self.buckets or commit.buckets
+        opened = self._opened(commit)
+        keys = self._hashed(opened.select(self.spec.key), opened, commit.buckets)
+        # Both parts are dealt by bucket, so a task writes one bucket only.
+        kept = self.bucketed_base(commit).join(keys, self.spec.key, "left_anti")
+        if buckets != commit.buckets:
+            kept = kept.repartition(buckets, self.spec.key)
+        self._write_base(kept.unionByName(opened.repartition(buckets, self.spec.key)), commit.version, buckets)
+        self._write_closed(commit)
+        mark = next_mark(self.commits(), self.pipeline, "updated_at_gte")
+        self._commit(mark, commit.version, commit.version, buckets, None, "")
+        if self.view:
+            self.publish(self.view)
 
     def _pin(self, changes: DataFrame) -> DataFrame:
         """Writes the staged batch, so merge and watermark see the same rows while ingest goes on."""
@@ -204,38 +268,46 @@ class DimensionStore:
         staged.write.mode("overwrite").parquet(self.staged_path)
         return self.spark.read.schema(staged.schema).parquet(self.staged_path)
 
-    def _write_slot(self, commit: Row | None, staged: DataFrame, slot: int, buckets: int) -> None:
-        """Current versions after the run and the ones it closed, in one pass over the dimension."""
-        if commit is None:
-            merged = open_versions(staged, self.spec)
-        else:
-            merged = scd2_merge(self.current(commit), staged, self.spec)
-        if commit is None or commit.buckets != buckets:
-            merged = merged.repartition(buckets, self.spec.key)
-        table = f"tidemark_write_{uuid.uuid4().hex}"
+    def _write_base(self, rows: DataFrame, version: int, buckets: int) -> None:
+        path = self.base_path(version)
+        table = self._table_name(path)
+        # What a crashed run left of this name; the table is external, so no files go.
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        writer = rows.drop("is_current").write.mode("overwrite").bucketBy(buckets, self.spec.key)
+        writer.option("path", path).saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")
+
+    def _write_changes(self, rows: DataFrame, version: int) -> bool:
+        """Whether there were any; in few files, as a batch alters few rows of many buckets."""
+        path = f"{self.changes_path}/version={version}"
         (
-            merged.write.mode("overwrite")
+            rows.hint("rebalance", "is_current")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("is_current")
-            .bucketBy(buckets, self.spec.key)
-            .option("path", self.slot_path(slot))
-            .saveAsTable(table)
+            .parquet(path)
         )
-        self.spark.sql(f"DROP TABLE {table}")
+        return not self.spark.read.schema(self.dimension_schema).parquet(path).isEmpty()
 
-    def _write_closed(self, slot: int, version: int) -> None:
-        """Packs the few closed versions into evenly sized files, also when there are none."""
-        written = self.spark.read.schema(self.dimension_schema).parquet(self.slot_path(slot))
-        closed = written.where("NOT is_current").hint("rebalance").sortWithinPartitions("effective_from")
-        closed.write.mode("overwrite").parquet(f"{self.closed_path}/version={version}")
+    def _write_closed(self, commit: Row) -> None:
+        closed = self._changes(commit).where("NOT is_current").drop("is_current", "version")
+        (
+            closed.withColumn("effective_day", F.to_date("effective_from"))
+            .hint("rebalance", "effective_day")
+            .sortWithinPartitions("effective_day", "effective_from")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy("effective_day")
+            .parquet(f"{self.closed_path}/since={commit.base}")
+        )
 
     def _commit(
-        self, staged: DataFrame, version: int, slot: int, buckets: int, batch_id: int | None, stream: str
+        self, mark: DataFrame, version: int, base: int, buckets: int, batch_id: int | None, stream: str
     ) -> None:
-        record = next_mark(staged, self.pipeline, self.spec.order_by).select(
+        record = mark.select(
             "*",
             F.lit(version).cast("bigint").alias("version"),
-            F.lit(slot).cast("int").alias("slot"),
+            F.lit(base).cast("bigint").alias("base"),
             F.lit(buckets).cast("int").alias("buckets"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
             F.lit(stream).alias("stream"),
@@ -243,14 +315,21 @@ class DimensionStore:
         record.write.mode("append").parquet(self.commits_path)
 
     def expire(self, keep: int = 2) -> None:
-        """Deletes the open rows of versions before the last `keep`; no reader may still use those."""
-        commit = self.last_commit()
-        if commit is None:
+        """Deletes bases before the last `keep` and the changes folded into those; no reader may still use them."""
+        bases = self.commits().select("base").distinct().orderBy(F.desc("base")).limit(keep).collect()
+        if not bases:
             return
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/slots")
+        oldest = bases[-1].base
+        self._delete(f"{self.root}/base", lambda name: int(name) < oldest)
+        self._delete(self.changes_path, lambda name: name.startswith("version=") and int(name[8:]) <= oldest)
+
+    def _delete(self, folder: str, outdated: Callable[[str], bool]) -> None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return
         for entry in files.listStatus(root):
-            if int(entry.getPath().getName()) <= commit.slot - keep:
+            if outdated(entry.getPath().getName()):
                 files.delete(entry.getPath(), True)
 
     # Publishing
@@ -265,10 +344,22 @@ class DimensionStore:
         if commit is None:
             raise ValueError("nothing has been committed yet")
         columns = dimension_columns(self.spec)
-        names = ", ".join("TRUE AS is_current" if c == "is_current" else f"`{c}`" for c in columns)
-        closed_names = ", ".join("FALSE" if c == "is_current" else f"`{c}`" for c in columns)
-        self.spark.sql(
-            f"CREATE OR REPLACE VIEW {view} AS "
-            f"SELECT {names} FROM parquet.`{self.slot_path(commit.slot)}/is_current=true` "
-            f"UNION ALL SELECT {closed_names} FROM parquet.`{self.closed_path}` WHERE version <= {commit.version}"
-        )
+
+        def names(current: str) -> str:
+            return ", ".join(f"{current} AS is_current" if c == "is_current" else f"`{c}`" for c in columns)
+
+        key = f"`{self.spec.key}`"
+        base = f"parquet.`{self.base_path(commit.base)}`"
+        parts = [f"SELECT {names('TRUE')} FROM {base}"]
+        if commit.version > commit.base:
+            step = f"parquet.`{self.changes_path}` WHERE version > {commit.base} AND version <= {commit.version}"
+            opened = f"SELECT * FROM {step} AND is_current = 'true'"
+            parts = [
+                f"SELECT {names('TRUE')} FROM {base} b LEFT ANTI JOIN ({opened}) o ON b.{key} = o.{key}",
+                f"SELECT {names('TRUE')} FROM (SELECT *, row_number() OVER (PARTITION BY {key} "
+                f"ORDER BY version DESC) AS _rank FROM ({opened})) WHERE _rank = 1",
+                f"SELECT {names('FALSE')} FROM {step} AND is_current = 'false'",
+            ]
+        if commit.base > 1 and not self._folded(commit).isEmpty():
+            parts.append(f"SELECT {names('FALSE')} FROM parquet.`{self.closed_path}` WHERE since < {commit.base}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {' UNION ALL '.join(parts)}")

@@ -36,7 +36,7 @@ def commit_schema(ts_type: str = "timestamp") -> T.StructType:
     """Watermark log; one row per finished run of a pipeline, with the dimension it left."""
     return T.StructType.fromDDL(
         f"pipeline string, updated_at_gte {ts_type}, written_at timestamp, "
-        "version bigint, slot int, buckets int, batch_id bigint, stream string"
+        "version bigint, base bigint, buckets int, batch_id bigint, stream string"
     )
 
 
