@@ -21,8 +21,7 @@ from contract.queries import (
     scd2_merge_step,
 )
 from tests.oracle_check import differences, oracle_connection
-from tidemark.operators import read_increment, scd2_merge
-from tidemark.operators.scd2 import altering_rows
+from tidemark.operators import read_increment
 from tidemark.plans import DimensionStore
 from tidemark.sources import read_bronze
 
@@ -92,9 +91,10 @@ def test_store_merge_shuffles_the_batch_only(spark, root):
     store = DimensionStore(spark, root, EVENT_SPEC, key_type="bigint", ts_type=NTZ, buckets=4)
     store.run(before(events))
     staged = store._pin(from_cut(events))
-    hashed = plan(store.changed_versions(store.last_commit(), staged))
+    rows = staged.count()
+    hashed = plan(store.changed_versions(store.last_commit(), staged, rows))
     store.hashed_rows = 0
-    sorted_ = plan(store.changed_versions(store.last_commit(), staged))
+    sorted_ = plan(store.changed_versions(store.last_commit(), staged, rows))
     for text, join in ((hashed, "ShuffledHashJoin"), (sorted_, "SortMergeJoin")):
         semi = text[text.index(f"{join} [customer_id"):]
         assert "LeftSemi" in semi.split("\n")[0]

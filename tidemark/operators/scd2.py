@@ -103,13 +103,6 @@ def new_keys(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame
     return staged.join(current.select(spec.key), spec.key, "left_anti")
 
 
-def altering_rows(current: DataFrame, staged: DataFrame, spec: Scd2Spec) -> DataFrame:
-    """Changed and new keys together, in one join."""
-    old = current.select(spec.key, F.col("hashdiff").alias("_hash"), F.col(spec.order_by).alias("_at"))
-    differs = (F.col("hashdiff") != F.col("_hash")) & (F.col(spec.order_by) >= F.col("_at"))
-    return staged.join(old, spec.key, "left").where(F.col("_hash").isNull() | differs).drop("_hash", "_at")
-
-
 def scd2_merge(
     current: DataFrame, staged: DataFrame, spec: Scd2Spec, altered_only: bool = False
 ) -> DataFrame:

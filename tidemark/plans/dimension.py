@@ -155,9 +155,9 @@ class DimensionStore:
         finally:
             self.spark.sql(f"DROP TABLE {table}")
 
-    def changed_versions(self, commit: Row, batch: DataFrame) -> DataFrame:
-        """What a staged batch opens and closes. Only the rows of its keys leave the scan of the base."""
-        keys = self._hashed(batch.select(self.spec.key), batch, commit.buckets)
+    def changed_versions(self, commit: Row, batch: DataFrame, rows: int) -> DataFrame:
+        """What a staged batch of so many rows opens and closes; of the base, only rows of its keys leave the scan."""
+        keys = self._hashed(batch.select(self.spec.key), rows, commit.buckets)
         touched = self.bucketed_base(commit).join(keys, self.spec.key, "left_semi")
         opened = self._opened(commit)
         if opened is not None:
@@ -194,9 +194,9 @@ class DimensionStore:
         rows = self.spark.read.schema(schema).parquet(self.closed_path)
         return rows.where(F.col("since") < commit.base).withColumn("is_current", F.lit(False))
 
-    def _hashed(self, side: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
+    def _hashed(self, side: DataFrame, rows: int, buckets: int) -> DataFrame:
         """Keys are unique and spread by hash, so the count bounds the side's share of every bucket."""
-        return side.hint("shuffle_hash" if counted.count() <= self.hashed_rows * buckets else "merge")
+        return side.hint("shuffle_hash" if rows <= self.hashed_rows * buckets else "merge")
 
     def _table_name(self, path: str) -> str:
         return f"tidemark_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
@@ -224,7 +224,8 @@ class DimensionStore:
         self, commit: Row | None, changes: DataFrame, batch_id: int | None = None, stream: str = ""
     ) -> int | None:
         staged = self._pin(changes)
-        if staged.isEmpty():
+        rows = staged.count()
+        if rows == 0:
             return None
         if commit is None:
             version, base, altered = 1, 1, True
@@ -233,7 +234,7 @@ class DimensionStore:
             self._write_base(opened, base, buckets)
         else:
             base, buckets = commit.base, commit.buckets
-            altered = self._write_changes(self.changed_versions(commit, staged), commit.version + 1)
+            altered = self._write_changes(self.changed_versions(commit, staged, rows), commit.version + 1)
             version = commit.version + altered
         self._commit(next_mark(staged, self.pipeline, self.spec.order_by), version, base, buckets, batch_id, stream)
         due = self.fold_after is not None and version - base >= self.fold_after
@@ -250,7 +251,7 @@ class DimensionStore:
             return
         buckets = self.buckets or commit.buckets
         opened = self._opened(commit)
-        keys = self._hashed(opened.select(self.spec.key), opened, commit.buckets)
+        keys = self._hashed(opened.select(self.spec.key), opened.count(), commit.buckets)
         # Both parts are dealt by bucket, so a task writes one bucket only.
         kept = self.bucketed_base(commit).join(keys, self.spec.key, "left_anti")
         if buckets != commit.buckets:
@@ -278,7 +279,10 @@ class DimensionStore:
         self.spark.sql(f"DROP TABLE {table}")
 
     def _write_changes(self, rows: DataFrame, version: int) -> bool:
-        """Whether there were any; in few files, as a batch alters few rows of many buckets."""
+        """Whether there were any; in few files, as a batch alters few rows of many buckets.
+
+        A step that alters anything opens a version, so the folder of opened rows tells.
+        """
         path = f"{self.changes_path}/version={version}"
         (
             rows.hint("rebalance", "is_current")
@@ -287,7 +291,8 @@ class DimensionStore:
             .partitionBy("is_current")
             .parquet(path)
         )
-        return not self.spark.read.schema(self.dimension_schema).parquet(path).isEmpty()
+        opened, files = self._folder(f"{path}/is_current=true")
+        return files.exists(opened)
 
     def _write_closed(self, commit: Row) -> None:
         closed = self._changes(commit).where("NOT is_current").drop("is_current", "version")
@@ -324,14 +329,18 @@ class DimensionStore:
         self._delete(self.changes_path, lambda name: name.startswith("version=") and int(name[8:]) <= oldest)
 
     def _delete(self, folder: str, outdated: Callable[[str], bool]) -> None:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root, files = self._folder(folder)
         if not files.exists(root):
             return
         for entry in files.listStatus(root):
             if outdated(entry.getPath().getName()):
                 files.delete(entry.getPath(), True)
 
+    def _folder(self, name: str) -> tuple:
+        """A path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     # Publishing
 
     def expose_staged(self, view: str) -> None:
