@@ -68,3 +68,51 @@ def test_odd_rows(spark):
     assert score_documents(docs.limit(0)).count() == 0
     held = [(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     check(held, score_documents(spark.createDataFrame(held, SCHEMA)).collect())
+
+
+def exact_scores(rows):
+    """Scores from exact counts, each taken as the middle of its level."""
+    tokens = [[*(text or "").encode().lower().split(), b"\n"] for _, text in rows]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    single, pairs = Counter(), Counter()
+    for own, out in zip(tokens, held, strict=True):
+        if not out:
+            single.update(own)
+            pairs.update(zip([b"\n", *own], own, strict=False))
+    middle = {c: counts_of_levels(level_of(np.array([c])))[0] for c in {*single.values(), *pairs.values()}} | {0: 0.0}
+    mass = sum(middle[c] for c in single.values())
+    scores = {}
+    for (i, _), own in zip(rows, tokens, strict=True):
+        scores[i] = 0.0
+        for before, token in zip([b"\n", *own], own, strict=False):
+            left, right = middle[single[before]], middle[single[token]]
+            pair = min(middle[pairs[before, token]], left, right)
+            alone = (right + 1) / (mass + len(single) + 1)
+            scores[i] += math.log10((pair + lm_scoring.PRIOR * alone) / (left + lm_scoring.PRIOR))
+    return scores
+
+
+def test_filter_has_its_bits_at_every_size(spark, monkeypatch):
+    # A limit on the filter's size, as there once was, must neither exist nor show.
+    monkeypatch.setattr(lm_scoring, "MAX_BYTES", 4096, raising=False)
+    monkeypatch.setattr(lm_scoring, "COUNT_AT_ONCE", 4000)
+    monkeypatch.setattr(lm_scoring, "SEGMENT_CHARS", 256)  # 1,024 segments and more, in shards of several
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(k)}" for k in np.minimum(rng.zipf(1.3, 60), 20_000))) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = score_documents(docs).collect()
+    check(rows, found)
+    want = exact_scores(rows)
+    assert len(want) == len(found)
+    off = np.array([abs(r.score / want[r.doc_id] - 1) for r in found])
+    assert off.mean() < 0.003 and off.max() < 0.03
+
+
+def test_filter_keeps_its_rate_of_false_positives(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MAX_BYTES", 4096, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 9973}" for j in range(1, 60))) for i in range(600)], SCHEMA)
+    model, parts, *_ = lm_scoring.train(docs)
+    held = parts.collect()
+    whole = Model(model.shift, np.array([r.segment for r in held]), [r.bits for r in held], 1, 1.0)
+    others = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    assert sum(len(r.bits) for r in held) > 4096 and (whole.levels(others) > 0).mean() < 0.03
