@@ -102,3 +102,28 @@ def test_odd_rows(spark):
     assert texts[1] is None and texts[2] == "" and texts[None] == "[SECRET]" and texts[3] == "é🙂 [SECRET] end"
     assert clean.count() == len(rows) and texts[4].count("[SECRET]") == 500 + 1
     assert redact_secrets(docs.limit(0)).count() == 0
+
+
+def test_secrets_are_found_beside_names_and_paths(spark):
+    plain, url, full = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits + "+/"
+    frames = [("AWS_SECRET_ACCESS_KEY=", full, ""), ("PRIVATE_KEY=", full, "=="), ("https://host/blob?sig=", url, "&x=1"),
+              ("client-key=", plain, ";"), ("files/of_the/project/", plain, "/end"), ("some-name_of-", plain, ""),
+              ("a/path/to_", url, "="), ("name_of-a+", plain, "/b_c")]
+    rows, want = [], {}
+    for n, (before, alphabet, after) in enumerate(frames):
+        for s in range(10):
+            secret = sample(alphabet, 40, f"{n} {s}")
+            rows.append((100 * n + s, f"é {before}{secret}{after} end"))
+            want[100 * n + s] = (2 + len(before), 42 + len(before), secret)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = check(rows, docs)
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    for n, (before, *_) in enumerate(frames):
+        hidden = 0
+        for i in range(100 * n, 100 * n + 10):
+            low, high, secret = want[i]
+            spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+            if any(a <= low and high <= b for a, b in spans):
+                hidden += 1
+                assert secret not in clean[i]
+        assert hidden >= 8, (before, hidden)

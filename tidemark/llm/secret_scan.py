@@ -1,7 +1,8 @@
 """Secret scans with Spark expressions only: fixed patterns, and a battery of randomness tests.
 
-The battery looks at runs of token characters. Each gets an encoding (the smallest alphabet that holds it), and
-three tests of "these are independent, uniform characters of that alphabet": chi-squared of the character counts,
+The battery looks at runs of token characters, in which '=' is padding at the end only. As '/', '+', '_' and '-' may
+belong to a secret or join it to a name or a path, the runs of letters and digits alone are looked at as well as those
+with some of the four. Each gets an encoding (the smallest alphabet that holds it), and three tests of "these are independent, uniform characters of that alphabet": chi-squared of the character counts,
 the number of runs above and below the middle of the alphabet, and the serial correlation of neighbours. Words
 fail at least one of them. The three p-values are combined by Bonferroni; among all candidates of one encoding and
 length class, Benjamini-Hochberg at rate `FDR` decides which are certainly not random. The others, if long
@@ -26,7 +27,10 @@ FIXED = [("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("h
 HINT = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}",
         "hex": r"[0-9a-f]{16}"}
 LEAST = 20
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: The characters beside letters and digits that a candidate may hold; each text is searched for every set's runs.
+INNER = ["+/", "_-", "+", "/", "_", "-", ""]
+CANDIDATES = [rf"[A-Za-z0-9{inner}]{{{LEAST},}}=*" for inner in INNER]
+HOLDS_CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST}}}"
 #: Encodings from small to large alphabets: name, pattern, alphabet in the order of its values, least length.
 ENCODINGS = [
     ("digits", r"^[0-9]+$", "0123456789", 40),
@@ -79,7 +83,8 @@ def fixed_spans(docs: DataFrame) -> DataFrame:
     for rank, (kind, pattern, group, least) in enumerate(FIXED):
         spans = F.when(text.rlike(HINT[kind]), _matches(text, pattern, kind, rank, group, least))
         docs = docs.withColumn(f"spans_{kind}", F.coalesce(spans, F.array().cast(SPANS)))
-    candidates = F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, "random", len(FIXED), 0, LEAST))
+    spans = F.concat(*[_matches(text, pattern, "random", len(FIXED), 0, LEAST) for pattern in CANDIDATES])
+    candidates = F.when(text.rlike(HOLDS_CANDIDATE), F.array_distinct(spans))
     return docs.withColumn("candidates", F.coalesce(candidates, F.array().cast(SPANS)))
 
 
@@ -180,6 +185,10 @@ def _scanned(found: DataFrame) -> DataFrame:
     outside = each.where(~F.exists("base", lambda b: (b["start"] <= F.col("c.start")) & (b["end"] >= F.col("c.end"))))
     outside = outside.select("row", F.col("c.text").alias("token"), F.col("c").alias("span"))
     marked = outside.join(random_tokens(each.select(F.col("c.text").alias("token"))), "token")
+    # Runs and their parts may both pass: what lies within another is left out.
+    ends = F.max("span.end").over(Window.partitionBy("row").orderBy("span.start", F.desc("span.end")).rowsBetween(
+        Window.unboundedPreceding, -1))
+    marked = marked.withColumn("ends", ends).where("ends is null or span.end > ends")
     added = marked.groupBy("row").agg(F.collect_list("span").alias("added"))
     spans = F.concat("base", F.coalesce("added", F.array().cast(SPANS)))
     return found.join(added, "row", "left").withColumn("spans", spans)
@@ -189,7 +198,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(row, id, base, spans) of each row of `docs`.
 
     `spans` are the fixed patterns' spans and those that the battery adds; ends are exclusive and in code points.
-    An added span that lies within a fixed one is left out, as it adds nothing. Null and empty texts have none.
+    An added span that lies within a fixed or another added one is left out, as it adds nothing. Null and empty texts have none.
     Repeated ids keep a row each; other columns are ignored; an empty table gives an empty result.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"),
