@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import embedding_dedup
 from tidemark.llm.embedding_dedup import Descent, embedding_components
 from tests.llm.test_simhash import closure
 
@@ -74,3 +76,26 @@ def test_odd_rows(spark):
     want = [(i, n, c, i == c) for i, n, c, _ in expected(rows)]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def lost(spark, dense, alone, pairs, spec):
+    """The audit's recall where a dense group is whole and all pairs outside it are lost."""
+    base = vectors([(dense, 0.05)] + [(1, 0)] * alone + [(2, 0.05)] * pairs, 9)
+    nodes = spark.createDataFrame([(n, 1, v) for n, v in enumerate(base)], "node long, kind long, vec array<float>")
+    roots = spark.createDataFrame([(n, 0, True) for n in range(dense)], "node long, root long, dense boolean")
+    return embedding_dedup.audit(spark.createDataFrame([], "a long, b long"), roots, nodes, spec)
+
+
+def test_audit_sees_sparse_links_beside_a_dense_group(spark):
+    assert lost(spark, 300, 100, 30, Descent()) == 0
+
+
+def test_audit_grows_until_it_holds_rare_links(spark):
+    assert lost(spark, 2, 1500, 2, Descent(audited=16)) == 0
+
+
+def test_too_low_a_recall_fails(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    rows = [(n, v, 1) for n, v in enumerate(vectors([(2, 0.1)] * 10, 3))]
+    with pytest.raises(RuntimeError, match="recall 0.500"):
+        embedding_components(spark.createDataFrame(rows, SCHEMA), Descent(rounds=2))

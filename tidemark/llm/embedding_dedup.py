@@ -2,8 +2,9 @@
 
 Equal vectors of a label become one node. A first neighbour graph comes from random projections: rows sorted by
 sign codes, compared in small blocks, several times over. Then each round joins the neighbours of every node with
-one another, vectors in eight bits, and keeps the best; an audit against brute force on a bounded sample says
-whether another round, with longer lists, is needed. Pairs near the threshold are compared again in double
+one another, vectors in eight bits, and keeps the best; an audit against brute force on a sample says whether another round, with
+longer lists and a new first graph of more trees, is needed. It asks for links outside dense components only, and its
+sample grows until it holds enough of them or all nodes. If no round meets the recall, the query fails. Pairs near the threshold are compared again in double
 precision.
 
 A node whose whole list lies above the threshold is saturated. Components with such a node are dense, and their
@@ -15,9 +16,8 @@ members in blocks. So a large group of near copies costs neither all its pairs n
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ SLACK = 0.02
 @dataclass(frozen=True)
 class Descent:
     """`neighbours`: list length. `trees`: sorted projections for the first graph. `recall`: asked of the audit,
-    on `audited` nodes at most. `rounds`: with lists twice as long each time, at most."""
+    whose sample begins with `audited` nodes and grows until it holds `least_links` links outside dense components.
+    `rounds`: with lists twice as long and twice the trees each time, at most."""
 
     threshold: float = 0.93
     neighbours: int = 12
@@ -44,6 +45,7 @@ class Descent:
     rounds: int = 3
     recall: float = 0.97
     audited: int = 512
+    least_links: int = 200
     seed: int = 11
 
 
@@ -206,32 +208,53 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
 
 
 def audit(links: DataFrame, roots: DataFrame, nodes: DataFrame, spec: Descent) -> float:
-    """Part of the sampled nodes' true links that the graph has; links within one dense component count as found."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(spec.seed))).limit(spec.audited).select("node", "kind", "vec").collect()
+    """Part of the sampled nodes' true links that the graph has, without those inside a dense component.
+
+    Those are found exactly later on. Nodes are sampled in slices of a random order, until `least_links` links are
+    found or no node is left; so a table with next to no links is compared with all of itself.
+    """
+    dense = roots.where("dense").select("node", "root")
+    placed = nodes.select("node", "kind", "vec").join(dense, "node", "left").select(
+        F.xxhash64("node", F.lit(spec.seed)).alias("at"), "node", "kind", "vec", F.coalesce("root", F.lit(-1)).alias("root"))
+    last, size, got, every = None, spec.audited, 0, 0
+    while every < spec.least_links:
+        rest = placed if last is None else placed.where(F.col("at") > last)
+        sample = rest.orderBy("at").limit(size).collect()
+        if sample:
+            more_got, more = _audited(sample, links, placed, spec)
+            got, every = got + more_got, every + more
+        if len(sample) < size:
+            break
+        last, size = sample[-1]["at"], min(2 * size, 8192)
+    return got / every if every else 1.0
+
+
+def _audited(sample: list, links: DataFrame, placed: DataFrame, spec: Descent) -> tuple[int, int]:
+    """How many of the sampled nodes' links outside dense components the graph has, and how many there are."""
     by_kind: dict[int, list] = {}
     for r in sample:
-        by_kind.setdefault(r["kind"], []).append((r["node"], r["vec"]))
-    asked = {k: (np.array([n for n, _ in v]), np.array([x for _, x in v], np.float64)) for k, v in by_kind.items()}
+        by_kind.setdefault(r["kind"], []).append((r["node"], r["root"], r["vec"]))
+    asked = {k: (np.array([v[0] for v in own]), np.array([v[1] for v in own]), np.array([v[2] for v in own], np.float64))
+             for k, own in by_kind.items()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_dims(batches):
-            if (kind := batch.column("kind")[0].as_py()) not in asked:
+        for whole in whole_dims(batches):
+            if (kind := whole.column("kind")[0].as_py()) not in asked:
                 continue
-            ids, queries = asked[kind]
-            rows, node = _matrix(batch.column("vec")).astype(np.float64), batch.column("node").to_numpy()
-            unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-            i, j = np.nonzero(unit(queries) @ unit(rows).T >= spec.threshold)
-            keep = ids[i] != node[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(node[j][keep])], names=["q", "n"])
-
-    true = nodes.select("kind", "node", "vec").mapInArrow(search, "q long, n long").select(
+            ids, own, queries = asked[kind]
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows, node, root = _matrix(batch.column("vec")).astype(np.float64), batch.column("node").to_numpy(), batch.column("root").to_numpy()
+                unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+                i, j = np.nonzero(unit(queries) @ unit(rows).T >= spec.threshold)
+                keep = (ids[i] != node[j]) & ((own[i] < 0) | (own[i] != root[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(node[j][keep])], names=["q", "n"])
+
+    true = placed.select("kind", "node", "vec", "root").mapInArrow(search, "q long, n long").select(
         F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct()
-    dense = roots.where("dense").select("node", "root")
-    same = true.join(dense.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        dense.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    counted = same.join(links.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(
-        F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("found").isNotNull() | (F.col("ra") == F.col("rb")), 1)).alias("got")).first()
-    return counted["got"] / counted["all"] if counted["all"] else 1.0
+    counted = true.join(links.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(
+        F.count(F.lit(1)).alias("all"), F.count("found").alias("got")).first()
+    return counted["got"], counted["all"]
 
 
 def _rooted(links: DataFrame, graph: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -329,8 +352,14 @@ def embedding_components(
     )
     nodes = nodes_of(rows)
     size = spec.neighbours
-    graph = staged(first_graph(nodes, spec), "neighbours")
+    # Another tree for each doubling beyond 65,536 nodes.
+    trees = spec.trees + max(0, nodes.count().bit_length() - 16)
+    graph = staged(first_graph(nodes, replace(spec, trees=trees)), "neighbours")
     for number in range(spec.rounds):
+        if number:
+            more = replace(spec, neighbours=size, trees=trees << number, seed=spec.seed + number)
+            both = graph.select("a", "b", "sim").unionByName(first_graph(nodes, more))
+            graph = staged(_best(both.groupBy("a", "b").agg(F.max("sim").alias("sim")), size), "neighbours")
         for _ in range(spec.iterations if not number else 1):
             graph = refined(graph, nodes, size)
         links = exact_links(graph, nodes, spec.threshold)
@@ -340,7 +369,7 @@ def embedding_components(
             break
         size *= 2
     else:
-        warnings.warn(f"recall {recall:.3f} is under {spec.recall}", stacklevel=2)
+        raise RuntimeError(f"recall {recall:.3f} of the links outside dense components is under {spec.recall}")
     sparse = roots.where("not dense").select("node", "root")
     each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = each.join(sparse.select(F.col("node").alias("a")), "a").join(
