@@ -18,6 +18,7 @@ from tidemark.llm.mixing import mix_documents
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_file_digests
 
 
@@ -65,6 +66,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op13_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_rules": op1_mcd_rules,
     "op2_ngram_filter": op2_ngram_filter,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_quality": op8_attention_quality,
     "op9_token_files": op9_token_files,
     "op10_nn_descent": op10_nn_descent,
+    "op13_whole_tokens": op13_whole_tokens,
 }
 
 #: What SQL can express; the others are tested against brute force.
