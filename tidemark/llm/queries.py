@@ -18,6 +18,8 @@ from tidemark.llm.mixing import mix_documents
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.spelling import ORACLE_SQL as SPELLING_SQL
+from tidemark.llm.spelling import spelling_groups
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_file_digests
 
@@ -66,6 +68,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -81,10 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_quality": op8_attention_quality,
     "op9_token_files": op9_token_files,
     "op10_nn_descent": op10_nn_descent,
+    "op11_fm_index": op11_fm_index,
     "op13_whole_tokens": op13_whole_tokens,
 }
 
 #: What SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": CHAT_SQL,
+    "op11_fm_index": SPELLING_SQL,
 }
