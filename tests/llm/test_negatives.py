@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.oracle_check import differences, oracle_connection
+from tidemark.llm import negatives as module
+from tidemark.llm.negatives import ORACLE_SQL, Group, Mining, hard_negatives, spanning_tree
+from tidemark.llm.queries import op12_anchor_tree
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def cut(score):
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
+def expected(rows, spec=Mining()):
+    """By the contract's words, with whole numbers that end where a long does."""
+    taken = []
+    for vec_id, vec, label in rows:
+        if vec_id is None or label is None or not vec or any(x is None or not math.isfinite(x) for x in vec):
+            continue
+        label = (label + 1) % spec.labels if vec_id % spec.relabelled == 0 else label
+        taken.append((vec_id, label, [math.floor(spec.scale * x) for x in vec]))
+    out = []
+    for i, (anchor, own, v) in enumerate(taken):
+        if anchor % spec.every:
+            continue
+        scored = [(-cut(sum(a * b for a, b in zip(v, w, strict=True))), vec_id, label)
+                  for j, (vec_id, label, w) in enumerate(taken) if i != j and len(w) == len(v)]
+        scored.sort()
+        for p, positive, _ in [s for s in scored if s[2] == own][: spec.positives]:
+            fits = [s for s in scored if s[2] != own and spec.low * -p <= 100 * -s[0] <= spec.high * -p]
+            out += [(anchor, positive, r, s[1], -p, -s[0]) for r, s in enumerate(fits[: spec.negatives], 1)]
+    return sorted(out)
+
+
+def found(spark, rows, spec=Mining()):
+    return sorted(map(tuple, hard_negatives(spark.createDataFrame(rows, SCHEMA), spec).collect()))
+
+
+def test_spanning_tree_is_minimal():
+    rng = np.random.default_rng(4)
+    for count in (1, 2, 9, 40):
+        vectors = np.floor(rng.normal(size=(count, 3)) * 40)
+        tree = spanning_tree(vectors)
+        seen = {0}
+        for child, parent, distance in tree[1:]:
+            assert parent in seen and child not in seen
+            assert math.isclose(distance, float(np.linalg.norm(vectors[child] - vectors[parent])))
+            seen.add(child)
+        edges = sorted((float(np.linalg.norm(vectors[i] - vectors[j])), i, j) for i in range(count) for j in range(i))
+        root, total = list(range(count)), 0.0
+        for length, i, j in edges:  # Kruskal
+            if root[i] != root[j]:
+                total, old = total + length, root[i]
+                root = [root[j] if r == old else r for r in root]
+        assert len(seen) == count and math.isclose(sum(e[2] for e in tree), total, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("spec", [Mining(every=5), Mining(every=3, group=4, positives=3, negatives=2), Mining(every=2, low=-50, high=70)])
+def test_equals_brute_force(spark, spec, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 16)
+    rng = np.random.default_rng(spec.every)
+    centres = rng.normal(size=(12, 6)) / 3
+    rows = []
+    for i in range(260):
+        # Clusters of near and equal vectors over all labels, so that scores tie.
+        v = centres[i % 12] + (rng.integers(-2, 3, 6) / 256 if i % 3 else 0)
+        rows.append((i, [float(x) for x in np.round(v, 3)], int(i * 7 % 4)))
+    assert found(spark, rows, spec) == expected(rows, spec)
+
+
+def test_bounds_spare_scores():
+    """Close anchors: most rows far below the window's best are bounded, not scored; nothing is lost."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=32) * 200
+    anchors = [{"row": i, "label": 0, "vec": np.floor(centre + rng.normal(size=32) * 2).tolist(), "low": [-1e9], "high": [1e9]}
+               for i in range(20)]
+    vectors = np.floor(rng.normal(size=(4000, 32)) * 200)
+    group = Group(anchors, 10)
+    for at in range(0, 4000, 500):
+        ids = np.arange(at, at + 500) + 1000
+        group.meet(ids, ids, np.ones(500, np.int64), vectors[at : at + 500], False)
+    assert group.scored < group.asked / 2
+    for anchor, best in zip(anchors, group.best, strict=True):
+        scores = (vectors @ np.array(anchor["vec"])).astype(np.int64)
+        order = np.lexsort((np.arange(4000), -scores))[:10]
+        assert best[0][1].tolist() == (order + 1000).tolist()
+
+
+def test_odd_rows(spark):
+    big = 3e12
+    rows = [
+        (0, [1.0, 0.5], 3), (0, [1.0, 0.5], 3), (1, [1.0, 0.5], 1), (2, [0.5, 0.25], 3), (3, [0.5, 0.25], 1), (3, [0.5, 0.25], 1),
+        (None, [1.0, 1.0], 1), (100, None, 1), (200, [1.0, None], 1), (300, [float("nan"), 1.0], 1), (4, [float("inf"), 1.0], 1),
+        (400, [1.0, 1.0], None), (500, [], 1), (600, [0.25, 0.5, 0.25], 1), (5, [0.5, 0.25, 0.0], 1), (6, [0.5, 0.25, 0.125], 2),
+        (6, [0.2, 0.1, 0.1], 2), (-100, [0.3, 0.1], 2), (8, [0.3, 0.1], 2), (9, [0.1, 0.1], 4), (900, [big, -big], 5),
+        (10, [big, -big / 2], 5), (11, [big / 3, -big / 5], 6), (13, [1e6, -1e6], 5), (14, [6e5, -7e5], 6), (800, [0.0, 0.0], 2), (12, [1e307, 1.0], 1),
+    ]
+    wide = [r for r in rows if not r[1] or r[1][0] != 1e307]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.lit("clash")).withColumn("rank", F.lit(1))
+    got = hard_negatives(docs)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, got.collect())) == expected(wide)
+    assert hard_negatives(docs.limit(0)).count() == 0
+
+
+def test_given_embeddings(spark):
+    for sf in ("0.001", "0.01"):
+        folder = f"/root/testdata/sf{sf}"
+        assert not differences(op12_anchor_tree(spark, folder), oracle_connection(folder), ORACLE_SQL)

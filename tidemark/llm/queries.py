@@ -15,6 +15,8 @@ from tidemark.llm.common import importable
 from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.mixing import mix_documents
+from tidemark.llm.negatives import ORACLE_SQL as NEGATIVES_SQL
+from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.simhash import simhash_components
@@ -72,6 +74,10 @@ def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_nn_descent": op10_nn_descent,
     "op11_fm_index": op11_fm_index,
+    "op12_anchor_tree": op12_anchor_tree,
     "op13_whole_tokens": op13_whole_tokens,
 }
 
@@ -95,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": CHAT_SQL,
     "op11_fm_index": SPELLING_SQL,
+    "op12_anchor_tree": NEGATIVES_SQL,
 }
