@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contract.queries import CUT, CUTS, PIPELINE, SOURCE, YEAR
+from contract.queries import CUT, CUTS, DELIVERIES, ORDER_CUTS, PIPELINE, SOURCE, YEAR
 
 END = "TIMESTAMP '9999-12-31 00:00:00'"
 JSON_TIME = "'%Y-%m-%dT%H:%M:%S.%f'"
@@ -77,6 +77,36 @@ LINE_VERSIONS = versions(
     ("l_orderkey", "l_linenumber"),
     "l_shipdate",
 )
+ORDERS_BY_BATCH = versions(
+    "orders",
+    "o_custkey",
+    ("o_orderstatus", "o_orderpriority"),
+    "o_orderdate",
+    ("o_orderkey",),
+    " + ".join(f"CAST(o_orderdate >= TIMESTAMP '{cut}' AS INTEGER)" for cut in ORDER_CUTS),
+)
+LINES_BY_YEAR = versions(
+    "lineitem", "l_partkey", ("l_returnflag", "l_linestatus"), "l_shipdate", ("l_orderkey", "l_linenumber"), "year(l_shipdate)"
+)
+BY_DELIVERY = event_versions(f"seq * {DELIVERIES} // ((SELECT max(seq) FROM e) + 1)")
+WITH_DELETES = f"""WITH {EVENTS}, last_of_batch AS (
+  SELECT customer_id, name, status, updated_at, CAST(customer_id AS VARCHAR) AS business_key,
+         CASE WHEN status <> 'error' THEN {framed('name', 'status')} END AS hashdiff
+  FROM e
+  QUALIFY row_number() OVER (
+    PARTITION BY customer_id, updated_at < TIMESTAMP '{CUTS[0]}', updated_at < TIMESTAMP '{CUTS[1]}'
+    ORDER BY updated_at DESC, seq DESC) = 1
+), compared AS (
+  SELECT *, lag(hashdiff) OVER w AS previous, row_number() OVER w AS place FROM last_of_batch
+  WINDOW w AS (PARTITION BY customer_id ORDER BY updated_at)
+), followed AS (
+  SELECT *, lead(updated_at) OVER (PARTITION BY customer_id ORDER BY updated_at) AS following
+  FROM compared WHERE place = 1 OR previous IS DISTINCT FROM hashdiff
+), dimension AS (
+  SELECT customer_id, name, status, business_key, hashdiff, updated_at AS effective_from,
+         coalesce(following, {END}) AS effective_to, following IS NULL AS is_current, updated_at
+  FROM followed WHERE hashdiff IS NOT NULL
+)"""
 GOLD = """
 SELECT CAST(effective_from AS DATE) AS day, status AS customer_status, count(DISTINCT customer_id) AS cnt
 FROM {source} WHERE is_current GROUP BY 1, 2"""
@@ -149,6 +179,18 @@ SELECT reason, count(*) AS cnt,
 FROM judged GROUP BY reason""",
     "bronze_by_day": "SELECT CAST(ts AS DATE) AS updated_day, count(*) AS cnt FROM events GROUP BY 1",
     "bronze_stream_ingest": f"WITH {EVENTS} SELECT {MESSAGE}, CAST(updated_at AS DATE) AS updated_day FROM e",
+    "bronze_replay_proof": f"WITH {EVENTS} SELECT {MESSAGE} FROM e",
+    "quarantine_replay": """
+WITH judged AS (
+  SELECT CASE WHEN o_orderstatus = 'O' THEN 'accepted'
+              WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') THEN 'malformed'
+              WHEN o_orderpriority = '2-HIGH' THEN 'null_message'
+              WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'missing_customer_id'
+              ELSE 'missing_name' END AS reason, o_custkey
+  FROM orders
+)
+SELECT reason, count(*) AS cnt, CAST(sum(o_custkey) FILTER (WHERE reason = 'accepted') AS BIGINT) AS ids
+FROM judged GROUP BY reason""",
     "watermark_current": "SELECT event_type AS pipeline, max(ts) AS updated_at_gte FROM events GROUP BY 1",
     "watermark_of_pipeline": f"""
 SELECT event_id AS seq, user_id AS customer_id, event_type AS status, ts AS updated_at FROM events
@@ -204,6 +246,16 @@ UNION ALL
 SELECT opened.*, NULL AS merge_key FROM opened JOIN old USING (business_key) WHERE opened.hashdiff <> old.hashdiff""",
     "scd2_incremental": f"{BY_CUTS} SELECT {DIMENSION} FROM dimension",
     "scd2_stream_upsert": f"{BY_CUTS} SELECT {DIMENSION} FROM dimension",
+    "scd2_late_changes": f"WITH {ORDERS_BY_BATCH} SELECT * FROM dimension",
+    "scd2_by_position": f"{BY_DELIVERY} SELECT {DIMENSION} FROM dimension",
+    "scd2_deletes": f"""{WITH_DELETES}
+SELECT {DIMENSION}, mode FROM dimension, (VALUES ('history'), ('merge'), ('stream')) AS m(mode)""",
+    "lines_as_of": f"""WITH {LINES_BY_YEAR}
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_shipdate, l.l_quantity,
+       CASE WHEN l.l_shipdate < d.effective_to THEN d.hashdiff END AS hashdiff,
+       CASE WHEN l.l_shipdate < d.effective_to THEN d.effective_from END AS effective_from,
+       CASE WHEN l.l_shipdate < d.effective_to THEN d.effective_to END AS effective_to
+FROM lineitem l ASOF LEFT JOIN dimension d ON l.l_partkey = d.l_partkey AND l.l_shipdate >= d.effective_from""",
     "scd2_history_events": f"{DAILY} SELECT {DIMENSION} FROM dimension",
     "scd2_history_prereduced": f"{DAILY} SELECT {DIMENSION} FROM dimension",
     "scd2_history_orders": f"""
@@ -216,6 +268,7 @@ SELECT * FROM dimension""",
     "scd2_current": f"{DAILY} SELECT {DIMENSION} FROM dimension WHERE is_current",
     "gold_customer_daily": DAILY + GOLD.format(source="dimension"),
     "gold_partition_overwrite": mart_by_mode(),
+    "mart_maintained": BY_CUTS + GOLD.format(source="dimension"),
     "gold_sorted_export": DAILY + GOLD.format(source="dimension"),
     "csv_lines_load": DAILY + GOLD.format(source="dimension"),
     "medallion_end_to_end": BY_CUT + GOLD.format(source="dimension"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import hashdiff, parse_timestamp
 from tidemark.operators import (
@@ -17,6 +18,7 @@ from tidemark.operators import (
     changed_keys,
     current_mark,
     fetch_mark,
+    join_as_of,
     latest_per_key,
     new_keys,
     next_mark,
@@ -27,12 +29,13 @@ from tidemark.operators import (
     scd2_history,
     stage_changes,
 )
-from tidemark.plans import DimensionStore, build_gold, run_chain
+from tidemark.operators.positions import PART, POSITION
+from tidemark.plans import DimensionStore, build_gold, maintain_gold, replay_rejects, run_chain
 from tidemark.plans.layers import ChainConfig, create_layers, ingest_files, read_gold, refresh_layers, run_silver
 from tidemark.schemas import message_schema
 from tidemark.session import scratch_dir, use_utc
 from tidemark.settings import Settings
-from tidemark.sinks import PathTarget, append, export, replace_from_lines, to_text
+from tidemark.sinks import PathTarget, append, export, replace_from_lines, to_text, write_bronze
 from tidemark.plans.rowlevel import merge_source
 from tidemark.sources import generate_events, lines_from_files, read_bronze, text_messages
 from tidemark.streaming import ingest, upsert_stream
@@ -48,10 +51,17 @@ CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 EVENT_SPEC = Scd2Spec(tie_break=("seq",))
 ORDER_SPEC = Scd2Spec("o_custkey", ("o_orderstatus", "o_orderpriority"), "o_orderdate", ("o_orderkey",))
 LINE_SPEC = Scd2Spec("l_partkey", ("l_returnflag", "l_linestatus"), "l_shipdate", ("l_orderkey", "l_linenumber"))
+DELETE_SPEC = Scd2Spec(tie_break=("seq",), deletes="op")
+#: Orders come in batches of some years, the batches in another order and one of them twice.
+ORDER_CUTS = ("1994-01-01 00:00:00", "1996-01-01 00:00:00", "1997-01-01 00:00:00")
+ARRIVALS = (2, 0, 3, 2, 1)
+DELIVERIES = 3
 MESSAGE = ["op", "event_ts", "customer_id", "name", "status", "updated_at", "source", "seq"]
 
 # Near the usual count per customer, so that about half of them take the plan for hot keys.
 FEW_ROWS = 66
+# The same for line items per part.
+FEW_LINES = 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,10 +133,10 @@ def cdc_parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parse_timestamp(text, NTZ).alias("parsed"))
 
 
-def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`orders` as messages; open orders are sound, the others are damaged by priority."""
+def order_messages(spark: SparkSession, sf_dir: str, unit: str = "second") -> DataFrame:
+    """`orders` as messages; open orders are sound, the others are damaged by priority. Times are cut to `unit`."""
     priority = F.col("o_orderpriority")
-    when = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    when = F.date_format(F.date_trunc(unit, "o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss")
 
     def text(key: Column, updated_at: Column) -> Column:
         return F.to_json(
@@ -194,6 +204,41 @@ def bronze_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bronze(spark, f"{root}/bronze", key_type=KEY_TYPE, ts_type=NTZ).select(*MESSAGE, "updated_day")
 
 
+def bronze_replay_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are delivered three times, under other file names, and stored once."""
+    root = scratch_dir(spark, "replayed")
+    for _ in range(3):
+        to_text(cdc_to_json(spark, sf_dir), f"{root}/messages")
+        ingest(
+            text_messages(spark, f"{root}/messages"),
+            f"{root}/bronze",
+            f"{root}/checkpoint",
+            schema=message_schema(key_type=KEY_TYPE),
+            ts_type=NTZ,
+            available_now=True,
+            once="7 days",
+        ).awaitTermination()
+    return read_bronze(spark, f"{root}/bronze", key_type=KEY_TYPE, ts_type=NTZ).select(*MESSAGE)
+
+
+def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages judged under a schema that asks for a name, then twice under one that doesn't."""
+    path = f"{scratch_dir(spark, 'quarantine')}/bronze"
+    schema = message_schema(key_type=KEY_TYPE)
+    strict = T.StructType([T.StructField(f.name, f.dataType, f.nullable and f.name != "name") for f in schema.fields])
+    messages = order_messages(spark, sf_dir, "month")
+    write_bronze(parse_cdc(with_source_seq(messages), strict, ts_type=NTZ), path)
+    for _ in range(2):
+        replay_rejects(spark, path, schema, key_type=KEY_TYPE, ts_type=NTZ)
+    events = read_bronze(spark, path, key_type=KEY_TYPE, ts_type=NTZ)
+    left = read_bronze(spark, path, rejected=True, key_type=KEY_TYPE, ts_type=NTZ)
+    ids = F.sum("customer_id").alias("ids")
+    moved = events.groupBy(F.lit("accepted").alias("reason")).agg(F.count("*").alias("cnt"), ids)
+    return moved.unionByName(
+        left.groupBy(F.col("reject_reason").alias("reason")).agg(
+            F.count("*").alias("cnt"), F.lit(None).cast("bigint").alias("ids")))
+
+
 # Increments
 
 
@@ -297,6 +342,75 @@ def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.dimension()
 
 
+def scd2_late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of orders that come out of order, put between the versions that are there."""
+    orders = table(spark, sf_dir, "orders")
+    store = DimensionStore(
+        spark, scratch_dir(spark, "late"), ORDER_SPEC, PIPELINE, KEY_TYPE, NTZ, late="splice",
+        tie_types={"o_orderkey": "bigint"})
+    bounds = [None, *ORDER_CUTS, None]
+    for number in ARRIVALS:
+        part = orders if bounds[number] is None else orders.where(F.col("o_orderdate") >= at(bounds[number]))
+        store.apply(part if bounds[number + 1] is None else part.where(F.col("o_orderdate") < at(bounds[number + 1])))
+    return store.dimension()
+
+
+def scd2_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four producers' events in three deliveries, each with all days: read by position, each delivery twice."""
+    events = customer_events(spark, sf_dir).withColumn("source", F.concat(F.lit("p"), F.col("customer_id") % 4))
+    last = events.agg(F.max("seq")).first()[0] or 0
+    root = scratch_dir(spark, "positions")
+    config = ChainConfig(Settings(warehouse=f"{root}/warehouse"), EVENT_SPEC, KEY_TYPE, NTZ)
+    store = DimensionStore(
+        spark, f"{root}/silver", EVENT_SPEC, PIPELINE, KEY_TYPE, NTZ, late="splice", positions=(PART, POSITION))
+    for number in range(DELIVERIES):
+        part = events.where(F.floor(F.col("seq") * DELIVERIES / (last + 1)) == number)
+        to_text(cdc_messages(part, MESSAGE), f"{root}/messages")
+        ingest_files(spark, config, f"{root}/messages")
+        for _ in range(2):
+            store.run(config.bronze(spark), day_column="updated_day")
+    return store.dimension()
+
+
+def customer_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as customer changes, errors being deletes."""
+    deleted = F.when(F.col("status") == "error", "D").otherwise(F.col("op"))
+    return customer_events(spark, sf_dir).withColumn("op", deleted)
+
+
+def scd2_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions with gaps: from all changes at once, by runs over a growing table, and from a stream."""
+    events = customer_deletes(spark, sf_dir)
+    time = F.col("updated_at")
+    batch = F.when(time < at(CUTS[0]), 0).when(time < at(CUTS[1]), 1).otherwise(2)
+    results = {"history": scd2_history(events, DELETE_SPEC, batch, hot_rows=FEW_ROWS)}
+    root = scratch_dir(spark, "deletes")
+    stores = {
+        mode: DimensionStore(spark, f"{root}/{mode}", DELETE_SPEC, PIPELINE, KEY_TYPE, NTZ) for mode in ("merge", "stream")}
+    bounds = [None, *CUTS, None]
+    for low, high in zip(bounds, bounds[1:]):
+        arrived = before(events, high) if high else events
+        for _ in range(2):
+            stores["merge"].run(arrived)
+        part = from_cut(arrived, low) if low else arrived
+        to_text(cdc_messages(part, MESSAGE), f"{root}/messages")
+        typed = accepted(parse(text_messages(spark, f"{root}/messages")))
+        upsert_stream(typed, stores["stream"], f"{root}/checkpoint", available_now=True).awaitTermination()
+    results |= {mode: store.dimension() for mode, store in stores.items()}
+    named = [rows.withColumn("mode", F.lit(mode)) for mode, rows in results.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def lines_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the version of their part that was valid when they were shipped; busy parts in slices."""
+    lines = table(spark, sf_dir, "lineitem")
+    versions = scd2_history(lines, LINE_SPEC, F.year("l_shipdate"))
+    facts = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
+    return join_as_of(
+        facts, versions, "l_partkey", "l_shipdate", "l_partkey", ["hashdiff", "effective_from", "effective_to"],
+        hot_rows=FEW_LINES)
+
+
 def scd2_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same three batches as a stream of message files into bronze and on into the dimension."""
     events = customer_events(spark, sf_dir)
@@ -361,6 +475,17 @@ def gold_partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results[0].unionByName(results[1])
 
 
+def mart_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart after three increments, of which it rewrote the touched days."""
+    events = customer_events(spark, sf_dir)
+    path = f"{scratch_dir(spark, 'maintained')}/gold"
+    store = _store(spark, "maintained-dimension")
+    for arrived in (*[before(events, cut) for cut in CUTS], events):
+        store.run(arrived)
+        maintain_gold(store, path)
+    return read_gold(spark, path)
+
+
 def gold_sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = PathTarget(scratch_dir(spark, "serving"))
     export(gold_customer_daily(spark, sf_dir), target)
@@ -447,6 +572,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cdc_rejects,
         bronze_by_day,
         bronze_stream_ingest,
+        bronze_replay_proof,
+        quarantine_replay,
         watermark_current,
         watermark_advance,
         incremental_read,
@@ -461,6 +588,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scd2_merge_source,
         scd2_incremental,
         scd2_stream_upsert,
+        scd2_late_changes,
+        scd2_by_position,
+        scd2_deletes,
+        lines_as_of,
         scd2_history_events,
         scd2_history_prereduced,
         scd2_history_orders,
@@ -469,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scd2_current,
         gold_customer_daily,
         gold_partition_overwrite,
+        mart_maintained,
         gold_sorted_export,
         csv_lines_load,
         medallion_end_to_end,

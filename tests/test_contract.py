@@ -86,26 +86,26 @@ def test_merge_of_staged_rows_shuffles_each_side_once(spark):
     assert plan(scd2_merge_step(spark, SF)).split("SortMergeJoin")[1].count("Exchange") == 2
 
 
-def test_store_merge_shuffles_the_batch_only(spark, root):
+@pytest.mark.parametrize("late", ["ignore", "splice"])
+def test_store_merge_shuffles_the_batch_only(spark, root, monkeypatch, late):
+    """What is kept goes from the bucketed scan to the write without an exchange, and unsorted for a small batch."""
     events = customer_events(spark, SF)
-    store = DimensionStore(spark, root, EVENT_SPEC, key_type="bigint", ts_type=NTZ, buckets=4)
+    store = DimensionStore(spark, root, EVENT_SPEC, key_type="bigint", ts_type=NTZ, buckets=4, late=late)
     store.run(before(events))
-    staged = store._pin(from_cut(events))
+    staged = store._pin(from_cut(events), 2)
     rows = staged.count()
-    hashed = plan(store.changed_versions(store.last_commit(), staged, rows))
-    store.hashed_rows = 0
-    sorted_ = plan(store.changed_versions(store.last_commit(), staged, rows))
+    hashed = plan(store._next_rows(store.last_commit(), staged, rows, 4))
+    monkeypatch.setattr("tidemark.plans.dimension.HASHED_KEYS", 0)
+    sorted_ = plan(store._next_rows(store.last_commit(), staged, rows, 4))
     for text, join in ((hashed, "ShuffledHashJoin"), (sorted_, "SortMergeJoin")):
-        semi = text[text.index(f"{join} [customer_id"):]
-        assert "LeftSemi" in semi.split("\n")[0]
-        assert "Exchange" not in semi.split("Bucketed: true")[0]
-    assert "Sort [" not in hashed[hashed.index("LeftSemi"):].split("Bucketed: true")[0]
+        kept = text[text.index("Union"):].split("Bucketed: true")[0]
+        assert join in kept and "Exchange" not in kept
+        assert ("Sort [" in kept) == (join == "SortMergeJoin")
 
 
-@pytest.mark.parametrize("options", [{"hashed_rows": 0}, {"fold_after": 1}, {"fold_after": None}])
-def test_store_options_change_no_result(spark, con, monkeypatch, options):
+def test_splicing_changes_no_result_of_batches_in_order(spark, con, monkeypatch):
     real = DimensionStore.__init__
-    monkeypatch.setattr(DimensionStore, "__init__", lambda self, *args, **given: real(self, *args, **given, **options))
+    monkeypatch.setattr(DimensionStore, "__init__", lambda self, *args, **given: real(self, *args, **given, late="splice"))
     name = "scd2_incremental"
     assert differences(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) == []
 

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import OPEN_END, Scd2Spec, scd2_apply, scd2_history, stage_changes
+from tidemark.operators import (
+    OPEN_END,
+    Scd2Spec,
+    join_as_of,
+    last_positions,
+    live,
+    merged_positions,
+    read_unseen,
+    scd2_apply,
+    scd2_history,
+    stage_changes,
+)
 from tidemark.operators.scd2 import open_versions
 from tidemark.plans import DimensionStore
 
@@ -183,12 +195,12 @@ def test_batch_without_changes_keeps_the_version_and_advances_the_mark(spark, ro
     before = store.last_commit()
     store.apply(changes(spark, (1, "vip", T3)))
     after = store.last_commit()
-    assert (after.version, after.base) == (before.version, before.base) == (2, 1)
+    assert after.version == before.version == 2 and after.run == before.run + 1
     assert store.commits().agg(F.max("updated_at_gte")).first()[0] == T3
     assert versions(store) == CHANGED
 
 
-@pytest.mark.parametrize("step", ["_pin", "_write_changes", "_commit"])
+@pytest.mark.parametrize("step", ["_pin", "_write_version", "_commit"])
 @pytest.mark.parametrize("stop", ["before", "after"])
 def test_crash_and_repeat(spark, root, monkeypatch, step, stop):
     """A run that stops around any of its writes is invisible, and repeating it gives the whole result."""
@@ -211,64 +223,16 @@ def test_crash_and_repeat(spark, root, monkeypatch, step, stop):
     assert versions(store) == CHANGED
 
 
-@pytest.mark.parametrize("step", ["_write_base", "_write_closed", "_commit"])
-@pytest.mark.parametrize("stop", ["before", "after"])
-def test_crashed_fold_alters_nothing(spark, root, monkeypatch, step, stop):
-    """Also where the next fold starts from the same base and holds another step."""
-    store = after_change(spark, root)
-    real = getattr(DimensionStore, step)
-
-    def crash(self, *args):
-        if stop == "after":
-            real(self, *args)
-        raise RuntimeError("lost")
-
-    with monkeypatch.context() as patch:
-        patch.setattr(DimensionStore, step, crash)
-        with pytest.raises(RuntimeError):
-            store.fold()
-    assert versions(store) == CHANGED
-    store.apply(changes(spark, (1, "active", T3), (2, "vip", T3)))
-    expected = [CHANGED[0], (1, "active", T3, END, True), (1, "vip", T2, T3, False), (2, "vip", T3, END, True)]
-    assert versions(store) == sorted(expected)
-    for _ in range(2):
-        store.fold()
-        assert store.last_commit().base == 3
-        assert versions(store) == sorted(expected)
-
-
-def test_a_run_writes_what_its_batch_alters(spark, root):
+def test_versions_that_expire_are_deleted(spark, root):
     store = new_store(spark, root)
-    store.apply(changes(spark, *[(key, "active", T1) for key in range(500)]))
-    base = spark.read.parquet(store.base_path(1)).inputFiles()
-    store.apply(changes(spark, (7, "vip", T2), (8, "active", T2)))
-    assert spark.read.parquet(store.changes_path).count() == 2
-    assert spark.read.parquet(store.base_path(1)).inputFiles() == base
-    assert store.last_commit().base == 1 and store.current().count() == 500
-
-
-def test_folding_keeps_rows_buckets_and_days(spark, root):
-    store = new_store(spark, root, fold_after=2, view="folded_dimension")
-    expected = {}
-    for step in range(7):
-        time = T1 + dt.timedelta(days=step)
-        for key in (step % 3, 9):
-            expected.setdefault(key, []).append((f"s{step}", time))
-        store.apply(changes(spark, *[(key, f"s{step}", time) for key in (step % 3, 9)]))
-        rows = sorted(map(tuple, store.dimension().collect()), key=str)
-        assert sorted(map(tuple, spark.table("folded_dimension").collect()), key=str) == rows
-    wanted = []
-    for key, own in expected.items():
-        ends = [time for _, time in own[1:]] + [END]
-        wanted += [(key, s, t, end, end == END) for (s, t), end in zip(own, ends)]
-    assert store.last_commit().base == 7
-    assert versions(store) == sorted(wanted)
-    closed = spark.read.parquet(store.closed_path)
-    assert closed.where(F.col("effective_day") != F.to_date("effective_from")).count() == 0
-    store.expire(keep=1)
-    assert versions(store) == sorted(wanted)
-    store.apply(changes(spark, (9, "late", T1 + dt.timedelta(days=30))))
-    assert len(versions(store)) == len(wanted) + 1
+    for time, status in ((T1, "active"), (T2, "vip"), (T3, "active")):
+        store.apply(changes(spark, (1, status, time)))
+    store.apply(changes(spark, (1, "active", T3)))
+    expected = versions(store)
+    store.expire(keep=2)
+    assert sorted(p.name for p in Path(f"{root}/dim/versions").iterdir()) == ["2", "3"]
+    assert sorted(p.name for p in Path(f"{root}/dim/staged").iterdir()) == ["2", "3", "4"]
+    assert versions(store) == expected and len(expected) == 3
 
 
 def test_crashed_attempt_leaves_no_trace_when_repeated_without_changes(spark, root, monkeypatch):
@@ -429,7 +393,7 @@ def test_both_history_plans_agree_when_batches_share_a_time(spark, seed):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         for hot_rows in (None, 3):
-            history = scd2_history(df, Scd2Spec(tie_break=("seq",)), bucket, hot_rows=hot_rows, slice_rows=100)
+            history = scd2_history(df, Scd2Spec(tie_break=("seq",)), bucket, hot_rows=hot_rows, slices=20)
             found.append(sorted(tuple(r) for r in history.collect()))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -462,3 +426,186 @@ def test_a_published_name_stays_right(spark, root):
         assert sorted(map(tuple, spark.table("published_dimension").collect()), key=str) == rows
     store.expire(keep=1)
     assert sorted(map(tuple, spark.table("published_dimension").collect()), key=str) == rows and len(rows) == 6
+
+
+# Late changes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_of_batches_does_not_matter_when_late_changes_are_spliced(spark, root, seed):
+    rng = random.Random(seed)
+    df = random_changes(spark, seed=seed, rows=120, keys=5)
+    batch = F.floor(F.dayofmonth("updated_at") / 5)
+    order = [0, 1, 2, 3, 4, rng.randrange(5)]
+    rng.shuffle(order)
+    store = new_store(spark, root, late="splice")
+    for number in order:
+        store.apply(df.where(batch == number))
+    assert as_versions(store.dimension()) == as_versions(scd2_history(df, SPEC, batch))
+    check_invariants(store.dimension())
+
+
+def test_a_late_change_splits_a_version_and_equal_neighbours_become_one(spark, root):
+    store = new_store(spark, root, late="splice", view="spliced_dimension")
+    store.apply(changes(spark, (1, "active", T1)))
+    store.apply(changes(spark, (1, "active", T3)))
+    assert versions(store) == [(1, "active", T1, END, True)]
+    assert store.apply(changes(spark, (1, "vip", T2))) == 3
+    split = [(1, "active", T1, T2, False), (1, "active", T3, END, True), (1, "vip", T2, T3, False)]
+    assert versions(store) == split
+    assert store.apply(changes(spark, (1, "vip", T2))) == 3  # nothing new
+    store.apply(changes(spark, (1, "vip", T1 - dt.timedelta(days=1))))
+    store.apply(changes(spark, (1, "vip", T1, 9)))  # after the change of that time
+    day = T1 - dt.timedelta(days=1)
+    expected = [(1, "active", T1, T1, False), (1, "active", T3, END, True), (1, "vip", T1, T3, False), (1, "vip", day, T1, False)]
+    assert versions(store) == sorted(expected)
+    assert spark.table("spliced_dimension").count() == 4
+
+
+def test_unknown_way_to_treat_late_changes_is_refused(spark, root):
+    with pytest.raises(ValueError, match="late"):
+        new_store(spark, root, late="drop")
+
+
+# Deletes
+
+WITH_OP = Scd2Spec(tie_break=("seq",), deletes="op")
+
+
+def ops(spark, *rows):
+    """Rows of (id, op, status, time)."""
+    data = [(key, "n", status, time, 0, op) for key, op, status, time in rows]
+    return spark.createDataFrame(data, f"{SCHEMA}, op string")
+
+
+DELETED = [(1, "active", T1, T2, False), (1, "active", T3, END, True)]
+
+
+@pytest.mark.parametrize("late", ["ignore", "splice"])
+def test_a_delete_closes_and_a_later_change_opens_again(spark, root, late):
+    store = new_store(spark, root, WITH_OP, late=late, view=f"deleted_{late}")
+    store.apply(ops(spark, (1, "I", "active", T1), (2, "D", None, T1), (3, "U", "vip", T1)))
+    assert versions(store) == [(1, "active", T1, END, True), (3, "vip", T1, END, True)]
+    for _ in range(2):
+        store.apply(ops(spark, (1, "D", None, T2), (3, None, "vip", T2)))
+    assert versions(store) == [(1, "active", T1, T2, False), (3, "vip", T1, END, True)]
+    store.apply(ops(spark, (1, "D", "active", T2)))
+    store.apply(ops(spark, (1, "U", "active", T3)))
+    assert versions(store) == [*DELETED, (3, "vip", T1, END, True)]
+    assert spark.table(f"deleted_{late}").count() == 3
+
+
+def test_an_older_change_does_not_open_a_deleted_key(spark, root):
+    store = new_store(spark, root, WITH_OP)
+    for row in ((1, "I", "active", T1), (1, "D", None, T3), (1, "U", "vip", T2)):
+        store.apply(ops(spark, row))
+    assert versions(store) == [(1, "active", T1, T3, False)]
+    assert store.current().count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_history_with_deletes_equals_merging(spark, hot_rows):
+    df = random_changes(spark, seed=8, rows=300).withColumn("op", F.when(F.col("status") == "b", "D"))
+    found = as_versions(scd2_history(df, WITH_OP, F.to_date("updated_at"), hot_rows=hot_rows, slices=5))
+    dimension = None
+    for (day,) in df.select(F.to_date("updated_at")).distinct().orderBy(F.to_date("updated_at")).limit(6).collect():
+        staged = stage_changes(df.where(F.to_date("updated_at") == day), WITH_OP)
+        dimension = open_versions(staged, WITH_OP) if dimension is None else scd2_apply(dimension, staged, WITH_OP)
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/deletes-{hot_rows}-{day}"
+        dimension.write.parquet(path)
+        dimension = spark.read.parquet(path)
+    first = df.where(F.to_date("updated_at") <= day)
+    assert as_versions(live(dimension, WITH_OP)) == as_versions(scd2_history(first, WITH_OP, F.to_date("updated_at")))
+    expected = []
+    rows = {}
+    for row in sorted(df.collect(), key=lambda r: (r.updated_at, r.seq)):
+        rows.setdefault(row.customer_id, {})[row.updated_at.date()] = row
+    for key, days in rows.items():
+        kept = []
+        for row in days.values():
+            if not kept or kept[-1].status != row.status:
+                kept.append(row)
+        for row, following in zip(kept, [*kept[1:], None]):
+            if row.status != "b":
+                expected.append((key, row.status, row.updated_at, following.updated_at if following else END, following is None))
+    assert found == sorted(expected, key=str)
+
+
+# Progress by position
+
+
+def placed(spark, root, rows):
+    """Appends (customer_id, status, updated_at, part, position) to a bronze-like folder by day."""
+    schema = "customer_id int, status string, updated_at timestamp_ntz, source_part string, source_pos long"
+    df = spark.createDataFrame(rows, schema).withColumns(
+        {"name": F.lit("n"), "seq": F.col("source_pos"), "updated_day": F.to_date("updated_at")})
+    df.write.mode("append").partitionBy("updated_day").parquet(f"{root}/bronze")
+    return spark.read.parquet(f"{root}/bronze")
+
+
+def test_late_rows_are_read_once_by_position(spark, root):
+    store = new_store(spark, root, late="splice", positions=("source_part", "source_pos"))
+    assert store.run(placed(spark, root, [(1, "active", T2, "a", 7), (2, "vip", T3, "b", 1)]), "updated_day") == 1
+    late = placed(spark, root, [(1, "vip", T1, "a", 8), (3, "vip", T1, "c", 0), (2, "active", T2, None, 5)])
+    assert store.run(late, "updated_day") == 2
+    assert store.run(spark.read.parquet(f"{root}/bronze"), "updated_day") is None
+    assert versions(store) == [
+        (1, "active", T2, END, True), (1, "vip", T1, T2, False), (2, "active", T2, T3, False), (2, "vip", T3, END, True),
+        (3, "vip", T1, END, True)]
+    assert store.last_commit().positions == {"a": 8, "b": 1, "c": 0, "": 5}
+
+
+def test_reading_by_position_opens_only_days_with_unseen_rows(spark, root):
+    placed(spark, root, [(1, "active", T1, "a", 1), (1, "active", T2, "a", 2), (1, "active", T3, "a", 3)])
+    bronze = placed(spark, root, [(2, "vip", T2, "a", 4)])
+    found = read_unseen(bronze, {"a": 3}, day_column="updated_day")
+    assert [r.customer_id for r in found.collect()] == [2]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    filters = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert str(T2.date()) in filters and str(T1.date()) not in filters and str(T3.date()) not in filters
+    assert len({f.split("updated_day=")[1][:10] for f in read_unseen(bronze, {"a": 3}, day_column="updated_day").inputFiles()}) >= 1
+    future = dt.datetime.now() + dt.timedelta(days=1)
+    assert read_unseen(bronze, {"a": 3}, day_column="updated_day", written_since=future).count() == 0
+
+
+def test_positions(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 9), (None, 4), ("b", None)], "source_part string, source_pos long")
+    found = last_positions(rows).first()
+    assert found.positions == {"a": 9, "": 4} and found.unplaced == 1
+    assert merged_positions({"a": 12, "z": 1}, found.positions) == {"a": 12, "z": 1, "": 4}
+    assert merged_positions(None, None) == {}
+
+
+def test_rows_without_a_position_are_refused(spark, root):
+    store = new_store(spark, root, positions=("source_part", "source_pos"))
+    with pytest.raises(ValueError, match="no position"):
+        store.run(placed(spark, root, [(1, "active", T1, "a", None)]))
+
+
+# Versions as of a time
+
+
+@pytest.mark.parametrize(("hot_rows", "slices"), [(None, None), (5, 4), (5, 150), (40, 1)])
+def test_join_as_of_equals_brute_force(spark, hot_rows, slices):
+    rng = random.Random(7)
+    hours = lambda n: T1 + dt.timedelta(hours=n)
+    version_rows = [(0, "v", T1, T1, "empty"), (None, "x", T1, T2, "keyless"), (1, "w", T2, T2, "empty")]
+    for key in range(6):
+        at = rng.randrange(5)
+        for i in range(rng.randrange(30)):
+            length = rng.choice([0, 1, 5])
+            version_rows.append((key, f"{key}-{i}", hours(at), hours(at + length), "n"))
+            at += length + rng.choice([0, 0, 7])  # a gap
+    fact_rows = [(rng.choice([0, 0, 0, 0, *range(8), None]), hours(rng.randrange(-3, 160)) if i % 9 else None, i) for i in range(400)]
+    fact_rows += fact_rows[:20]
+    versions_ = spark.createDataFrame(version_rows, "id int, value string, effective_from timestamp, effective_to timestamp, note string")
+    facts = spark.createDataFrame(fact_rows, "key int, at timestamp, n int")
+    found = join_as_of(facts, versions_, "key", "at", "id", ["value", "note"], hot_rows=hot_rows, slices=slices)
+    expected = []
+    for key, at, n in fact_rows:
+        held = [v for v in version_rows if at and v[0] is not None and v[0] == key and v[2] <= at < v[3]]
+        assert len(held) <= 1
+        expected.append((key, at, n, *((held[0][1], held[0][4]) if held else (None, None))))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text

@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.latest import latest_per_key
-from tidemark.operators.scd2 import Scd2Spec, dimension_columns, fingerprint, open_end, valid_changes
-from tidemark.session import scratch_dir
-
-# Rows that a slice of a hot key aims at.
-SLICE_ROWS = 4_000_000
+from tidemark.operators.scd2 import Scd2Spec, dimension_columns, fingerprint, live, open_end, valid_changes
+from tidemark.operators.slices import SLICE, with_slices
 
 
 def scd2_history(
@@ -19,7 +16,7 @@ def scd2_history(
     bucket: Column | None = None,
     hot_rows: int | None = None,
     prereduce: bool = False,
-    slice_rows: int = SLICE_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """All versions of all keys, equal to merging the batches one after the other.
 
@@ -27,126 +24,73 @@ def scd2_history(
     tracked columns. Within a batch only the last change of a key counts. Several batches may share
     a time. Without `bucket` every distinct time is its own batch.
 
-    With `hot_rows`, keys with more changes than that take another plan with the same result, in
-    slices of about `slice_rows` rows, so no task ever holds one such key. Finding them counts the
-    key column map-side and runs jobs at once, and the changes are read several times: give it a
-    pinned table. By default one task sorts a key's changes, spilling as needed.
+    With `hot_rows`, keys with more changes than that are cut into time slices (`with_slices`) and
+    no task holds one of them as a whole. What crosses the slices' edges is one summary of each: its
+    first and its last version. A batch is never cut, so combine it with `prereduce` where one batch
+    holds very many changes of a key. By default one task sorts a key's changes, spilling as needed.
 
     `prereduce` drops all but the last change of each batch before the shuffle by key. It adds a
     shuffle of what is left, so it pays only where keys change many times per batch.
+
+    Deletes (`Scd2Spec.deletes`) end a version and open none, so gaps are left between versions.
     """
-    rows = valid_changes(changes, spec)
+    rows = valid_changes(changes, spec).withColumn("_batch", F.col(spec.order_by) if bucket is None else bucket)
+    if prereduce:
+        rows = latest_per_key(rows, [spec.key, "_batch"], spec.order_by, spec.final_order)
+    if hot_rows is None:
+        starts = _starts(rows, spec, [spec.key])
+        return _versions(starts, spec, "_next")
+    starts = _starts(with_slices(rows, spec.key, "_batch", hot_rows, slices), spec, [spec.key, SLICE])
+    at_edge = (F.col(SLICE) > 0) & (F.col("_first") | F.col("_next").isNull())
+    inner = _versions(starts.where(~at_edge), spec, "_next")
+    return inner.unionByName(_versions(_scanned(starts.where(at_edge), spec), spec, "_next"))
 
-    def by_key(part: DataFrame) -> DataFrame:
-        return _by_key(_batch_winners(part, spec, bucket) if prereduce else part, spec, bucket)
 
-    if hot_rows is None:
-        return by_key(rows)
-    spark = changes.sparkSession
-    path = scratch_dir(spark, "hot-keys")
-    rows.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).write.parquet(path)
-    counts = spark.read.parquet(path)
-    total = counts.agg(F.sum("_n")).first()[0]
-    if total is None:
-        return by_key(rows)
-
-    hot = counts.select(spec.key)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(width, total // slice_rows)
-    cold_part = by_key(rows.join(hot, spec.key, "left_anti"))
-    hot_part = _by_slice(rows.join(hot, spec.key, "left_semi"), spec, bucket, slices)
-    return cold_part.unionByName(hot_part)
-
-
-def _batch_winners(rows: DataFrame, spec: Scd2Spec, bucket: Column | None) -> DataFrame:
-    batch = F.col(spec.order_by) if bucket is None else bucket
-    with_batch = rows.withColumn("_batch", batch)
-    return latest_per_key(with_batch, [spec.key, "_batch"], spec.order_by, spec.final_order).drop("_batch")
-
-
-def _versions(kept: DataFrame, spec: Scd2Spec, successor: Column) -> DataFrame:
-    ts_type = kept.schema[spec.order_by].dataType.simpleString()
-    return (
-        kept.withColumn("_next", successor)
-        .withColumns(
-            {
-                "effective_from": F.col(spec.order_by),
-                "effective_to": F.coalesce("_next", open_end(ts_type)),
-                "is_current": F.col("_next").isNull(),
-            }
-        )
-        .select(*dimension_columns(spec))
-    )
-
-
-def _differs(previous: str) -> Column:
-    return ~F.col("hashdiff").eqNullSafe(F.col(previous))
-
-
-def _by_key(rows: DataFrame, spec: Scd2Spec, bucket: Column | None) -> DataFrame:
-    """One shuffle by key; the batch's last row, the change test and the successor share its sort."""
-    ascending = [F.col(c).asc_nulls_first() for c in (spec.order_by, *spec.final_order)]
-    in_key = Window.partitionBy(spec.key).orderBy(*ascending)
-    batch = F.col(spec.order_by) if bucket is None else bucket
-    last_of_batch = (
-        rows.withColumn("_batch", batch)
-        .withColumn("_following", F.lead("_batch").over(in_key))
-        .where(~F.col("_following").eqNullSafe(F.col("_batch")))
-        .drop("_batch", "_following")
-    )
-    changed = (
-        fingerprint(last_of_batch, spec)
-        .withColumn("_previous", F.lag("hashdiff").over(in_key))
-        .where(_differs("_previous"))
-    )
-    return _versions(changed, spec, F.lead(spec.order_by).over(in_key))
-
-
-def _by_slice(rows: DataFrame, spec: Scd2Spec, bucket: Column | None, slices: int) -> DataFrame:
-    """The same over time slices of keys, so that a key is never in one task as a whole.
-
-    After the batches are reduced a range partitioning by a key's whole order cuts keys at any size,
-    also where batches share a time. The slices are written once, so both the rows and their edges
-    see the same cut; the rows
-    that open versions are written too, as they are read for the versions and for the edges. What
-    crosses an edge is small: one row per (key, slice), that is at most one per hot key plus one per
-    slice.
+def _order(spec: Scd2Spec) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in (spec.order_by, *spec.final_order)]
+
+
+def _starts(rows: DataFrame, spec: Scd2Spec, within: list[str]) -> DataFrame:
+    """The batches' last changes that differ from the one before, with the time of the next such one.
+
+    One shuffle and one sort serve all three steps. `_first` marks the first change of its group.
+    """
+    in_order = Window.partitionBy(*within).orderBy(*_order(spec))
+    following = F.lead(F.struct("_batch")).over(in_order).alias("_following")
+    ends_batch = F.col("_following").isNull() | ~F.col("_following._batch").eqNullSafe(F.col("_batch"))
+    last_of_batch = fingerprint(rows.select("*", following).where(ends_batch), spec)
+    compared = last_of_batch.select("*", F.lag(F.struct("hashdiff")).over(in_order).alias("_previous"))
+    differs = F.col("_previous").isNull() | ~F.col("hashdiff").eqNullSafe(F.col("_previous.hashdiff"))
+    kept = [c for c in last_of_batch.columns if c not in ("_batch", "_following")]
+    first, successor = F.col("_previous").isNull(), F.lead(spec.order_by).over(in_order)
+    return compared.where(differs).select(*kept, first.alias("_first"), successor.alias("_next"))
+
+
+def _scanned(edges: DataFrame, spec: Scd2Spec) -> DataFrame:
+    """First and last versions of slices, once what lies before and behind their slice is known.
+
+    A slice's first version goes if the slice before ended with an equal one; its time of change is
+    then that of the slice's second version. The last version ends at the next time of change of any
+    later slice. A key has two rows per slice here, whatever its number of changes.
     """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "slices")
-    order = (spec.order_by, *spec.final_order)
-    (
-        _batch_winners(rows, spec, bucket)
-        .repartitionByRange(slices, spec.key, *[F.col(c).asc_nulls_first() for c in order])
-        .withColumn("_slice", F.spark_partition_id())
-        .write.parquet(path)
-    )
-    sliced = spark.read.parquet(path)
-
-    in_slice = Window.partitionBy(spec.key, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    across = Window.partitionBy(spec.key).orderBy("_slice")
-    last_rows = sliced.groupBy(spec.key, "_slice").agg(F.max_by(F.struct(*spec.tracked), F.struct(*order)).alias("_last"))
-    last_hashes = fingerprint(last_rows.select(spec.key, "_slice", "_last.*"), spec).select(
-        spec.key, "_slice", F.lag("hashdiff").over(across).alias("_carried")
-    )
-    changed = (
-        fingerprint(sliced.repartition(spec.key, "_slice"), spec)
-        .withColumn("_within", F.lag("hashdiff").over(in_slice))
-        .join(last_hashes, [spec.key, "_slice"])
-        .withColumn("_previous", F.coalesce("_within", "_carried"))
-        .where(_differs("_previous"))
-        .drop("_within", "_carried", "_previous")
-        .withColumn("_inside", F.lead(spec.order_by).over(in_slice))
-    )
-    path = scratch_dir(spark, "changed")
-    changed.write.parquet(path)
-    changed = spark.read.parquet(path)
-
-    followed = changed.where("_inside IS NOT NULL")
-    first_times = (
-        changed.groupBy(spec.key, "_slice")
-        .agg(F.min(spec.order_by).alias("_first"))
-        .select(spec.key, "_slice", F.lead("_first").over(across).alias("_later"))
-    )
-    last_of_slice = changed.where("_inside IS NULL").join(first_times, [spec.key, "_slice"])
-    return _versions(followed, spec, F.col("_inside")).unionByName(_versions(last_of_slice, spec, F.col("_later")))
+    names = (spec.order_by, *spec.final_order)
+    forward = Window.partitionBy(spec.key).orderBy(SLICE, *_order(spec))
+    backward = Window.partitionBy(spec.key).orderBy(F.desc(SLICE), *[F.col(c).desc_nulls_last() for c in names])
+    later = backward.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag(F.struct("hashdiff")).over(forward)
+    repeated = F.col("_first") & F.col("_before").isNotNull() & F.col("hashdiff").eqNullSafe(F.col("_before.hashdiff"))
+    change = F.when(F.col("_first"), F.when(repeated, F.col("_next")).otherwise(F.col(spec.order_by)))
+    placed = edges.select("*", before.alias("_before"))
+    ended = placed.select("*", F.last(change, ignorenulls=True).over(later).alias("_later")).where(~repeated)
+    return ended.withColumn("_next", F.coalesce("_next", "_later"))
+
+
+def _versions(starts: DataFrame, spec: Scd2Spec, successor: str) -> DataFrame:
+    ts_type = starts.schema[spec.order_by].dataType.simpleString()
+    end = F.col(successor)
+    dated = {
+        "effective_from": F.col(spec.order_by),
+        "effective_to": F.coalesce(end, open_end(ts_type)),
+        "is_current": end.isNull(),
+    }
+    return live(starts, spec).select(*[dated[c].alias(c) if c in dated else c for c in dimension_columns(spec)])

@@ -1,105 +1,78 @@
-"""Type-2 dimension on plain Parquet, one commit record per run."""
+"""Type-2 dimension as plain Parquet folders, one commit record per run.
+
+For tables of a format with row-level changes, `plans.rowlevel` merges in place; this store rewrites its folder.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
-from collections.abc import Callable
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import literal_mark, mark_text
-from tidemark.operators.latest import latest_per_key
-from tidemark.operators.scd2 import Scd2Spec, dimension_columns, open_versions, scd2_merge, stage_changes
-from tidemark.operators.watermark import next_mark, read_increment
+from tidemark.operators.positions import last_positions, merged_positions, read_unseen
+from tidemark.operators.scd2 import Scd2Spec, alters, dimension_columns, is_open, live, open_versions, scd2_merge, stage_changes
+from tidemark.operators.splice import REPEATS, point_columns, splice
+from tidemark.operators.watermark import read_increment
 from tidemark.schemas import commit_schema
 from tidemark.settings import DEFAULT_PIPELINE
 
+#: Types of tie-break columns that a spliced dimension keeps; others are given by `tie_types`.
+TIE_TYPES = {"seq": "bigint", "source_ts": "timestamp", "ingest_ts": "timestamp"}
+#: Keys of a batch, for each bucket, up to which the dimension meets them by hash and is not sorted.
+HASHED_KEYS = 200_000
+
 
 class DimensionStore:
-    """Folders of one dimension.
+    """`versions/N` holds all rows of version N, bucketed by key; `staged/B` the batch of run B; `commits` one row
+    per finished run, which is the watermark log too. Readers and the next run trust `commits` only, which is
+    written last: what a stopped run left is not visible and is overwritten by the next one.
 
-    `base/N` holds the open rows of version N, bucketed by key. `changes/version=N` holds what the
-    step to version N opened and closed. `fold` makes a new base of the last one and the changes
-    since; the rows closed since then move to `closed/since=B`, in folders by day of
-    `effective_from`, B being the base that was folded. `commits` has one row per finished run or
-    fold and is the watermark log. Readers and the next run trust `commits` only, which is written
-    last: what a crashed run left behind is not visible and is overwritten by the next run that
-    makes the same folder. A folder that a commit names is never written again.
+    A run stages its batch, joins it with the last version and writes the next one; a batch that alters nothing
+    only advances the mark. The batch is shuffled, the dimension is not. Choose `buckets` so that one bucket fits a
+    task; a store keeps its count until another is given. One writer per store is assumed.
 
-    A run reads the base once and writes what its batch alters, so its writes do not grow with the
-    dimension; the batch is shuffled and the dimension is not. After `fold_after` altering runs the
-    changes are folded (None: only by a call). Choose `buckets` so that one bucket of open rows fits
-    a task; a store keeps its count until another is given, and then changes it by folding after the
-    next run that alters the dimension. One writer per store is assumed.
+    With `late="ignore"` a change older than its key's open row is left out. With `late="splice"` it is put between
+    the versions that are there, so that the dimension depends on the batches but not on their order.
 
-    Up to `hashed_rows` rows per bucket of a batch are joined by hash, which spares the sort of the
-    base; a larger batch is sort-merged, with the same result.
+    `positions` names part and position columns: increments are then what lies behind the last positions read
+    (`operators.positions`) instead of above the time mark. File times only spare reading, and are set back by
+    `clock_slack`.
 
     With `view`, each run publishes what it committed under that name.
     """
 
     def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        spec: Scd2Spec | None = None,
-        pipeline: str = DEFAULT_PIPELINE,
-        key_type: str = "int",
-        ts_type: str = "timestamp",
-        buckets: int | None = None,
-        view: str | None = None,
-        fold_after: int | None = 16,
-        hashed_rows: int = 200_000,
+        self, spark: SparkSession, root: str, spec: Scd2Spec | None = None, pipeline: str = DEFAULT_PIPELINE,
+        key_type: str = "int", ts_type: str = "timestamp", buckets: int | None = None, view: str | None = None,
+        late: str = "ignore", positions: tuple[str, str] | None = None,
+        clock_slack: dt.timedelta = dt.timedelta(hours=1), tie_types: Mapping[str, str] | None = None,
     ) -> None:
-        self.spark = spark
-        self.view = view
-        self.root = root.rstrip("/")
-        self.spec = spec or Scd2Spec()
-        self.pipeline = pipeline
-        self.key_type = key_type
-        self.ts_type = ts_type
-        self.buckets = buckets
-        self.fold_after = fold_after
-        self.hashed_rows = hashed_rows
+        if late not in ("ignore", "splice"):
+            raise ValueError(f"unknown way to treat late changes {late!r}")
+        self.spark, self.root, self.spec, self.pipeline = spark, root.rstrip("/"), spec or Scd2Spec(), pipeline
+        self.key_type, self.ts_type, self.buckets, self.view = key_type, ts_type, buckets, view
+        self.spliced, self.positions, self.clock_slack = late == "splice", positions, clock_slack
+        self.tie_types = {**TIE_TYPES, **(tie_types or {})}
+        self.commits_path = f"{self.root}/commits"
         # "ignore" writes the empty log only where none exists yet.
         spark.createDataFrame([], self.commit_schema).write.mode("ignore").parquet(self.commits_path)
 
-    @property
-    def commits_path(self) -> str:
-        return f"{self.root}/commits"
-
-    @property
-    def staged_path(self) -> str:
-        return f"{self.root}/staged"
-
-    @property
-    def changes_path(self) -> str:
-        return f"{self.root}/changes"
-
-    @property
-    def closed_path(self) -> str:
-        return f"{self.root}/closed"
-
-    def base_path(self, version: int) -> str:
-        return f"{self.root}/base/{version}"
-
     @property
     def commit_schema(self) -> T.StructType:
         return commit_schema(self.ts_type)
 
     @property
-    def dimension_schema(self) -> T.StructType:
-        types = {
-            self.spec.key: self.key_type,
-            self.spec.order_by: self.ts_type,
-            "effective_from": self.ts_type,
-            "effective_to": self.ts_type,
-            "is_current": "boolean",
-        }
-        columns = [f"{name} {types.get(name, 'string')}" for name in dimension_columns(self.spec)]
-        return T.StructType.fromDDL(", ".join(columns))
+    def stored_schema(self) -> T.StructType:
+        types = {**self.tie_types, self.spec.key: self.key_type, "is_current": "boolean", REPEATS: "boolean"}
+        types |= dict.fromkeys((self.spec.order_by, "effective_from", "effective_to"), self.ts_type)
+        types |= dict.fromkeys((*self.spec.tracked, "business_key", "hashdiff"), "string")
+        names = point_columns(self.spec) if self.spliced else dimension_columns(self.spec)
+        return T.StructType.fromDDL(", ".join(f"`{name}` {types[name]}" for name in names))
 
     # Reading
 
@@ -112,102 +85,67 @@ class DimensionStore:
         return self.commits().where(F.col("stream") == stream).agg(F.max("batch_id")).first()[0]
 
     def last_commit(self) -> Row | None:
-        """State after the newest finished run: its version, base and buckets, and the high-water mark."""
-        newest = F.max_by(F.struct("version", "base", "buckets"), F.struct("version", "base"))
-        row = (
-            self.commits()
-            .agg(newest.alias("at"), mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"))
-            .select("at.*", "mark")
-            .first()
-        )
+        """State after the newest finished run, with the high-water mark as text."""
+        newest = F.max_by(F.struct("version", "run", "buckets", "positions", "read_at"), "run")
+        row = self.commits().agg(newest.alias("at"), mark_text(F.max("updated_at_gte"), self.ts_type).alias("mark"))
+        row = row.select("at.*", "mark").first()
         return None if row.version is None else row
 
-    def current(self, commit: Row | None = None) -> DataFrame:
-        commit = commit or self.last_commit()
-        if commit is None:
-            return self.spark.createDataFrame([], self.dimension_schema)
-        base = self.spark.read.schema(self._base_schema).parquet(self.base_path(commit.base))
-        return self._with_opened(commit, self._as_open(base), self._opened(commit))
+    def stored(self, version: int, buckets: int) -> DataFrame:
+        """All rows of a version with their bucketing, made known to Spark by an external table."""
+        path, columns = f"{self.root}/versions/{version}", ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}" for f in self.stored_schema)
+        table = _table_name(path)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{self.spec.key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
 
     def dimension(self) -> DataFrame:
         """Every committed version."""
         commit = self.last_commit()
         if commit is None:
-            return self.spark.createDataFrame([], self.dimension_schema)
-        rows = self.current(commit)
-        if commit.version > commit.base:
-            rows = rows.unionByName(self._changes(commit).where("NOT is_current").drop("version"))
-        if commit.base > 1:
-            rows = rows.unionByName(self._folded(commit).select(*dimension_columns(self.spec)))
-        return rows
-
-    def bucketed_base(self, commit: Row) -> DataFrame:
-        """The base with its bucketing made known to Spark through a short-lived external table."""
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._base_schema.fields)
-        path = self.base_path(commit.base)
-        table = self._table_name(path)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
-            f"CLUSTERED BY (`{self.spec.key}`) INTO {commit.buckets} BUCKETS LOCATION '{path}'"
-        )
-        try:
-            return self._as_open(self.spark.table(table))
-        finally:
-            self.spark.sql(f"DROP TABLE {table}")
-
-    def changed_versions(self, commit: Row, batch: DataFrame, rows: int) -> DataFrame:
-        """What a staged batch of so many rows opens and closes; of the base, only rows of its keys leave the scan."""
-        keys = self._hashed(batch.select(self.spec.key), rows, commit.buckets)
-        touched = self.bucketed_base(commit).join(keys, self.spec.key, "left_semi")
-        opened = self._opened(commit)
-        if opened is not None:
-            touched = self._with_opened(commit, touched, opened.join(keys, self.spec.key, "left_semi"))
-        return scd2_merge(touched, batch, self.spec, altered_only=True)
+            return self.spark.createDataFrame([], self.stored_schema).select(*dimension_columns(self.spec))
+        rows = self.stored(commit.version, commit.buckets)
+        rows = rows.where(~F.col(REPEATS)) if self.spliced else rows
+        return live(rows, self.spec).select(*dimension_columns(self.spec))
 
-    @property
-    def _base_schema(self) -> T.StructType:
-        return T.StructType([f for f in self.dimension_schema.fields if f.name != "is_current"])
-
-    def _as_open(self, base: DataFrame) -> DataFrame:
-        return base.withColumn("is_current", F.lit(True)).select(*dimension_columns(self.spec))
-
-    def _changes(self, commit: Row) -> DataFrame:
-        """Rows of the steps since the base, with the version that each step made."""
-        schema = T.StructType([*self.dimension_schema.fields, T.StructField("version", T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(self.changes_path)
-        return rows.where((F.col("version") > commit.base) & (F.col("version") <= commit.version))
-
-    def _opened(self, commit: Row) -> DataFrame | None:
-        """The last version that the steps since the base opened, for each key that they altered."""
-        if commit.version == commit.base:
-            return None
-        return latest_per_key(self._changes(commit).where("is_current"), [self.spec.key], "version", ()).drop("version")
+    def current(self) -> DataFrame:
+        return self.dimension().where("is_current")
 
-    def _with_opened(self, commit: Row, base: DataFrame, opened: DataFrame | None) -> DataFrame:
-        if opened is None:
-            return base
-        return base.join(opened.select(self.spec.key), self.spec.key, "left_anti").unionByName(opened)
+    def current_at(self, version: int) -> DataFrame:
+        """Current versions of a version that has not been expired."""
+        first = self.commits().where(F.col("version") == version).agg(F.min_by("buckets", "run").alias("buckets")).first()
+        return self.stored(version, first.buckets).where("is_current").select(*dimension_columns(self.spec))
 
-    def _folded(self, commit: Row) -> DataFrame:
-        extra = [T.StructField("since", T.LongType()), T.StructField("effective_day", T.DateType())]
-        schema = T.StructType([*self._base_schema.fields, *extra])
-        rows = self.spark.read.schema(schema).parquet(self.closed_path)
-        return rows.where(F.col("since") < commit.base).withColumn("is_current", F.lit(False))
+    def moved(self, since: int, until: int) -> tuple[DataFrame, DataFrame]:
+        """Versions that became current, and those that ceased to be, from one version to a later one.
 
-    def _hashed(self, side: DataFrame, rows: int, buckets: int) -> DataFrame:
-        """Keys are unique and spread by hash, so the count bounds the side's share of every bucket."""
-        return side.hint("shuffle_hash" if rows <= self.hashed_rows * buckets else "merge")
-
-    def _table_name(self, path: str) -> str:
-        return f"tidemark_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+        Read from the rows of the keys that the runs between staged; a row that did neither is in both.
+        """
+        between = self.commits().where((F.col("version") > since) & (F.col("version") <= until))
+        batches = [f"{self.root}/staged/{row.run}" for row in between.select("run").collect()]
+        keys = self.spark.read.parquet(*batches).select(self.spec.key).distinct()
+        old, new = (self.current_at(v).join(keys, self.spec.key, "left_semi") for v in (since, until))
+        return new, old
 
     # Writing
 
     def run(self, bronze: DataFrame, day_column: str | None = None, lookback: str | None = None) -> int | None:
-        """Merges what the bronze table holds at or above the stored mark; the dimension's version, or None."""
+        """Merges what the bronze table holds at or above the stored mark, or behind the stored positions; the
+        dimension's version, or None where there is nothing new."""
         commit = self.last_commit()
-        mark = literal_mark(commit.mark, self.ts_type) if commit else None
-        return self._merge(commit, read_increment(bronze, mark, self.spec.order_by, day_column, lookback))
+        if self.positions is None:
+            mark = literal_mark(commit.mark, self.ts_type) if commit else None
+            return self._merge(commit, read_increment(bronze, mark, self.spec.order_by, day_column, lookback))
+        started = self.spark.sql("SELECT current_timestamp()").first()[0]
+        since = commit.read_at - self.clock_slack if commit and commit.read_at else None
+        seen = (commit.positions or {}) if commit else {}
+        changes = read_unseen(bronze, seen, *self.positions, day_column, since if day_column else None)
+        read = last_positions(changes, *self.positions).first()
+        if read.unplaced:
+            raise ValueError(f"{read.unplaced} rows have no position in {self.positions[1]}")
+        return self._merge(commit, changes, positions=merged_positions(seen, read.positions), read_at=started)
 
     def apply(self, changes: DataFrame, batch_id: int | None = None, stream: str = "") -> int | None:
         """Merges a batch of changes. An empty batch, or one of `stream` that is in already, changes nothing.
@@ -221,154 +159,115 @@ class DimensionStore:
         return self._merge(self.last_commit(), changes, batch_id, stream)
 
     def _merge(
-        self, commit: Row | None, changes: DataFrame, batch_id: int | None = None, stream: str = ""
+        self, commit: Row | None, changes: DataFrame, batch_id: int | None = None, stream: str = "",
+        positions: Mapping[str, int] | None = None, read_at: dt.datetime | None = None,
     ) -> int | None:
-        staged = self._pin(changes)
-        rows = staged.count()
-        if rows == 0:
+        run, version = (commit.run + 1, commit.version) if commit else (1, 0)
+        staged = self._pin(changes, run)
+        totals = self._judged(commit, staged).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if("alters").alias("altering"),
+            mark_text(F.max(self.spec.order_by), self.ts_type).alias("mark")).first()
+        if totals.rows == 0:
             return None
-        if commit is None:
-            version, base, altered = 1, 1, True
-            buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            opened = open_versions(staged, self.spec).repartition(buckets, self.spec.key)
-            self._write_base(opened, base, buckets)
-        else:
-            base, buckets = commit.base, commit.buckets
-            altered = self._write_changes(self.changed_versions(commit, staged, rows), commit.version + 1)
-            version = commit.version + altered
-        self._commit(next_mark(staged, self.pipeline, self.spec.order_by), version, base, buckets, batch_id, stream)
-        due = self.fold_after is not None and version - base >= self.fold_after
-        if altered and (due or buckets != (self.buckets or buckets)):
-            self.fold()
-        elif self.view:
-            self.publish(self.view)
-        return version
-
-    def fold(self) -> None:
-        """Makes a new base of the open rows, and packs the closed ones by day. Alters no version."""
-        commit = self.last_commit()
-        if commit is None or commit.version == commit.base:
-            return
-        buckets = self.buckets or commit.buckets
-        opened = self._opened(commit)
-        keys = self._hashed(opened.select(self.spec.key), opened.count(), commit.buckets)
-        # Both parts are dealt by bucket, so a task writes one bucket only.
-        kept = self.bucketed_base(commit).join(keys, self.spec.key, "left_anti")
-        if buckets != commit.buckets:
-            kept = kept.repartition(buckets, self.spec.key)
-        self._write_base(kept.unionByName(opened.repartition(buckets, self.spec.key)), commit.version, buckets)
-        self._write_closed(commit)
-        mark = next_mark(self.commits(), self.pipeline, "updated_at_gte")
-        self._commit(mark, commit.version, commit.version, buckets, None, "")
+        buckets = self.buckets or (commit.buckets if commit else int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        if totals.altering:
+            version += 1
+            self._write_version(self._next_rows(commit, staged, totals.rows, buckets), version, buckets)
+        elif commit:
+            buckets = commit.buckets
+        known = positions if positions is not None else (commit.positions if commit else None)
+        self._commit((self.pipeline, totals.mark, version, run, buckets, batch_id, stream, known, read_at))
         if self.view:
             self.publish(self.view)
+        return version
 
-    def _pin(self, changes: DataFrame) -> DataFrame:
+    def _pin(self, changes: DataFrame, run: int) -> DataFrame:
         """Writes the staged batch, so merge and watermark see the same rows while ingest goes on."""
-        staged = stage_changes(changes, self.spec)
-        staged.write.mode("overwrite").parquet(self.staged_path)
-        return self.spark.read.schema(staged.schema).parquet(self.staged_path)
-
-    def _write_base(self, rows: DataFrame, version: int, buckets: int) -> None:
-        path = self.base_path(version)
-        table = self._table_name(path)
-        # What a crashed run left of this name; the table is external, so no files go.
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        writer = rows.drop("is_current").write.mode("overwrite").bucketBy(buckets, self.spec.key)
-        writer.option("path", path).saveAsTable(table)
-        self.spark.sql(f"DROP TABLE {table}")
-
-    def _write_changes(self, rows: DataFrame, version: int) -> bool:
-        """Whether there were any; in few files, as a batch alters few rows of many buckets.
-
-        A step that alters anything opens a version, so the folder of opened rows tells.
-        """
-        path = f"{self.changes_path}/version={version}"
-        (
-            rows.hint("rebalance", "is_current")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("is_current")
-            .parquet(path)
-        )
-        opened, files = self._folder(f"{path}/is_current=true")
-        return files.exists(opened)
-
-    def _write_closed(self, commit: Row) -> None:
-        closed = self._changes(commit).where("NOT is_current").drop("is_current", "version")
-        (
-            closed.withColumn("effective_day", F.to_date("effective_from"))
-            .hint("rebalance", "effective_day")
-            .sortWithinPartitions("effective_day", "effective_from")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("effective_day")
-            .parquet(f"{self.closed_path}/since={commit.base}")
-        )
-
-    def _commit(
-        self, mark: DataFrame, version: int, base: int, buckets: int, batch_id: int | None, stream: str
-    ) -> None:
-        record = mark.select(
-            "*",
-            F.lit(version).cast("bigint").alias("version"),
-            F.lit(base).cast("bigint").alias("base"),
-            F.lit(buckets).cast("int").alias("buckets"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(stream).alias("stream"),
-        )
-        record.write.mode("append").parquet(self.commits_path)
+        staged = stage_changes(changes, self.spec, with_ties=self.spliced)
+        staged.write.mode("overwrite").parquet(f"{self.root}/staged/{run}")
+        return self.spark.read.schema(staged.schema).parquet(f"{self.root}/staged/{run}")
+
+    def _touched(self, commit: Row, staged: DataFrame) -> DataFrame:
+        return self.stored(commit.version, commit.buckets).join(staged.select(self.spec.key), self.spec.key, "left_semi")
+
+    def _judged(self, commit: Row | None, staged: DataFrame) -> DataFrame:
+        """The staged rows with `alters`: whether the dimension changes by them."""
+        if commit is None:
+            return staged.withColumn("alters", F.lit(True))
+        rows, key, time = self._touched(commit, staged), self.spec.key, self.spec.order_by
+        old = (rows if self.spliced else rows.where(is_open(rows))).alias("old")
+        on = F.col(f"new.{key}") == F.col(f"old.{key}")
+        if not self.spliced:
+            changed = alters("new.hashdiff", "old.hashdiff", F.col(f"new.{time}"), F.col(f"old.{time}"))
+            joined = staged.alias("new").join(old, on, "left")
+            return joined.select("new.*", (F.col(f"old.{key}").isNull() | changed).alias("alters"))
+        for name in dict.fromkeys((time, *self.spec.final_order, "hashdiff")):
+            on &= F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}"))
+        return staged.alias("new").join(old, on, "left").select("new.*", F.col(f"old.{key}").isNull().alias("alters"))
+
+    def _next_rows(self, commit: Row | None, staged: DataFrame, staged_rows: int, buckets: int) -> DataFrame:
+        """All rows of the next version. What is kept is joined bucket by bucket, so it stays in few files."""
+        key = self.spec.key
+        if commit is None:
+            rows = splice(staged, self.spec) if self.spliced else open_versions(staged, self.spec)
+            return rows.repartition(buckets, key)
+        touched = self._touched(commit, staged)
+        rest = self.stored(commit.version, commit.buckets)
+        asked = staged.select(F.col(key).alias("_asked")).hint(
+            "shuffle_hash" if staged_rows <= HASHED_KEYS * commit.buckets else "merge")
+        if self.spliced:
+            rest = rest.join(asked, F.col(key) == F.col("_asked"), "left_anti")
+            altered = splice(touched.select(*staged.columns).unionByName(staged), self.spec)
+        else:
+            rest = rest.join(asked, F.col(key) == F.col("_asked"), "left").where(~is_open(rest) | F.col("_asked").isNull())
+            altered = scd2_merge(touched.where(is_open(touched)), staged, self.spec)
+        if buckets != commit.buckets:
+            rest = rest.repartition(buckets, key)
+        names = self.stored_schema.names
+        return rest.select(*names).unionByName(altered.select(*names).repartition(buckets, key))
+
+    def _write_version(self, rows: DataFrame, version: int, buckets: int) -> None:
+        path = f"{self.root}/versions/{version}"
+        # What a stopped run left of this name; the table is external, so no files go.
+        self.spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+        writer = rows.select(*self.stored_schema.names).write.mode("overwrite").bucketBy(buckets, self.spec.key)
+        writer.option("path", path).saveAsTable(_table_name(path))
+
+    def _commit(self, record: tuple) -> None:
+        pipeline, mark, version, run, buckets, batch_id, stream, positions, read_at = record
+        told = (version, run, buckets, batch_id, stream, positions, read_at)
+        rest = self.spark.createDataFrame([told], T.StructType(self.commit_schema.fields[3:]))
+        row = rest.select(
+            F.lit(pipeline).alias("pipeline"), literal_mark(mark, self.ts_type).alias("updated_at_gte"),
+            F.current_timestamp().alias("written_at"), "*")
+        row.write.mode("append").parquet(self.commits_path)
 
     def expire(self, keep: int = 2) -> None:
-        """Deletes bases before the last `keep` and the changes folded into those; no reader may still use them."""
-        bases = self.commits().select("base").distinct().orderBy(F.desc("base")).limit(keep).collect()
-        if not bases:
-            return
-        oldest = bases[-1].base
-        self._delete(f"{self.root}/base", lambda name: int(name) < oldest)
-        self._delete(self.changes_path, lambda name: name.startswith("version=") and int(name[8:]) <= oldest)
-
-    def _delete(self, folder: str, outdated: Callable[[str], bool]) -> None:
-        root, files = self._folder(folder)
-        if not files.exists(root):
-            return
-        for entry in files.listStatus(root):
-            if outdated(entry.getPath().getName()):
-                files.delete(entry.getPath(), True)
-
-    def _folder(self, name: str) -> tuple:
-        """A path and its file system."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Deletes all but the last `keep` versions, and batches before them; no reader may still use them."""
+        rows = self.commits().groupBy("version").agg(F.min("run").alias("run")).orderBy(F.desc("version")).limit(keep).collect()
+        for name, oldest in (("versions", rows[-1].version), ("staged", rows[-1].run)) if rows else ():
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for entry in files.listStatus(folder):
+                if int(entry.getPath().getName()) < oldest:
+                    files.delete(entry.getPath(), True)
 
     # Publishing
 
     def expose_staged(self, view: str) -> None:
-        """A temporary view of the batch that the last run pinned."""
-        self.spark.read.parquet(self.staged_path).createOrReplaceTempView(view)
+        """A temporary view of the batch that the last finished run pinned."""
+        self.spark.read.parquet(f"{self.root}/staged/{self.last_commit().run}").createOrReplaceTempView(view)
 
     def publish(self, view: str) -> None:
         """Points a catalog view at the committed versions."""
         commit = self.last_commit()
         if commit is None:
             raise ValueError("nothing has been committed yet")
-        columns = dimension_columns(self.spec)
-
-        def names(current: str) -> str:
-            return ", ".join(f"{current} AS is_current" if c == "is_current" else f"`{c}`" for c in columns)
-
-        key = f"`{self.spec.key}`"
-        base = f"parquet.`{self.base_path(commit.base)}`"
-        parts = [f"SELECT {names('TRUE')} FROM {base}"]
-        if commit.version > commit.base:
-            step = f"parquet.`{self.changes_path}` WHERE version > {commit.base} AND version <= {commit.version}"
-            opened = f"SELECT * FROM {step} AND is_current = 'true'"
-            parts = [
-                f"SELECT {names('TRUE')} FROM {base} b LEFT ANTI JOIN ({opened}) o ON b.{key} = o.{key}",
-                f"SELECT {names('TRUE')} FROM (SELECT *, row_number() OVER (PARTITION BY {key} "
-                f"ORDER BY version DESC) AS _rank FROM ({opened})) WHERE _rank = 1",
-                f"SELECT {names('FALSE')} FROM {step} AND is_current = 'false'",
-            ]
-        if commit.base > 1 and not self._folded(commit).isEmpty():
-            parts.append(f"SELECT {names('FALSE')} FROM parquet.`{self.closed_path}` WHERE since < {commit.base}")
-        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {' UNION ALL '.join(parts)}")
+        shown = [*["NOT repeats"] * self.spliced, *["hashdiff IS NOT NULL"] * (self.spec.deletes is not None)]
+        where = f" WHERE {' AND '.join(shown)}" if shown else ""
+        names = ", ".join(f"`{c}`" for c in dimension_columns(self.spec))
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT {names} FROM parquet.`{self.root}/versions/{commit.version}`{where}")
+
+
+def _table_name(path: str) -> str:
+    return f"tidemark_{hashlib.sha256(path.encode()).hexdigest()[:24]}"

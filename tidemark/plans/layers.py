@@ -122,7 +122,8 @@ def build_gold(dimension: DataFrame, path: str, spec: Scd2Spec, status: str = "s
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return read_layer(spark, path, gold_schema()).select("day", "customer_status", "cnt")
+    """The mart's rows. A maintained mart may hold counts of zero until its next call."""
+    return read_layer(spark, path, gold_schema()).where("cnt > 0").select("day", "customer_status", "cnt")
 
 
 def export_gold(spark: SparkSession, path: str, target: JdbcTarget | PathTarget) -> None:

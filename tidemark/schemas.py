@@ -27,8 +27,8 @@ def bronze_schema(key: str = "customer_id", key_type: str = "int", ts_type: str
     """Typed events plus the quarantine columns; `rejected` and `updated_day` are partition columns."""
     return T.StructType.fromDDL(
         f"op string, event_ts {ts_type}, {key} {key_type}, name string, status string, updated_at {ts_type}, "
-        "source string, seq bigint, source_ts timestamp, ingest_ts timestamp, reject_reason string, raw string, "
-        "rejected boolean, updated_day date"
+        "source string, seq bigint, source_ts timestamp, source_part string, source_pos bigint, ingest_ts timestamp, "
+        "reject_id string, reject_reason string, raw string, rejected boolean, updated_day date"
     )
 
 
@@ -36,7 +36,8 @@ def commit_schema(ts_type: str = "timestamp") -> T.StructType:
     """Watermark log; one row per finished run of a pipeline, with the dimension it left."""
     return T.StructType.fromDDL(
         f"pipeline string, updated_at_gte {ts_type}, written_at timestamp, "
-        "version bigint, base bigint, buckets int, batch_id bigint, stream string"
+        "version bigint, run bigint, buckets int, batch_id bigint, stream string, "
+        "positions map<string,bigint>, read_at timestamp"
     )
 
 

@@ -50,6 +50,13 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     writer.partitionBy(*partition_by).parquet(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    """Removes partition folders such as `day=2026-03-13`; those that aren't there don't matter."""
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def by_day(parsed: DataFrame, files_per_day: int = FILES_PER_DAY) -> DataFrame:
     """Parsed messages laid out so that a write gives each day `files_per_day` files at most.
 

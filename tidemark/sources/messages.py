@@ -31,9 +31,14 @@ def kafka_messages(
 
 
 def kafka_positions(records: DataFrame) -> DataFrame:
-    """Offsets order one partition only, so the record's time goes before them."""
+    """Offsets order one partition only, so the record's time goes before them; records that name their partition
+    are parts of progress by position."""
+    named = [F.col(c).cast("string") for c in ("topic", "partition") if c in records.columns]
     return records.select(
-        "value", F.col("timestamp").alias("source_ts"), F.col("offset").cast("bigint").alias("source_seq")
+        "value",
+        F.col("timestamp").alias("source_ts"),
+        (F.concat_ws("/", *named) if named else F.lit(None).cast("string")).alias("source_part"),
+        F.col("offset").cast("bigint").alias("source_seq"),
     )
 
 

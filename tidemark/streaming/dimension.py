@@ -16,8 +16,8 @@ def upsert_stream(
     every: str | None = None,
     stream: str | None = None,
 ) -> StreamingQuery:
-    """Merges each micro-batch into the store. Each one that alters the dimension writes all its open
-    rows, so `every` should be long.
+    """Merges each micro-batch into the store. Each one that alters the dimension rewrites its folder,
+    so `every` should be long.
 
     The commit record carries the stream's name and the batch id, so a batch that the engine delivers
     again after a failure is recognised and skipped. The name is the query's id, which the checkpoint

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.cdc import accepted, parse_cdc
+from tidemark.operators.cdc import accepted, once_within, parse_cdc
 from tidemark.schemas import BRONZE_PARTITIONS, message_schema
 from tidemark.sinks.tables import FILES_PER_DAY, by_day
 
@@ -23,6 +23,8 @@ def ingest(
     as_table: bool = False,
     files_per_day: int = FILES_PER_DAY,
     keep_malformed: bool = False,
+    once: str | None = None,
+    key: str = "customer_id",
 ) -> StreamingQuery:
     """Starts the append of parsed messages to the bronze folder, or to a catalog table.
 
@@ -30,11 +32,17 @@ def ingest(
     message is stored exactly once. By default micro-batches follow each other without pause;
     `every` spaces them, `available_now` stops after what is there. A micro-batch writes at most
     `files_per_day` files a day. `keep_malformed` stores rejects as NULL events instead.
+
+    With `once`, such as "7 days", a message that was delivered before within that time, under
+    whatever name, adds nothing (`once_within`). Its state grows with that time's messages: on a
+    cluster use a state store that keeps it on disk.
     """
     parsed = parse_cdc(messages, schema or message_schema(), ts_type=ts_type)
+    if once:
+        parsed = once_within(parsed, key, once)
     if keep_malformed:
         none = F.lit(None).cast("string")
-        kept = {"reject_reason": none, "raw": none, "rejected": F.lit(False)}
+        kept = {"reject_id": none, "reject_reason": none, "raw": none, "rejected": F.lit(False)}
         parsed = accepted(parsed, keep_malformed=True).withColumns(kept).select(*parsed.columns)
     parsed = by_day(parsed, files_per_day)
     if as_table:
