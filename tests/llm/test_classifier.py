@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm.classifier import FEATURES, AttentionModel, keep_good, passages, score_quality
+from tidemark.llm.classifier import CLIP, FEATURES, AttentionModel, Settings, keep_good, passages, score_quality, train
 
 SF = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string"
@@ -67,3 +68,38 @@ def test_odd_rows(spark):
     assert score_quality(docs.limit(0), labels).count() == 0
     none = score_quality(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and keep_good(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_scores_equal_plain_attention():
+    """One passage and one hidden unit at a time, from fixed weights."""
+    rng = np.random.default_rng(6)
+    model = AttentionModel.start(4, rng.normal(size=FEATURES - 1), rng.uniform(0.5, 2, FEATURES - 1), 9)
+    model.weights["w"] = rng.normal(size=4)
+    p = {k: v.tolist() for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    texts = ["Some words stand here, and more. " * 40, "", None, "### $$$ 12 " * 100, "one"]
+    for text, found in zip(texts, model.score([passages(t) for t in texts]), strict=True):
+        hidden, energy = [], []
+        for row in passages(text).tolist():
+            x = [max(-CLIP, min(CLIP, (v - m) / s)) * row[-1] for v, m, s in zip(row, model.mean, model.scale)]
+            h = [math.tanh(sum(a * w[j] for a, w in zip(x, p["W"])) + p["b"][j]) for j in range(4)]
+            t = [math.tanh(sum(a * w[j] for a, w in zip(h, p["V"]))) for j in range(4)]
+            g = [sigmoid(sum(a * w[j] for a, w in zip(h, p["U"]))) for j in range(4)]
+            hidden.append(h)
+            energy.append(sum(a * b * c for a, b, c in zip(t, g, p["w"])))
+        total = sum(map(math.exp, energy))
+        z = [sum(math.exp(e) / total * h[j] for e, h in zip(energy, hidden)) for j in range(4)]
+        assert abs(found - sigmoid(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0])) < 1e-6
+
+
+def test_all_passages_of_a_text_teach(spark, monkeypatch):
+    """Long texts are learnt from as a whole, and a repeated id is collected once for each label."""
+    seen = []
+    monkeypatch.setattr(AttentionModel, "fit", lambda self, bags, y, settings: seen.extend((len(b), int(v)) for b, v in zip(bags, y)))
+    long = "the and of words " * 16 * 500
+    docs = spark.createDataFrame([(1, long)] * 300 + [(1, "short")] * 3 + [(3, "### $ " * 10), (4, None)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, 0), (4, 0)], "doc_id long, quality int")
+    assert train(docs, labels, Settings(sample=10)) is not None
+    held = [i for i in (1, 3, 4) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert 1 not in held and len(seen) <= 5 and {n for n, _ in seen} <= {1, 500}
+    assert {y for _, y in seen} == {0, 1}

@@ -181,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
           text_col: str = "text", label_col: str = "quality") -> AttentionModel | None:
     """A model of at most `settings.sample` labelled documents that aren't held out, or none without any.
 
-    The sample is drawn by hash of the id, evenly over labels where both are plentiful. Features are made in
-    tasks; the driver gets those of the sample alone. Conflicting labels of an id each count.
+    The sample is drawn by hash of the id, evenly over labels where both are plentiful. Features of all passages of
+    the sampled texts are made in tasks; the driver gets those of the sample alone. Conflicting labels of an id each
+    count, and rows that repeat an id and its text teach once; of an id's several texts the one of least hash does.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(
         F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
@@ -195,13 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            bags = [passages(t) for t in batch.column(2).to_pylist()]
-            # A very long text teaches by evenly spaced passages; when scored, all its passages count.
-            data = [b[np.linspace(0, len(b) - 1, min(len(b), 64)).astype(int)].astype(np.float32).tobytes() for b in bags]
+            data = [passages(t).astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "y", "bag"])
 
-    rows = texts.join(picked, "id").select("id", "y", "text").mapInArrow(describe, "id long, y int, bag binary").collect()
+    # One text for each id, so that the sample's bound holds for rows too; of repeated ids only one row leaves its task.
+    sampled = texts.join(picked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"))
+    rows = sampled.join(picked, "id").select("id", "y", "text").mapInArrow(describe, "id long, y int, bag binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["bag"])))
