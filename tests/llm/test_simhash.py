@@ -98,6 +98,18 @@ def test_odd_rows(spark):
     assert found == sorted([(3, 1), (1, 1), (5, 5), (5, 5), (None, 5), (None, None), (9, 9)], key=str)
     kept = keep_one_per_component(docs)
     assert kept.columns == docs.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == [1, 5, 9, None, None]
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == [1, 5, 9, None]
     assert simhash_components(docs.limit(0)).count() == 0
     assert keep_one_per_component(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Also where unlike texts share an id, rows have none, and columns are named as the operator might name its own."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "some quite other words stand here now"
+    rows = [(5, a, "r0"), (5, b, "r1"), (3, a, "r2"), (None, b, "r3"), (None, c, "r4"), (None, c, "r5"), (5, b, "r6"), (7, None, "r7")]
+    names = ["_winner", "_n", "_row", "row", "number", "at", "first", "component", "fp", "root"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ["doc_id", "text", "name", *names])
+    kept = keep_one_per_component(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", a), ("5", b), ("None", c), ("7", None)])
+    assert all([r[n] for n in names] == [*range(len(names))] for r in kept.collect())

@@ -237,20 +237,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component, with all its columns: the row of the smallest id.
+    """`docs` with one row of each component, with all its columns: the row of the smallest id, nulls last.
 
-    Of rows that share that id, the one with the smallest text hash stays. Rows with a null id are kept, as
-    nothing tells them apart.
+    Rows are told apart by a number that they get once they are written, so of rows that share an id, or have none,
+    one stays for each component that they belong to. Null and empty texts are one component. An empty table gives
+    an empty result; columns may have any names.
     """
-    found = simhash_components(docs, id_col, text_col)
-    winners = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_winner")).distinct()
-    kept = docs.join(winners, F.col(id_col) == F.col("_winner"), "left_semi")
-    repeated = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
-        F.col(id_col).alias("_winner")
-    )
-    single = kept.join(repeated, F.col(id_col) == F.col("_winner"), "left_anti")
-    extra = kept.join(repeated, F.col(id_col) == F.col("_winner"), "left_semi")
-    first = extra.groupBy(id_col).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    ).select("_row.*")
-    return single.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "numbered-rows")
+    text = F.col(f"row.`{text_col}`")
+    prints = staged(fingerprints(rows.select("number", text.alias("text")), "number", "text"), "fingerprints")
+    distinct = staged(prints.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(near_links(distinct)).withColumnRenamed("root", "component")
+    placed = prints.join(roots, prints.fp == roots.node, "left").select(
+        F.col("id").alias("at"), F.coalesce("component", "fp").alias("component"))
+    own = rows.select("number", F.col(f"row.`{id_col}`").cast("long").alias("own"))
+    ordered = placed.join(own, F.col("at") == F.col("number"))
+    first = ordered.groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "at")).alias("first"))
+    winners = first.select(F.col("first.at").alias("winner"))
+    kept = rows.join(winners, F.col("number") == F.col("winner"), "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
