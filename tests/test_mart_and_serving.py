@@ -198,6 +198,16 @@ def test_merge_source_opens_successors_under_a_null_key(spark):
     assert [r.customer_id for r in rows if r.merge_key is None] == [1]
 
 
+def test_merge_source_holds_deletes_as_gaps(spark):
+    spec = Scd2Spec(tie_break=("seq",), deletes="op")
+    rows = changes(spark, (1, "active", T1), (2, "vip", T1)).withColumn("op", F.lit("I"))
+    current = open_versions(stage_changes(rows, spec), spec)
+    deleted = changes(spark, (1, "active", T2), (4, "vip", T2)).withColumn("op", F.lit("D"))
+    found = merge_source(stage_changes(deleted, spec), current, spec).collect()
+    assert sorted((r.customer_id, r.merge_key or "", r.hashdiff, r.is_current) for r in found) == [
+        (1, "", None, False), (1, "1", None, False), (4, "4", None, False)]
+
+
 def test_row_level_commands_are_refused_by_plain_parquet(spark, root):
     """They resolve against the table and fail only because its format cannot do them."""
     dimension(spark, (1, "active", T1)).write.option("path", f"{root}/t").saveAsTable("row_level_test")

@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.mart import build_daily
-from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec, changed_keys, dimension_columns, open_versions, stage_changes
+from tidemark.operators.scd2 import (
+    MESSAGE_TIES,
+    OPEN_END,
+    Scd2Spec,
+    changed_keys,
+    dimension_columns,
+    is_open,
+    open_versions,
+    stage_changes,
+)
 from tidemark.operators.watermark import fetch_mark, next_mark, read_increment
 from tidemark.schemas import bronze_schema, gold_schema, message_schema
 from tidemark.session import scratch_dir
@@ -111,7 +120,8 @@ def merge_source(staged: DataFrame, current: DataFrame, spec: Scd2Spec) -> DataF
     """Staged versions under their key, plus the changed ones again under a NULL merge key.
 
     The keyed copy closes the old version or opens a first one; the copy with the NULL key matches
-    nothing and so opens the successor. Both land in one commit.
+    nothing and so opens the successor. Both land in one commit. `current` holds the open rows; a
+    delete is merged as a gap, which the table keeps and readers leave out (`operators.scd2.live`).
     """
     opened = open_versions(staged, spec)
     successors = open_versions(changed_keys(current, staged, spec), spec)
@@ -122,11 +132,11 @@ def merge_source(staged: DataFrame, current: DataFrame, spec: Scd2Spec) -> DataF
 
 def merge_into(staged: DataFrame, table: str, spec: Scd2Spec) -> None:
     """One MERGE on a row-level table; `staged` must be pinned, as the merge reads it twice."""
-    current = staged.sparkSession.table(table).where("is_current")
-    source = merge_source(staged, current, spec).alias("source")
-    on_key = F.expr(f"{table}.business_key = source.merge_key AND {table}.is_current")
+    rows = staged.sparkSession.table(table)
+    source = merge_source(staged, rows.where(is_open(rows)), spec).alias("source")
+    on_key = F.expr(f"{table}.business_key = source.merge_key AND {table}.effective_to = '{OPEN_END}'")
     newer = F.expr(
-        f"{table}.hashdiff <> source.hashdiff AND source.{spec.order_by} >= {table}.{spec.order_by}"
+        f"NOT ({table}.hashdiff <=> source.hashdiff) AND source.{spec.order_by} >= {table}.{spec.order_by}"
     )
     (
         source.mergeInto(table, on_key)
