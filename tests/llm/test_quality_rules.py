@@ -50,22 +50,83 @@ def test_estimate_equals_plain_concentration_steps(spark):
     rows[:600] += 25  # a cloud of outliers that would draw plain estimates to it
     frame = spark.createDataFrame([("g", *map(float, r)) for r in rows], "key string, " + ", ".join(f"{x} double" for x in STATS))
     found = mcd(frame, Rules(accuracy=10000)).first()
-    floor, part = np.diag(np.square(FLOORS)), 0.75
-    centre = np.median(rows, axis=0)
-    precision = np.diag(1 / ((1.4826 * np.median(np.abs(rows - centre), axis=0)) ** 2 + np.square(FLOORS)))
-    scale = part / chi_squared_below(chi_squared_limit(0.25, size), size + 2)
-    distance = lambda: np.einsum("ij,jk,ik->i", rows - centre, precision, rows - centre)
-    for _ in range(4):
-        d = distance()
-        near = rows[d <= np.sort(d)[int(part * len(d)) - 1]]
-        centre, precision = near.mean(axis=0), np.linalg.inv(scale * np.cov(near.T, bias=True) + floor)
-    near = rows[distance() <= chi_squared_limit(0.025, size)]
-    assert found.centre == pytest.approx(near.mean(axis=0).tolist(), abs=0.02)
-    expected = np.linalg.inv(np.cov(near.T, bias=True) + floor)[np.triu_indices(size)]
-    assert found.precision == pytest.approx(expected.tolist(), rel=0.05, abs=0.02)
+    centre, precision, _ = slow_mcd(rows)
+    assert found.centre == pytest.approx(centre.tolist(), abs=0.02)
+    assert found.precision == pytest.approx(precision[np.triu_indices(size)].tolist(), rel=0.05, abs=0.02)
     assert np.abs(np.array(found.centre) - 3).max() < 1  # not drawn away
 
 
+def slow_mcd(rows, part=0.75):
+    """Both starts until the determinant settles, the smaller one, reweighted: centre, precision and determinants."""
+    size, floor = rows.shape[1], np.diag(np.square(FLOORS))
+    scale = part / chi_squared_below(chi_squared_limit(1 - part, size), size + 2)
+    middle = np.median(rows, axis=0)
+    spread = np.sqrt((1.4826 * np.median(np.abs(rows - middle), axis=0)) ** 2 + np.square(FLOORS))
+    z = (rows - middle) / spread
+    u = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    ends = []
+    for cov in (np.diag(spread**2), size * np.outer(spread, spread) * (u.T @ u / len(u)) + floor):
+        centre, old = middle, None
+        for _ in range(20):
+            d = np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(cov), rows - centre)
+            near = rows[d <= np.sort(d)[max(int(np.ceil(part * len(d))) - 1, 0)]]
+            centre, cov = near.mean(axis=0), scale * np.cov(near.T, bias=True) + floor
+            new = np.linalg.slogdet(cov)[1]
+            if old is not None and abs(new - old) <= 0.01:
+                break
+            old = new
+        ends.append((new, centre, cov))
+    _, centre, cov = min(ends, key=lambda e: e[0])
+    d = np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(cov), rows - centre)
+    near = rows[d <= chi_squared_limit(0.025, size)]
+    return near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + floor), [e[0] for e in ends]
+
+
+def test_kept_equals_brute_force(spark):
+    """Groups of all four kinds, over the given documents, and two with nothing but junk added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    langs = sorted({r[2] for r in rows}, key=str)
+    # A language with small sources only, a small source beside large ones, and a language of few rows.
+    rows = [(i, t, lang, "solo" if lang == langs[0] else s if i % 29 else "tiny") for i, t, lang, s in rows]
+    rows += [(100_000 + i, rows[i][1], "rare", "x") for i in range(5)]
+    least = 60
+    found = {r.doc_id: r for r in apply_rules(spark.createDataFrame(rows, SCHEMA), Rules(least_rows=least, accuracy=10000)).collect()}
+    described = {r[0]: describe(r[1]) for r in rows}
+    size = Counter((r[2], r[3]) for r in rows)
+    every = Counter(r[2] for r in rows)
+    few = Counter()
+    for (lang, _), n in size.items():
+        few[lang] += n * (n < least)
+
+    def key(lang, source):
+        if size[lang, source] >= least:
+            return lambda r: (r[2], r[3]) == (lang, source)
+        if few[lang] >= least:
+            return lambda r: r[2] == lang and size[r[2], r[3]] < least
+        return (lambda r: r[2] == lang) if every[lang] >= least else (lambda r: True)
+
+    sound = {}
+    for doc_id, _, _, _ in rows:
+        (n, _, _, _, repeats), _ = described[doc_id]
+        sound[doc_id] = n >= 20 and 100 * repeats <= 30 * n
+    limit, compared, rejected = chi_squared_limit(Rules().limit, len(STATS)), 0, 0
+    for lang, source in size:
+        belongs = key(lang, source)
+        centre, precision, _ = slow_mcd(np.array([described[r[0]][1] for r in rows if belongs(r) and sound[r[0]]]))
+        for r in rows:
+            if (r[2], r[3]) != (lang, source):
+                continue
+            x = np.array(described[r[0]][1]) - centre
+            d = float(x @ precision @ x)
+            assert found[r[0]].distance == pytest.approx(d, rel=0.1, abs=0.5)
+            if abs(d - limit) > 0.1 * limit:
+                compared += 1
+                rejected += d > limit
+                assert found[r[0]].kept == (sound[r[0]] and d <= limit)
+    assert compared > 0.9 * len(rows) and rejected > 0
+
+
 def test_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = apply_rules(docs).join(labels, "doc_id").collect()
