@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.token_files import END_ID, open_sequences, token_file_digests, unpacked, write_token_files
+from tidemark.llm import token_files
+from tidemark.llm.token_files import END_ID, Encoder, open_sequences, read_token_files, token_file_digests, unpacked, write_token_files
 from tidemark.session import scratch_dir
 from tests.llm.test_bpe import ODD
 
@@ -61,3 +62,25 @@ def test_odd_rows(spark):
     )
     assert sorted(r.start for r in found) == [0, 2, 3, 4, 7]
     assert token_file_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_each_file_is_read_by_a_task(spark):
+    docs = spark.createDataFrame([(i, "some words here ! " * (i % 9)) for i in range(3000)], SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_token_files(docs, PATH, scratch_dir(spark, "files"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 4
+    read = read_token_files(manifest).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() == manifest.count() and read.count() == 3000
+
+
+def test_forgetting_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 5)
+    own, library = Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [*ODD, *(f"some words {i % 7} here's \n\n é{i}!" for i in range(60))]
+    for at in range(0, len(texts), 4):
+        for text, data in zip(texts[at : at + 4], own.encode(texts[at : at + 4])):
+            assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.older) < 200

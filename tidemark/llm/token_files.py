@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm.bpe import byte_symbols
 from tidemark.llm.common import pieces, staged
 from tidemark.session import scratch_dir
 
@@ -32,12 +33,13 @@ SEQUENCE = 1024
 #: Sequences in one record batch of a file.
 BATCH_ROWS = 256
 END_ID = 0
+END = np.uint32(END_ID).astype("<u4").tobytes()
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNUSUAL = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{LATIN}]")
 #: Usual characters split as by the file's byte-level rule; a piece encodes alone as within its text.
 QUICK = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\\s0-9{LATIN}]+|\\s+(?!\\S)|\\s+")
-#: Distinct pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+#: Distinct pieces in one generation of a worker's memory; it holds two, so frequent ones are never forgotten.
+REMEMBERED = 300_000
 MANIFEST = "part long, low long, path string, index_path string, n_docs long, n_ids long"
 
 
@@ -52,28 +54,37 @@ class Encoder:
         split = self.library.pre_tokenizer.pre_tokenize_str(" it's  12\n")
         self.plain = self.library.normalizer is None and [p for p, _ in split] == ["Ġit", "'s", "Ġ", "Ġ12", "Ċ"]
         self.id_type = pa.uint16() if self.library.get_vocab_size() <= 1 << 16 else pa.uint32()
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.shown = dict(enumerate(byte_symbols()))
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _piece(self, piece: str) -> bytes:
+        """A split piece goes to the library's model at once, in the printable form of its bytes."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         split: list[list[str] | None] = []
         missing: set[str] = set()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
         for text in texts:
             usual = self.plain and not UNUSUAL.search(text) and not any(t in text for t in self.added)
             split.append(QUICK.findall(text) if usual else None)
             if usual:
-                missing.update(p for p in split[-1] if p not in known)
-        new = list(missing)
-        known.update(zip(new, self._encode(new), strict=True))
+                missing.update(split[-1])
+        for piece in missing:
+            if piece not in recent:
+                recent[piece] = older.get(piece) or self._piece(piece)
         rest = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(rest) if p is None else b"".join([known[x] for x in p]) for p in split]
+        return [next(rest) if p is None else b"".join([recent[x] for x in p]) for p in split]
 
 
 @lru_cache(maxsize=2)
@@ -101,9 +112,11 @@ class PartWriter:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.total = 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, documents: list[bytes]) -> None:
+        """Documents as little-endian unsigned 32-bit integers, end id included."""
+        ids = np.frombuffer(b"".join(documents), "<u4")
         ends = np.zeros(len(ids), bool)
-        ends[-1] = True
+        ends[np.cumsum([len(d) // 4 for d in documents]) - 1] = True
         self.held.append((ids.astype(self.id_type.to_pandas_dtype()), ends))
         self.waiting += len(ids)
         self.total += len(ids)
@@ -115,7 +128,8 @@ class PartWriter:
 
     def _flush(self, whole: bool) -> None:
         ids, ends = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        rows = len(ids) // self.length if whole else -(-len(ids) // self.length)
+        # Whole record batches but for the last one, so that a row's batch follows from its number.
+        rows = len(ids) // (self.length * BATCH_ROWS) * BATCH_ROWS if whole else -(-len(ids) // self.length)
         cut = min(len(ids), rows * self.length)
         self.held, self.waiting = [(ids[cut:], ends[cut:])], len(ids) - cut
         padding = (0, rows * self.length - cut)
@@ -198,8 +212,7 @@ def write_token_files(
                 index = system.open_output_stream(f"{root}/{name}-docs.arrow")
                 writer = PartWriter(sink, index, length, own.id_type)
                 low = batch.column(0)[0].as_py()
-            for data in own.encode([t or "" for t in batch.column(1).to_pylist()]):
-                writer.add(np.append(np.frombuffer(data, "<u4"), np.uint32(END_ID)))
+            writer.add([data + END for data in own.encode([t or "" for t in batch.column(1).to_pylist()])])
             writer.name(batch.column(0).cast(pa.int64()))
             n_docs += batch.num_rows
         if writer is None:
@@ -245,8 +258,10 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 columns = [doc_ids, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_tokens", "ids_crc32"])
 
-    # One row per part file: each file is read by a task of its own.
-    spread = based.select("path", "index_path", "n_docs", "n_ids", "base").repartition("path")
+    # One row per part file, by ranges of paths and in a number that is told: so adaptive execution leaves each file
+    # to a task of its own.
+    files = max(1, manifest.count())
+    spread = based.select("path", "index_path", "n_docs", "n_ids", "base").repartitionByRange(files, "path")
     return spread.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
