@@ -78,12 +78,13 @@ def test_odd_rows(spark):
     assert embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def lost(spark, dense, alone, pairs, spec):
+def lost(spark, dense, alone, pairs, spec, likely=()):
     """The audit's recall where a dense group is whole and all pairs outside it are lost."""
     base = vectors([(dense, 0.05)] + [(1, 0)] * alone + [(2, 0.05)] * pairs, 9)
     nodes = spark.createDataFrame([(n, 1, v) for n, v in enumerate(base)], "node long, kind long, vec array<float>")
     roots = spark.createDataFrame([(n, 0, True) for n in range(dense)], "node long, root long, dense boolean")
-    return embedding_dedup.audit(spark.createDataFrame([], "a long, b long"), roots, nodes, spec)
+    graph = spark.createDataFrame([(n, 0, 0.99) for n in likely], "a long, b long, sim float")
+    return embedding_dedup.audit(spark.createDataFrame([], "a long, b long"), roots, graph, nodes, spec)
 
 
 def test_audit_sees_sparse_links_beside_a_dense_group(spark):
@@ -94,6 +95,26 @@ def test_audit_grows_until_it_holds_rare_links(spark):
     assert lost(spark, 2, 1500, 2, Descent(audited=16)) == 0
 
 
+def test_audit_asks_a_bounded_number_of_nodes(spark, monkeypatch):
+    """Nodes near the threshold are a sample of their own, so few links are seen there."""
+    asked, real = [], embedding_dedup._audited
+    monkeypatch.setattr(embedding_dedup, "_audited", lambda sample, *rest: asked.append(len(sample)) or real(sample, *rest))
+    spec = Descent(audited=16, most_audited=50)
+    assert lost(spark, 2, 1500, 2, spec, likely=range(1502, 1506)) == 0
+    assert sum(asked) <= 2 * 50 and 4 in asked
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Pairs around the threshold that single precision can't tell apart."""
+    rng, rows = np.random.default_rng(2), []
+    for n in range(20):
+        a, b = (np.linalg.qr(rng.normal(size=(16, 2)))[0].T)
+        cosine = 0.93 + (1e-10 if n % 2 else -1e-10)
+        rows += [(2 * n, (a * 5).tolist(), n), (2 * n + 1, (3 * (cosine * a + np.sqrt(1 - cosine**2) * b)).tolist(), n)]
+    found = embedding_components(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()
+    assert {r.vec_id: r.n_links for r in found} == {i: label % 2 for i, _, label in rows}
+
+
 def test_too_low_a_recall_fails(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
     rows = [(n, v, 1) for n, v in enumerate(vectors([(2, 0.1)] * 10, 3))]

@@ -3,8 +3,8 @@
 Equal vectors of a label become one node. A first neighbour graph comes from random projections: rows sorted by
 sign codes, compared in small blocks, several times over. Then each round joins the neighbours of every node with
 one another, vectors in eight bits, and keeps the best; an audit against brute force on a sample says whether another round, with
-longer lists and a new first graph of more trees, is needed. It asks for links outside dense components only, and its
-sample grows until it holds enough of them or all nodes. If no round meets the recall, the query fails. Pairs near the threshold are compared again in double
+longer lists and a new first graph of more trees, is needed. It asks for links outside dense components only, of a
+bounded sample. If no round meets the recall, the query fails. Pairs near the threshold are compared again in double
 precision.
 
 A node whose whole list lies above the threshold is saturated. Components with such a node are dense, and their
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import joined, run_starts, staged, whole_runs
 from tidemark.llm.components import components
@@ -35,7 +36,8 @@ SLACK = 0.02
 @dataclass(frozen=True)
 class Descent:
     """`neighbours`: list length. `trees`: sorted projections for the first graph. `recall`: asked of the audit,
-    whose sample begins with `audited` nodes and grows until it holds `least_links` links outside dense components.
+    whose samples begin with `audited` nodes and grow until they hold `least_links` links outside dense components,
+    or `most_audited` nodes each.
     `rounds`: with lists twice as long and twice the trees each time, at most."""
 
     threshold: float = 0.93
@@ -45,6 +47,7 @@ class Descent:
     rounds: int = 3
     recall: float = 0.97
     audited: int = 512
+    most_audited: int = 4096
     least_links: int = 200
     seed: int = 11
 
@@ -207,26 +210,40 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return staged(both.mapInArrow(verify, "a long, b long"), "vector-links")
 
 
-def audit(links: DataFrame, roots: DataFrame, nodes: DataFrame, spec: Descent) -> float:
-    """Part of the sampled nodes' true links that the graph has, without those inside a dense component.
+def audit(links: DataFrame, roots: DataFrame, graph: DataFrame, nodes: DataFrame, spec: Descent) -> float:
+    """Estimated part of all true links that the graph has, without those inside a dense component.
 
-    Those are found exactly later on. Nodes are sampled in slices of a random order, until `least_links` links are
-    found or no node is left; so a table with next to no links is compared with all of itself.
+    Those are found exactly later on. Nodes that list a neighbour near the threshold are sampled apart from the
+    others, as they hold most links; each sample grows until both together hold `least_links` links, or to
+    `most_audited` nodes. So the cost grows with the nodes, and each sample counts for its part of all nodes.
+    Where links are so rare that a sample of that size holds few, the estimate is as rough as they are few.
     """
     dense = roots.where("dense").select("node", "root")
-    placed = nodes.select("node", "kind", "vec").join(dense, "node", "left").select(
-        F.xxhash64("node", F.lit(spec.seed)).alias("at"), "node", "kind", "vec", F.coalesce("root", F.lit(-1)).alias("root"))
-    last, size, got, every = None, spec.audited, 0, 0
-    while every < spec.least_links:
-        rest = placed if last is None else placed.where(F.col("at") > last)
-        sample = rest.orderBy("at").limit(size).collect()
-        if sample:
-            more_got, more = _audited(sample, links, placed, spec)
-            got, every = got + more_got, every + more
-        if len(sample) < size:
-            break
-        last, size = sample[-1]["at"], min(2 * size, 8192)
-    return got / every if every else 1.0
+    near = graph.where(F.col("sim") >= spec.threshold - 5 * SLACK).select(F.col("a").alias("node")).distinct()
+    placed = nodes.select("node", "kind", "vec").join(dense, "node", "left").join(
+        near.withColumn("likely", F.lit(True)), "node", "left").select(
+        F.xxhash64("node", F.lit(spec.seed)).alias("at"), "node", "kind", "vec", F.coalesce("root", F.lit(-1)).alias("root"),
+        F.coalesce("likely", F.lit(False)).alias("likely"))
+    placed = staged(placed, "audited-nodes")
+    sizes = {r["likely"]: r["n"] for r in placed.groupBy("likely").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last, asked, got, every = {}, dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0)
+    size = spec.audited
+    while sum(every.values()) < spec.least_links and size:
+        grown = 0
+        for likely in sizes:
+            own = placed.where(F.col("likely") == likely)
+            own = own if likely not in last else own.where(F.col("at") > last[likely])
+            sample = own.orderBy("at").limit(min(size, spec.most_audited - asked[likely])).collect()
+            if not sample:
+                continue
+            found = _audited(sample, links, placed.drop("likely"), spec)
+            last[likely], grown = sample[-1]["at"], grown + len(sample)
+            asked[likely] += len(sample)
+            got[likely], every[likely] = got[likely] + found[0], every[likely] + found[1]
+        size = 2 * size if grown else 0
+    weight = {s: sizes[s] / asked[s] for s in sizes if asked[s]}
+    true = sum(w * every[s] for s, w in weight.items())
+    return sum(w * got[s] for s, w in weight.items()) / true if true else 1.0
 
 
 def _audited(sample: list, links: DataFrame, placed: DataFrame, spec: Descent) -> tuple[int, int]:
@@ -279,13 +296,17 @@ def dense_links(roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
                 [*(batch.column(n) for n in ("node", "root", "kind", "vec", "copies")), pa.array(core)],
                 names=["node", "root", "kind", "vec", "copies", "core"])
 
-    schema = "node long, root long, kind long, vec array<float>, copies long, core boolean"
+    held = nodes.schema["vec"].dataType.simpleString()
+    schema = f"node long, root long, kind long, vec {held}, copies long, core boolean"
+    # Written, so that the join knows how few they are.
+    pivots = staged(pivots, "dense-pivots")
     placed = staged(members.join(pivots, "root").mapInArrow(measure, schema), "dense-members")
-    in_core = placed.where("core").groupBy("root").agg(F.sum("copies").alias("in_core"))
+    in_core = staged(placed.where("core").groupBy("root").agg(F.sum("copies").alias("in_core")), "dense-cores")
     base = placed.join(in_core, "root", "left").select(
         "node", F.when(F.col("core"), F.col("in_core")).otherwise(F.lit(0)).alias("others"))
     # The members outside the core, in blocks, against all members of their component.
-    counts = placed.where("not core").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("blocks"))
+    counts = staged(
+        placed.where("not core").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("blocks")), "dense-blocks")
     asked = placed.where("not core").join(counts, "root").select(
         "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"),
         "node", "kind", "vec", "copies", "core")
@@ -336,9 +357,13 @@ def embedding_components(
     Vectors of equal, non-null labels and equal lengths link at a cosine of at least the threshold. A null vector
     or label, a zero vector, and one with a null or non-finite component link with nothing. Equal vectors (by a
     128-bit hash) are linked with each other. Repeated ids are vectors of their own; a null id never names a
-    component, and is kept only if its component has no id. An empty table gives an empty result.
+    component, and is kept only if its component has no id. An empty table gives an empty result. If no round meets
+    the recall, a RuntimeError says what was reached.
     """
-    vec = F.col(vec_col).cast("array<float>")
+    # Doubles stay doubles; anything else is held in single precision, which its vectors come in.
+    wide = isinstance(vectors.schema[vec_col].dataType, T.ArrayType) and isinstance(
+        vectors.schema[vec_col].dataType.elementType, (T.DoubleType, T.LongType, T.DecimalType))
+    vec = F.col(vec_col).cast("array<double>" if wide else "array<float>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.coalesce(
         F.col(label_col).isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
@@ -364,7 +389,7 @@ def embedding_components(
             graph = refined(graph, nodes, size)
         links = exact_links(graph, nodes, spec.threshold)
         roots = staged(_rooted(links, graph, spec.threshold, size), "vector-roots")
-        recall = audit(links, roots, nodes, spec)
+        recall = audit(links, roots, graph, nodes, spec)
         if recall >= spec.recall:
             break
         size *= 2
