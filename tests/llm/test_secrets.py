@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -8,7 +9,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.secret_scan import battery, random_tokens, redact_secrets, secret_digests
+from tidemark.llm.secret_scan import battery, random_from, random_tokens, redact_secrets, secret_digests
 
 SCHEMA = "doc_id long, text string"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -73,6 +74,50 @@ def test_random_tokens_are_told_from_words(spark):
     assert len(found & set(words)) <= 0.05 * len(words)
 
 
+def test_identifiers_are_no_secrets(spark):
+    """Camel case, slugs and paths against keys; each list by itself and all together."""
+    rng = random.Random(2)
+    words = ("User Account Settings By Client Server Request Handler Factory Cache Entry Payment Order Total Index Batch "
+             "Config Value Stream Reader Writer Node Table Column Parser Token Event Queue Worker Session State Error").split()
+    name = lambda: "".join(rng.choice(words) for _ in range(rng.randint(4, 6))) + str(rng.randrange(100))
+    low = lambda sep: sep.join(rng.choice(words).lower() for _ in range(rng.randint(4, 6))) + str(rng.randrange(10))
+    lists = [[name() for _ in range(300)], [n[0].lower() + n[1:] for n in (name() for _ in range(300))],
+             [low("-") for _ in range(300)], [low("/") for _ in range(300)], [low("_") for _ in range(300)]]
+    plain = string.ascii_letters + string.digits
+    keys = [sample(plain, n, f"{n} key {s}") for n in (24, 32, 40) for s in range(60)]
+    for own in [*lists, sum(lists, []) + keys]:
+        found = {r.token for r in random_tokens(spark.createDataFrame([(t,) for t in own], "token string")).collect()}
+        names = set(own) - set(keys)
+        assert len(found & names) <= 0.05 * len(names)
+    assert len(found & set(keys)) >= 0.9 * len(keys)
+    alone = {r.token for r in random_tokens(spark.createDataFrame([(t,) for t in keys], "token string")).collect()}
+    assert len(alone) >= 0.9 * len(keys)
+
+
+def test_rule_equals_its_definition(spark):
+    """Random p-values and false ones in classes of many sizes, against the rule in plain numbers."""
+    rng, rows = random.Random(12), []
+    for number, (sound, false) in enumerate([(0, 1), (1, 0), (0, 300), (300, 0), (200, 200), (40, 2000), (3, 9)]):
+        values = [min(1.0, 5 * min(rng.random() for _ in range(5))) for _ in range(sound)]
+        values += [min(1.0, 10 ** (-rng.expovariate(0.6))) for _ in range(false)]
+        rows += [("e", number, min(int(-math.log10(p) * 20), 600)) for p in values]
+    found = {r["class"]: r.cut for r in random_from(
+        spark.createDataFrame(rows, "encoding string, class int, bin int")).collect()}
+    survive = lambda p: (1 - min(p, 1) / 5) ** 5
+    for number in {r[1] for r in rows}:
+        own = [b for _, c, b in rows if c == number]
+        large = sum(b < 6 for b in own)
+        estimate = (large + 1) / survive(10 ** (-6 / 20))
+        cut = None
+        for b in sorted(set(own)):
+            edge = 10 ** (-(b + 1) / 20)
+            r = sum(x <= b for x in own)
+            if edge >= 0.05 and r - estimate * survive(edge) <= 0.05 * r:
+                cut = b + 1
+        assert found.get(number) == cut
+    assert found[3] >= 20 and found.get(2, 0) < 20
+
+
 def test_battery_statistics(spark):
     token = sample("0123456789abcdef", 50, 4)
     row = battery(spark.createDataFrame([(token,)], "token string")).first()
@@ -84,7 +129,15 @@ def test_battery_statistics(spark):
     assert row.runs == 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
     serial = sum((a - 7.5) * (b - 7.5) for a, b in zip(values, values[1:], strict=False))
     assert row.serial_z == pytest.approx(abs(serial) / ((256 - 1) / 12 * 49**0.5))
-    # Exact tails of the normal distribution at 1.96 and 5.
+    digits = sum(c.isdigit() for c in token)
+    chi = (digits - 50 * 10 / 16) ** 2 / (50 * 10 / 16) + (50 - digits - 50 * 6 / 16) ** 2 / (50 * 6 / 16)
+    assert row.kind_chi == pytest.approx(chi) and row.freedom == 1
+    assert row.p_kinds == pytest.approx(math.erfc((chi / 2) ** 0.5), rel=1e-4)
+    alike = sum(a.isdigit() == b.isdigit() for a, b in zip(token, token[1:], strict=False))
+    q = [10 / 16, 6 / 16]
+    same, thrice = sum(x**2 for x in q), sum(x**3 for x in q)
+    spread = 49 * (same - same**2) + 2 * 48 * (thrice - same**2)
+    assert row.alike_z == pytest.approx(abs(alike - 49 * same) / spread**0.5)
     assert 0 < row.p_chi <= 1
 
 

@@ -2,16 +2,22 @@
 
 The battery looks at runs of token characters, in which '=' is padding at the end only. As '/', '+', '_' and '-' may
 belong to a secret or join it to a name or a path, the runs of letters and digits alone are looked at as well as those
-with some of the four. Each gets an encoding (the smallest alphabet that holds it), and three tests of "these are independent, uniform characters of that alphabet": chi-squared of the character counts,
-the number of runs above and below the middle of the alphabet, and the serial correlation of neighbours. Words
-fail at least one of them. The three p-values are combined by Bonferroni; among all candidates of one encoding and
-length class, Benjamini-Hochberg at rate `FDR` decides which are certainly not random. The others, if long
-enough for the tests to have power, are secrets. The decision per class needs only counts of p-values in fixed
-bins, so it is a small table whatever the input.
+with some of the four. Each gets an encoding (the smallest alphabet that holds it), and tests of "these are
+independent, uniform characters of that alphabet": chi-squared of the counts of characters and of kinds (upper, lower,
+digit, sign), runs above and below the middle of the alphabet and runs of one kind, and the serial correlation of
+neighbours. Words and identifiers fail at least one of them. The p-values are combined by Bonferroni.
+
+What is reported are runs that pass, so the false discoveries to control are runs that pass by chance and are not
+random. In each encoding and length class the share of random runs is estimated from the large p-values, which the
+others hardly reach; what more there is at smaller ones is taken to be false. Runs are reported from the least p on at
+which the false ones are at most `FDR` of them, and never below `LEAST_P`. The decision needs only counts of p-values
+in fixed bins, so it is a small table whatever the input.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +52,13 @@ ENCODINGS = [
     ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 20),
 ]
 FDR = 0.05
+#: No run below is reported: so many of the random ones are missed at most.
+LEAST_P = 0.05
+#: Where p-values are large enough to be those of random runs.
+LARGE_P = 0.5
+#: Tests that are combined.
+TESTS = 5
+KINDS = ("U", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("L", "abcdefghijklmnopqrstuvwxyz"), ("D", "0123456789"), ("S", "+/-_")
 #: Bins of -log10(p), this many per decade, up to p = 1e-30.
 BINS_PER_DECADE, DECADES = 20, 30
 SPANS = "array<struct<start:bigint,end:bigint,rank:int,kind:string,text:string>>"
@@ -95,8 +108,16 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) / 2.5066282746310002 * series, F.lit(1e-300))
 
 
+def _chi_squared_tail(x: Column, freedom: Column) -> Column:
+    """P(X >= x) for up to three degrees of freedom; 1 for none."""
+    root = 2 * _normal_tail(F.sqrt(x))
+    three = root + F.sqrt(x * 0.6366197723675814) * F.exp(-x / 2)
+    exact = F.when(freedom == 1, root).when(freedom == 2, F.exp(-x / 2)).when(freedom == 3, three).otherwise(1.0)
+    return F.greatest(exact, F.lit(1e-300))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """`tokens` (token, ...) with encoding, length, and the p-values of the three tests and of all.
+    """`tokens` (token, ...) with encoding, length, and the p-values of the tests and of all.
 
     Tokens of one character or of no encoding are left out.
     """
@@ -108,8 +129,10 @@ def battery(tokens: DataFrame) -> DataFrame:
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
         least = F.when(fits, F.lit(need)).otherwise(least)
     # `inline` makes columns of these, so that the functions below don't infer them again for every character.
+    share = lambda letters: F.char_length(F.translate(alphabet, letters, "")) / F.char_length(alphabet)
     inferred = F.struct(encoding.alias("encoding"), alphabet.alias("alphabet"), least.alias("least"),
-                        F.char_length(alphabet).cast("double").alias("k"))
+                        F.char_length(alphabet).cast("double").alias("k"),
+                        F.array(*[1 - share(letters) for _, letters in KINDS]).alias("shares"))
     out = tokens.select("*", F.inline(F.array(inferred)))
     body = F.rtrim(F.col("token"), F.lit("="))
     out = out.where("encoding is not null").withColumn("values", F.transform(
@@ -141,42 +164,72 @@ def battery(tokens: DataFrame) -> DataFrame:
                    lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     variance = (F.col("k") * F.col("k") - 1) / 12
     out = out.withColumn("serial_z", F.abs(products) / (variance * F.sqrt(F.col("n") - 1)))
+    # Kinds of characters: their counts, and how often neighbours are of one kind.
+    named = F.translate(body, "".join(x for _, x in KINDS), "".join(kind * len(x) for kind, x in KINDS))
+    out = out.withColumn("kinds", F.filter(F.split(named, ""), lambda c: c != ""))
+    count = lambda kind: F.size(F.filter("kinds", lambda c: c == kind)).cast("double")
+    counts = F.array(*[count(kind) for kind, _ in KINDS])
+    squared = F.zip_with(counts, "shares", lambda c, q: F.when(
+        q > 0, F.pow(c - F.col("n") * q, F.lit(2)) / (F.col("n") * q)).otherwise(0.0))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    out = out.withColumn("kind_chi", add(squared)).withColumn("freedom", F.size(F.filter("shares", lambda q: q > 0)) - 1)
+    alike = add(F.zip_with(F.slice("kinds", F.lit(2), F.size("kinds")), F.slice("kinds", F.lit(1), F.size("kinds") - 1),
+                           lambda a, b: F.when(a == b, 1.0).otherwise(0.0)))
+    out = out.select("*", alike.alias("alike"), add(F.transform("shares", lambda q: q * q)).alias("same"),
+                     add(F.transform("shares", lambda q: q * q * q)).alias("thrice"))
+    pairs = F.col("n") - 1
+    spread = pairs * (F.col("same") - F.col("same") * F.col("same")) + 2 * (F.col("n") - 2) * (
+        F.col("thrice") - F.col("same") * F.col("same"))
+    out = out.withColumn("alike_z", F.when(F.col("freedom") > 0, F.abs(F.col("alike") - pairs * F.col("same")) / F.sqrt(
+        F.greatest(spread, F.lit(1e-9)))).otherwise(0.0))
     tail = lambda c: _normal_tail(F.greatest(F.col(c), F.lit(0.0)))
     out = out.select("*", tail("chi_z").alias("p_chi"), (4 * tail("runs_z")).alias("p_runs"),
-                     (2 * tail("serial_z")).alias("p_serial"))
-    combined = F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", "p_serial"))
+                     (2 * tail("serial_z")).alias("p_serial"), (2 * tail("alike_z")).alias("p_alike"),
+                     _chi_squared_tail(F.col("kind_chi"), F.col("freedom")).alias("p_kinds"))
+    combined = F.least(F.lit(1.0), TESTS * F.least("p_chi", "p_runs", "p_serial", "p_alike", "p_kinds"))
     return out.withColumn("p", combined).withColumn("long_enough", F.col("n") >= F.col("least"))
 
 
-def not_random_below(tested: DataFrame) -> DataFrame:
-    """(encoding, class, cut): bins of -log10(p) at or above `cut` are rejected as random, by Benjamini-Hochberg.
+def passing_random(p: Column) -> Column:
+    """Chance that a random run's combined p-value is at least `p`, its tests being independent."""
+    return F.pow(1 - F.least(p, F.lit(1.0)) / TESTS, F.lit(TESTS))
+
 
-    The step-up rule runs over bins: a bin is rejected if its upper p is at most FDR * (candidates in it and in
-    those of smaller p) / all, or if a bin of larger p is.
+def random_from(tested: DataFrame) -> DataFrame:
+    """(encoding, class, cut): bins of -log10(p) below `cut` are reported.
+
+    With N runs at or above LARGE_P, (N + 1) / (chance of that) of the class are estimated to be random; the one is
+    for classes too small to tell. Of the R runs at or above some p, those beyond the random ones' expected number are
+    false; the cut is the least p at which they are at most FDR * R.
     """
-    counted = tested.groupBy("encoding", "class", "bin").agg(F.sum("weight").alias("c"))
+    counted = tested.groupBy("encoding", "class", "bin").agg(F.count(F.lit(1)).alias("c"))
     whole = Window.partitionBy("encoding", "class")
-    smaller = whole.orderBy(F.desc("bin"))
-    rejected = counted.select(
-        "encoding", "class", "bin", F.sum("c").over(smaller).alias("k"), F.sum("c").over(whole).alias("m")
-    ).where(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE) <= FDR * F.col("k") / F.col("m"))
-    return rejected.groupBy("encoding", "class").agg(F.min("bin").alias("cut"))
+    larger = whole.orderBy("bin")
+    edge = F.pow(F.lit(10.0), -(F.col("bin") + 1) / BINS_PER_DECADE)
+    large = F.sum(F.when(edge >= LARGE_P, F.col("c")).otherwise(0)).over(whole)
+    # The least p of the bins that count as large.
+    at = 10 ** (-(int(-math.log10(LARGE_P) * BINS_PER_DECADE)) / BINS_PER_DECADE)
+    summed = counted.select("encoding", "class", "bin", F.sum("c").over(larger).alias("r"),
+                            ((large + 1) / passing_random(F.lit(at))).alias("random"), edge.alias("edge"))
+    false = F.col("r") - F.col("random") * passing_random(F.col("edge"))
+    fits = summed.where((false <= FDR * F.col("r")) & (F.col("edge") >= LEAST_P))
+    return fits.groupBy("encoding", "class").agg((F.max("bin") + 1).alias("cut"))
 
 
 def random_tokens(candidates: DataFrame) -> DataFrame:
-    """Distinct tokens of `candidates` (token, weight) that pass for random: (token, encoding, p)."""
-    distinct = candidates.groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
+    """Distinct tokens of `candidates` (token) that pass for random: (token, encoding, p).
+
+    A token counts once in its class, as its copies are no evidence of their own.
+    """
+    distinct = candidates.select("token").distinct()
     # Length classes by powers of the square root of two, as the tests' power grows with the length.
     tested = battery(distinct).where("long_enough").select(
-        "token", "encoding", "weight", "p",
+        "token", "encoding", "p",
         F.floor(2 * F.log2("n")).cast("int").alias("class"),
         F.least(F.floor(-F.log10("p") * BINS_PER_DECADE), F.lit(BINS_PER_DECADE * DECADES)).cast("int").alias("bin"),
     )
     tested = staged(tested, "randomness")
-    cuts = not_random_below(tested)
-    return tested.join(cuts, ["encoding", "class"], "left").where("cut is null or bin < cut").select(
-        "token", "encoding", "p"
-    )
+    return tested.join(random_from(tested), ["encoding", "class"]).where("bin < cut").select("token", "encoding", "p")
 
 
 def _scanned(found: DataFrame) -> DataFrame:
