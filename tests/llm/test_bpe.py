@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import ByteText, Codec, Merges, Transducer, encode_decode
+from tidemark.llm.bpe import ByteText, Codec, Digests, Merges, Transducer, encode_decode
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = [
@@ -91,3 +91,32 @@ def test_query_rows(spark):
     assert sorted(found, key=str) == sorted([expected(*r) for r in rows], key=str)
     assert encode_decode(docs.limit(0), path).count() == 0
     assert encode_decode(docs, path, with_ids=True).where("size(ids) <> n_tokens").count() == 0
+
+
+def test_long_texts_stream(pair):
+    """Ids and both digests of texts of many blocks, in little memory; the same ids as the library's."""
+    import tracemalloc
+
+    own, library = pair
+    for text in ("some words, here é 日本 ſ\u0301 it's\n" * 9000, "it's  plain 12 words.\n" * 9000, "ab" * 40_000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert [t for piece in own.stream(text) for t in piece] == ids
+        digests = Digests(own)
+        for piece in own.stream(text):
+            digests.push([*piece])
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert digests.finish() == (
+            len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    if not own.quick:
+        return
+    peaks = []
+    for size in (20_000, 400_000):
+        text = "some words, here it's é\n" * size
+        tracemalloc.start()
+        digests = Digests(own)
+        for piece in own.stream(text):
+            digests.push([*piece])
+        digests.finish()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]

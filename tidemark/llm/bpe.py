@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +29,10 @@ from tidemark.llm.common import pieces
 #: Letters and white space for which the fast path needs no tables: ASCII and the letters of Latin-1.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNUSUAL = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{LATIN}]")
-#: Distinct pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Distinct pieces in one generation of a worker's memory; it holds two.
+REMEMBERED = 250_000
+#: Tokens that are held before the digests and the decoder get them; characters of a long text split at a time.
+HELD, BLOCK = 4096, 1 << 16
 #: A piece longer than this streams through the transducer and is not remembered.
 LONG_PIECE = 256
 NEVER = 1 << 62
@@ -157,7 +160,8 @@ class Codec:
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.quick = self._quick_split(spec)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _quick_split(self, spec: dict) -> re.Pattern | None:
         """The splitting pattern for usual characters, if the file's rules are those that it stands for."""
@@ -171,11 +175,28 @@ class Codec:
         return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s0-9{LATIN}]+")
 
     def _split(self, part: str) -> list[str]:
-        if self.quick and not UNUSUAL.search(part):
-            return self.quick.findall(part.lower())
-        text = self.normalizer.normalize_str(part) if self.normalizer else part
-        found = self.splitter.pre_tokenize_str(text)
-        return [bytes(self.byte_of[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in found]
+        return [*self._pieces(part)]
+
+    def _pieces(self, part: str) -> Iterator[str]:
+        """Pre-tokens one after the other; of a long text a block at a time is normalised and split."""
+        for block in self._blocks(part):
+            if self.quick and not UNUSUAL.search(block):
+                yield from self.quick.findall(block.lower())
+                continue
+            text = self.normalizer.normalize_str(block) if self.normalizer else block
+            for piece, _ in self.splitter.pre_tokenize_str(text):
+                yield bytes(self.byte_of[c] for c in piece).decode("utf-8", "surrogateescape")
+
+    def _blocks(self, part: str) -> Iterator[str]:
+        """A text whose white space is dropped is cut before spaces, which nothing composes or is split with."""
+        at = 0
+        while self.quick and len(part) - at > BLOCK:
+            cut = part.find(" ", at + BLOCK)
+            if cut < 0:
+                break
+            yield part[at:cut]
+            at = cut
+        yield part[at:]
 
     def _symbols(self, piece: str) -> Iterator[int]:
         data = piece.encode("utf-8", "surrogateescape")
@@ -184,40 +205,85 @@ class Codec:
             yield ids[byte]
         yield (self.last_ids if self.end else ids)[data[-1]]
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        if len(piece) <= LONG_PIECE:
-            found = tuple(self.merges.apply(list(self._symbols(piece))))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = found
-            return found
+    def _piece(self, piece: str) -> Iterable[int]:
+        """A piece's tokens as the transducer gives them; short pieces are remembered."""
         stream = Transducer(self.merges, self.sizes)
-        return (*stream.push(self._symbols(piece)), *stream.finish())
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, at = self.known, 0
+        if len(piece) > LONG_PIECE:
+            return (token for part in (stream.push(self._symbols(piece)), stream.finish()) for token in part)
+        found = (*stream.push(self._symbols(piece)), *stream.finish())
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        self.recent[piece] = found
+        return found
+
+    def stream(self, text: str) -> Iterator[Iterable[int]]:
+        """The tokens of a text, piece by piece, each as soon as no later symbol can change it."""
+        recent, at = self.recent, 0
         for mark in (*self.added_split.finditer(text), None):
-            for piece in self._split(text[at : mark.start() if mark else len(text)]):
-                ids.extend(known.get(piece) or self._encode_piece(piece))
+            for piece in self._pieces(text[at : mark.start()] if mark else text[at:]):
+                found = recent.get(piece)
+                if found is None:
+                    found = self.older.get(piece)
+                    if found is None:
+                        found = self._piece(piece)
+                        recent = self.recent
+                    else:
+                        recent[piece] = found
+                yield found
             if mark:
-                ids.append(self.added[mark[0]])
+                yield (self.added[mark[0]],)
                 at = mark.end()
-        return ids
+
+    def encode(self, text: str) -> list[int]:
+        """All tokens of a text at once."""
+        return [token for piece in self.stream(text) for token in piece]
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
-        """Text in parts. Without a decoder in the file, tokens are shown as they are, a space between them."""
-        texts, ids, first = self.texts, list(ids), True
-        if not self.byte_level_decoder:
-            for at in range(0, len(ids), block):
-                yield ("" if first else " ") + " ".join([texts[i] for i in ids[at : at + block]])
-                first = False
-            return
-        machine, byte_of = ByteText(), self.byte_of
-        for at in range(0, len(ids), block):
-            shown = "".join([texts[i] for i in ids[at : at + block]])
-            yield machine.push(b"".join(bytes((byte_of[c],)) if c in byte_of else c.encode() for c in shown))
-        yield machine.push(b"", True)
+        """Text in parts, from ids as they come. Without a decoder in the file, tokens are shown as they are, a space
+        between them."""
+        decoder = Decoder(self)
+        for part in batched(ids, block):
+            yield decoder.push(part)
+        yield decoder.finish()
+
+
+class Decoder:
+    """State machine from ids to text: what has been shown, or the bytes of an unfinished character."""
+
+    def __init__(self, own: Codec) -> None:
+        self.own, self.first, self.machine = own, True, ByteText()
+
+    def push(self, ids: Iterable[int]) -> str:
+        own = self.own
+        shown = [own.texts[i] for i in ids]
+        if not own.byte_level_decoder:
+            text = ("" if self.first or not shown else " ") + " ".join(shown)
+            self.first = self.first and not shown
+            return text
+        byte_of = own.byte_of
+        return self.machine.push(b"".join(bytes((byte_of[c],)) if c in byte_of else c.encode() for c in "".join(shown)))
+
+    def finish(self) -> str:
+        return self.machine.push(b"", True)
+
+
+class Digests:
+    """Fed with tokens: their number, the digest of their ids, and that of the text decoded from them."""
+
+    def __init__(self, own: Codec) -> None:
+        self.own, self.decoder = own, Decoder(own)
+        self.count, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def push(self, ids: list[int]) -> None:
+        if ids:
+            numbers = self.own.numbers
+            self.ids.update(((" " if self.count else "") + " ".join([numbers[i] for i in ids])).encode())
+            self.text.update(self.decoder.push(ids).encode())
+            self.count += len(ids)
+
+    def finish(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.count, self.ids.hexdigest(), self.text.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -236,20 +302,30 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        numbers = own.numbers
         for batch in pieces(batches):
-            count, first, second, tokens = [], [], [], []
+            rows, tokens = [], []
             for text in batch.column(1).to_pylist():
-                ids = own.encode(text or "")
-                count.append(len(ids))
-                first.append(hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest())
-                decoded = hashlib.sha256()
-                for part in own.decode(ids):
-                    decoded.update(part.encode())
-                second.append(decoded.hexdigest())
+                digests, kept, held = Digests(own), [], []
+                for found in own.stream(text or ""):
+                    if isinstance(found, tuple):
+                        held += found
+                    else:  # a long piece, of which tokens come one by one
+                        for part in batched(found, HELD):
+                            digests.push([*held, *part])
+                            if with_ids:
+                                kept += [*held, *part]
+                            held = []
+                    if len(held) >= HELD:
+                        digests.push(held)
+                        if with_ids:
+                            kept += held
+                        held = []
+                digests.push(held)
                 if with_ids:
-                    tokens.append(ids)
-            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(first), pa.array(second)]
+                    tokens.append(kept + held)
+                rows.append(digests.finish())
+            columns = [batch.column(0)] + [pa.array(x, t) for x, t in zip(
+                zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns.append(pa.array(tokens, pa.list_(pa.int32())))
