@@ -176,3 +176,31 @@ def test_a_replay_that_stops_before_its_append_may_be_repeated(spark, root, monk
             replay_rejects(spark, path, message_schema())
     assert replay_rejects(spark, path, message_schema()) == 1
     assert read_bronze(spark, path).count() == 1 and read_bronze(spark, path, rejected=True).count() == 0
+
+
+def test_jobs_for_late_messages(spark, root, monkeypatch):
+    """The command line: the same files twice, late changes by position, a replay, and the mart by deltas."""
+    from tidemark.plans import jobs
+    from tidemark.plans.layers import ChainConfig
+    from tidemark.settings import Settings
+
+    monkeypatch.setattr(jobs, "build_session", lambda *args: spark)
+    monkeypatch.setenv("WAREHOUSE_DIR", f"{root}/warehouse")
+    settings = Settings(warehouse=f"{root}/warehouse")
+    late = message(1, 4, "active").replace(T1.isoformat(), (T1 - dt.timedelta(days=3)).isoformat())
+    for texts in ([message(1, 1), message(2, 3), "broken"], [message(1, 1), late]):
+        sourced = [t.replace('"op"', '"source": "a", "op"') for t in texts]
+        lines(spark, root, "in", sourced)
+        jobs.main(["bronze", "--files", f"{root}/in", "--available-now", "--once", "7 days"])
+        jobs.main(["silver", "--late", "splice"])
+        jobs.main(["silver", "--late", "splice", "--by-position"])
+        jobs.main(["gold", "--mode", "deltas"])
+    jobs.main(["replay"])
+    silver = ChainConfig(settings, late="splice").store(spark).dimension()
+    found = sorted((r.customer_id, r.status, r.is_current) for r in silver.collect())
+    assert found == [(1, "active", False), (1, "vip", True), (2, "vip", True)]
+    assert read_bronze(spark, settings.bronze_path).count() == 3
+    assert gold(spark, settings.gold_path) == [(DAY1, "vip", 2)]
+    jobs.main(["gold"])
+    jobs.main(["gold", "--mode", "deltas"])
+    assert gold(spark, settings.gold_path) == [(DAY1, "vip", 2)]

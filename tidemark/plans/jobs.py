@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.cdc import cdc_messages
 from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec
 from tidemark.plans.layers import ChainConfig, build_gold, create_layers, export_gold, refresh_layers, run_silver
+from tidemark.plans.mart import maintain_gold
+from tidemark.plans.quarantine import replay_rejects
 from tidemark.plans.rowlevel import RowLevelLayers
-from tidemark.schemas import SEQUENCED_FIELDS
+from tidemark.schemas import SEQUENCED_FIELDS, message_schema
 from tidemark.session import build_session, catalog_conf
 from tidemark.settings import Settings
 from tidemark.sinks.messages import to_kafka, to_text
@@ -38,12 +40,16 @@ def _parser() -> argparse.ArgumentParser:
     bronze.add_argument("--max-per-trigger", type=int, help="bound on offsets or files of a micro-batch")
     bronze.add_argument("--files-per-day", type=int, default=FILES_PER_DAY, help="bound for one micro-batch")
     bronze.add_argument("--keep-malformed", action="store_true", help="store rejects as NULL events")
+    bronze.add_argument("--once", help="store a message once within that time, such as '7 days'")
     silver = commands.add_parser("silver", help="merge new changes into the dimension")
     silver.add_argument("--buckets", type=int, help="bucket count of the open rows")
     silver.add_argument("--hash-mode", choices=("framed", "compat"), default="framed", help="form of the fingerprint")
     silver.add_argument("--lookback", help="also read changes this far below the mark, such as '2 days'")
+    silver.add_argument("--late", choices=("ignore", "splice"), default="ignore", help="what late changes do; folders only")
+    silver.add_argument("--by-position", action="store_true", help="read behind the last source positions; folders only")
     gold = commands.add_parser("gold", help="build the daily mart")
-    gold.add_argument("--mode", choices=("full", "partitions"), default="full")
+    gold.add_argument("--mode", choices=("full", "partitions", "deltas"), default="full", help="deltas: folders only")
+    commands.add_parser("replay", help="judge quarantined messages again; folders only")
     export = commands.add_parser("export", help="replace the serving table")
     load = commands.add_parser("load", help="replace it from text lines")
     load.add_argument("--lines", help="text files; default is CUSTOMER_DAILY_ROWS")
@@ -83,6 +89,7 @@ def bronze(spark: SparkSession, settings: Settings, args: argparse.Namespace) ->
         "every": args.every,
         "files_per_day": args.files_per_day,
         "keep_malformed": args.keep_malformed,
+        "once": args.once,
     }
     checkpoint = settings.bronze_checkpoint
     if args.catalog:
@@ -125,9 +132,15 @@ def main(argv: Sequence[str] | None = None) -> None:
 
 
 def run_on_folders(spark: SparkSession, settings: Settings, args: argparse.Namespace, spec: Scd2Spec) -> None:
-    config = ChainConfig(settings, spec, buckets=getattr(args, "buckets", None))
+    config = ChainConfig(
+        settings, spec, buckets=getattr(args, "buckets", None), late=getattr(args, "late", "ignore"),
+        by_position=getattr(args, "by_position", False))
     if args.command == "silver":
         run_silver(spark, config, args.lookback)
+    elif args.command == "replay":
+        print(f"moved {replay_rejects(spark, settings.bronze_path, message_schema())} messages")
+    elif args.command == "gold" and args.mode == "deltas":
+        maintain_gold(config.store(spark), settings.gold_path)
     elif args.command == "gold":
         build_gold(config.store(spark).current(), settings.gold_path, config.spec, mode=args.mode)
     elif args.command == "export":

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.operators.mart import build_daily
+from tidemark.operators.positions import PART, POSITION
 from tidemark.operators.scd2 import MESSAGE_TIES, Scd2Spec
 from tidemark.plans.dimension import DimensionStore
+from tidemark.plans.mart import forget
 from tidemark.schemas import BRONZE_PARTITIONS, GOLD_PARTITIONS, bronze_schema, gold_schema, message_schema
 from tidemark.session import use_utc
 from tidemark.settings import Settings
@@ -29,7 +31,8 @@ class ChainConfig:
     """Where the layers live and how keys and times are typed.
 
     `prefix` goes before the namespaces' names. With `published`, each silver run that commits shows
-    its versions as `silver.dim_customer`; the namespaces must be there (`create_layers`).
+    its versions as `silver.dim_customer`; the namespaces must be there (`create_layers`). `late` and
+    `by_position` tell the store how to treat late changes and what an increment is.
     """
 
     settings: Settings
@@ -39,6 +42,8 @@ class ChainConfig:
     buckets: int | None = None
     prefix: str = ""
     published: bool = False
+    late: str = "ignore"
+    by_position: bool = False
 
     def name(self, table: str) -> str:
         return f"{self.prefix}{table}"
@@ -53,6 +58,8 @@ class ChainConfig:
             self.ts_type,
             self.buckets,
             self.name(SILVER) if self.published else None,
+            self.late,
+            (PART, POSITION) if self.by_position else None,
         )
 
     def bronze(self, spark: SparkSession) -> DataFrame:
@@ -111,8 +118,11 @@ def run_silver(spark: SparkSession, config: ChainConfig, lookback: str | None =
 
 def build_gold(dimension: DataFrame, path: str, spec: Scd2Spec, status: str = "status", mode: str = "full") -> None:
     """Writes the mart by day. `full` replaces it; `partitions` replaces only the days in the result,
-    which leaves counts of days whose keys have all moved on."""
+    which leaves counts of days whose keys have all moved on. A mart kept by `maintain_gold` in that
+    folder starts anew after either."""
     mart = build_daily(dimension, spec.key, status)
+    if mode in ("full", "partitions"):
+        forget(dimension.sparkSession, path)
     if mode == "full":
         replace(mart, path, GOLD_PARTITIONS)
     elif mode == "partitions":

@@ -58,6 +58,12 @@ def maintain_gold(store: DimensionStore, path: str, status: str = "status") -> l
     return sorted(set(rewritten))
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Drops the log, as another build is about to change the folder; the next call builds it whole."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    drop_partitions(spark, folder, [f"{name}_log"])
+
+
 def _advance(store: DimensionStore, path: str, since: int, version: int, status: str) -> list[date]:
     spark = store.spark
     deltas = _staged(daily_deltas(*store.moved(since, version), status), "mart-deltas")
