@@ -73,3 +73,32 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and re.fullmatch("[0-9a-f]{64}", rows.first().ids_sha256)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, and columns named as stages might name their own."""
+    good, bad = "the and of is in words here and there, as one says. ", "###$$$ %%% &&& *** "
+    rows = [(i, (good + f"number {i} stands alone among the others today. ") * (2 + i % 5), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(100 + i, bad * (3 + i % 5), "en", "s0") for i in range(60)]
+    labels = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)] + [(None, 1), (3, None)]
+    key = "q7Zt0LmXv2RbN9sKc4YdWf8HgJp1Ea5U"
+    rows += [(7, rows[7][1], "en", "s1")] * 3 + [(7, good * 9 + "another text", None, None), (None, good * 4, None, None)]
+    rows += [(None, None, None, None), (900, "", "en", None), (901, good * 30_000, "en", "s2"), (902, good * 5 + f" password={key} ", "en", "s2")]
+    names = ["row", "key", "n", "score", "number", "id", "component"]
+    docs = spark.createDataFrame(
+        [(*r, None if r[1] is None else len(r[1]), *range(len(names))) for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, frame in (("odd", docs), ("empty", docs.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, f"{tmp_path}/odd")
+        assert kept.columns == docs.columns and all([r[n] for n in names] == [*range(len(names))] for r in kept.collect())
+        if stage_name in ("quality", "secrets"):  # in its words the long text is a near copy of others
+            assert 901 in {r.doc_id for r in kept.collect()}
+        if stage_name == "secrets":
+            assert not any(key in (r.text or "") for r in kept.collect()) and kept.count() == docs.count()
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in found]
+    assert ids and not any(100 <= i < 160 for i in ids if i is not None)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
