@@ -21,6 +21,7 @@ from tidemark.operators import (
     scd2_history,
     stage_changes,
 )
+from tidemark.operators.as_of import _sliced
 from tidemark.operators.scd2 import open_versions
 from tidemark.plans import DimensionStore
 
@@ -609,3 +610,18 @@ def test_join_as_of_equals_brute_force(spark, hot_rows, slices):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_join_as_of_needs_little_beside_each_hot_key(spark):
+    keys, slices = 3_000, 400
+    facts = spark.range(keys * 12).selectExpr("id % 3000 AS _key", "id AS _at", "struct(id) AS _fact")
+    held = spark.range(keys * 2).selectExpr("id % 3000 AS _key", "id AS _at", "struct(id AS _end) AS _version")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"), "tidemark")
+    old = set(folder.glob("hot-facts-*"))
+    fact_rows, version_rows = _sliced(facts, held, 10, slices)
+    [written] = set(folder.glob("hot-facts-*")) - old
+    # Spark broadcasts them by their files' size, in which a column of equal arrays would not show.
+    hot = spark.read.parquet(str(written))
+    assert hot.count() == keys and all(kind in ("bigint", "int") for _, kind in hot.dtypes)
+    assert fact_rows.count() == keys * 12
+    assert keys * 2 < version_rows.count() <= keys * 2 + keys * 3

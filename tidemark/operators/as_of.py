@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slices import SLICE, cut_points, hot_keys, own_slice
+from tidemark.operators.slices import SLICE, as_value, cut_points, hot_keys, in_slices, last_slice
 from tidemark.session import scratch_dir
 
 
@@ -64,22 +64,21 @@ def _sliced(
 ) -> tuple[DataFrame, DataFrame]:
     """Both with `_slice`; hot keys' versions are led by a row for each slice: the one valid where it begins.
 
-    The hot keys and the versions are used several times and so are written once.
+    The cuts, the hot keys and the versions are used several times and so are written once.
     """
     slices = slices or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = cut_points(facts, "_at", slices).select(F.struct("cuts", "coarse").alias("cuts")).scalar()
-    hot = _written(hot_keys(facts, "_key", hot_rows).withColumn("_cuts", cuts), "hot-facts")
+    cuts = as_value(_written(cut_points(facts, "_at", slices), "cut-points"))
+    # Not compressed, as Spark goes by the files' size when it decides whether to broadcast them.
+    hot = _written(hot_keys(facts, "_key", hot_rows, cuts), "hot-facts", compression="none")
 
     def marked(rows: DataFrame) -> DataFrame:
-        joined = rows.join(hot, F.col("_key") == F.col("_hot"), "left")
-        return joined.select(*rows.columns, own_slice("_at").alias(SLICE))
+        return in_slices(rows, "_key", "_at", hot, cuts)
 
     placed = _written(marked(versions), "placed-versions")
     # The last version that starts in each slice, carried over the slices behind it: a row per slice.
     newest = F.max_by("_version", F.struct("_at", "_version._end"))
     last = placed.where(F.col(SLICE) > 0).groupBy("_key", SLICE).agg(newest.alias("_last"), F.max("_at").alias("_since"))
-    every = hot.select(
-        F.col("_hot").alias("_key"), F.explode(F.sequence(F.lit(1), F.size("_cuts.cuts") + 1)).alias(SLICE))
+    every = hot.select(F.col("_hot").alias("_key"), F.explode(F.sequence(F.lit(1), last_slice(cuts))).alias(SLICE))
     before = Window.partitionBy("_key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     led = every.join(last, ["_key", SLICE], "left").select(
         "_key",
@@ -91,7 +90,7 @@ def _sliced(
     return marked(facts), placed.select("_key", "_at", "_version", SLICE).unionByName(leading)
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
+def _written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
