@@ -23,6 +23,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.as_of import _sliced
 from tidemark.operators.scd2 import open_versions
+from tidemark.operators.slices import with_slices
 from tidemark.plans import DimensionStore
 
 T1, T2, T3 = (dt.datetime(2026, 3, day, 10) for day in (13, 14, 15))
@@ -408,6 +409,27 @@ def test_both_history_plans_agree_when_batches_share_a_time(spark, seed):
     assert len(found[0]) == versions
 
 
+def test_hot_keys_are_dealt_by_slice_behind_a_join_by_shuffle(spark):
+    rows = [(0, i) for i in range(4_000)] + [(1 + i % 100, i * 40) for i in range(1_200)]
+    df = spark.createDataFrame(rows, "key int, at int")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sliced = with_slices(df, "key", "at", hot_rows=10, slices=50)
+        placed_ = sliced.select("*", F.spark_partition_id().alias("task")).groupBy("key").agg(
+            F.countDistinct("task").alias("tasks"), F.countDistinct("_slice").alias("slices"), F.count("*").alias("n"))
+        found = {r.key: r for r in placed_.collect()}
+        largest = sliced.where("key = 0").groupBy("_slice").count().agg(F.max("count")).first()[0]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert {k: r.n for k, r in found.items()} == {0: 4_000, **dict.fromkeys(range(1, 101), 12)}
+    assert found[0].tasks > 1 and largest <= 1.1 * len(rows) / 50
+    # A key little above the limit is cut a few times, not once for each of the table's slices.
+    assert max(r.slices for k, r in found.items() if k) <= 3
+
+
 def test_streams_count_their_own_batches(spark, root):
     store = new_store(spark, root)
     assert store.apply(changes(spark, (1, "active", T1)), batch_id=5, stream="a") == 1

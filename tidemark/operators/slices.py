@@ -61,15 +61,17 @@ def last_slice(cuts: Column) -> Column:
 
 
 def with_slices(rows: DataFrame, key: str, at: str, hot_rows: int, slices: int | None = None) -> DataFrame:
-    """`rows` with `_slice`: 0 for usual keys, from 1 on for keys with more than `hot_rows` rows.
+    """`rows` with `_slice`: 0 for usual keys, from 1 on for keys with more than `hot_rows` rows; dealt by both.
 
     Rows of one key and one `at` share a slice. There are as many slices as shuffle partitions unless told, and fewer
     for keys that don't hold an even share of all rows. `at` must be a number, a date or a time; by any other type
     nothing is cut. The rows are read three times, each for the columns it needs: give a pinned table.
+
+    A join by shuffle leaves a key's rows in one task, so they are dealt anew behind it, whatever the join was.
     """
     kind = rows.schema[at].dataType.simpleString().split("(")[0].removesuffix("_ntz")
     if kind not in CUTTABLE:
         return rows.withColumn(SLICE, F.lit(0))
     slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = as_value(cut_points(rows, at, slices))
-    return in_slices(rows, key, at, hot_keys(rows, key, hot_rows, cuts), cuts)
+    return in_slices(rows, key, at, hot_keys(rows, key, hot_rows, cuts), cuts).repartition(key, SLICE)
